@@ -5,12 +5,14 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_dedup
 from .licenses import license_scan
+from .minhash import near_dedup
 from .packing import pack
 from .quality import quality
 from .simhash import near_documents
 from .toxicity import toxicity
 
 QUERIES = {
+    "op1_near_dedup": lambda spark, d: near_dedup(table(spark, d, "documents")),
     "op2_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_quality": lambda spark, d: quality(table(spark, d, "documents")),
