@@ -4,18 +4,39 @@ from __future__ import annotations
 
 from tokenwright.llm.common import stored, table
 from tokenwright.llm.exact_dedup import drop_copies
+from tokenwright.llm.minhash import drop_near
 from tokenwright.llm.packing import pack
+from tokenwright.llm.suffix import cut_repeats
+from tokenwright.llm.toxicity import reject_toxic
+
+
+def toxic(spark, docs, sf_dir):
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark, docs, sf_dir):
     return drop_copies(docs)
 
 
+def near(spark, docs, sf_dir):
+    return drop_near(docs)
+
+
+def repeats(spark, docs, sf_dir):
+    return cut_repeats(docs)
+
+
 def packing(spark, docs, sf_dir):
     return pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("best-fit packing", packing)]
+STAGES = [
+    ("toxicity", toxic),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("suffix-array dedup", repeats),
+    ("best-fit packing", packing),
+]
 # learned scores, approximate search, suffix structures and local search: tested against brute force
 ORACLE_SQL = None
 

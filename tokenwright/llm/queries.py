@@ -9,6 +9,7 @@ from .minhash import near_dedup
 from .packing import pack
 from .quality import quality
 from .simhash import near_documents
+from .suffix import suffix_dedup
 from .toxicity import toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_quality": lambda spark, d: quality(table(spark, d, "documents")),
+    "op5_suffix_dedup": lambda spark, d: suffix_dedup(table(spark, d, "documents")),
     "op6_simhash": lambda spark, d: near_documents(table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack(table(spark, d, "documents")),
