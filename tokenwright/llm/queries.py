@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .hmm import score
 from .licenses import license_scan
 from .minhash import near_dedup
 from .packing import pack
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_simhash": lambda spark, d: near_documents(table(spark, d, "documents")),
     "op7_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack(table(spark, d, "documents")),
+    "op9_lm_score": lambda spark, d: score(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
