@@ -8,6 +8,7 @@ from .hmm import score
 from .licenses import license_scan
 from .minhash import near_dedup
 from .packing import pack
+from .pieces import encode
 from .quality import quality
 from .simhash import near_documents
 from .suffix import suffix_dedup
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_exact_dedup": lambda spark, d: exact_dedup(table(spark, d, "documents")),
     "op8_packing": lambda spark, d: pack(table(spark, d, "documents")),
     "op9_lm_score": lambda spark, d: score(table(spark, d, "documents")),
+    "op10_sentencepiece": lambda spark, d: encode(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
