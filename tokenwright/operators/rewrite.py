@@ -1,0 +1,157 @@
+"""Safe rewrites: JSON minified, repeated sentences dropped, white space tightened, re-counted."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.tokens import WS, token_count
+from ..sources.records import compact
+
+MIN_BLOB, MIN_SENTENCE = 40, 40
+_TOKENS = {o: re.compile(r'"(?:[^"\\]|\\[\s\S])*"|"|[' + re.escape(o + c) + "]") for o, c in ("{}", "[]")}
+_FENCED = re.compile(r"```[\s\S]*?```|~~~[\s\S]*?~~~")
+_UNIT = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
+
+
+def tighten(text: Column) -> Column:
+    """No blanks at line ends, at most one blank line, runs of blanks within a line as one; for
+    texts without code fences (see `tight_text` for those)."""
+    out = F.regexp_replace(text, r"(?md)[ \t]+$", "")
+    out = F.regexp_replace(out, "\n{3,}", "\n\n")
+    out = F.regexp_replace(out, rf"(?<=[^{X.SPACE}])[ \t]{{2,}}(?=[^{X.SPACE}])", " ")
+    return F.regexp_replace(out, r"^\n+|\n+\z", "")
+
+
+def drop_repeats(text: Column, min_chars: int = MIN_SENTENCE) -> Column:
+    """Later copies of a sentence of one text are dropped; blank runs become one space."""
+    parts = F.transform(X.units(text), lambda u: F.struct(u.alias("u"), X.norm(u).alias("k")))
+    keys = F.transform(parts, lambda p: p["k"])
+    kept = F.filter(F.zip_with(parts, F.sequence(F.lit(1), F.size(parts)), lambda p, i: F.struct(p["u"].alias("u"), p["k"].alias("k"), i.alias("i"))), lambda p: (F.length(p["k"]) < min_chars) | (F.array_position(keys, p["k"]) == p["i"]))
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["u"]), ""), "[ \t]{2,}", " ")
+
+
+def tight_text(text: str) -> str:
+    """`tighten` for any text: within code fences only line ends and blank lines change."""
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)[ \t]+$", "", text))
+    out, at = [], 0
+    for fence in _FENCED.finditer(text):
+        out += [_single(text[at : fence.start()]), fence.group()]
+        at = fence.end()
+    return "".join([*out, _single(text[at:])]).strip("\n")
+
+
+def _single(text: str) -> str:
+    return re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", text)
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Balanced {...} and [...] stretches, outermost first; strings are skipped, and only the
+    bracket kind that opens a stretch counts in it."""
+    out, at = [], 0
+    opener = re.compile(r"[\[{]")
+    while m := opener.search(text, at):
+        kind, depth, end = m.group(), 0, None
+        for tok in _TOKENS[kind].finditer(text, m.start()):
+            t = tok.group()
+            if t == '"':
+                break  # a string without an end
+            if len(t) == 1:
+                depth += 1 if t == kind else -1
+                if not depth:
+                    end = tok.end()
+                    break
+        if end:
+            out.append((m.start(), end))
+        at = end or m.start() + 1
+    return out
+
+
+def blobs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, compact form) of the indented JSON values in a text."""
+    out = []
+    for a, b in spans(text):
+        raw = text[a:b]
+        if "\n" in raw and len(raw) >= MIN_BLOB:
+            try:
+                out.append((a, b, compact(json.loads(raw))))
+            except (ValueError, RecursionError):
+                continue
+    return out
+
+
+def minify(text: str) -> str:
+    out, at = [], 0
+    for a, b, small in blobs(text):
+        if len(small) < b - a:
+            out += [text[at:a], small]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def unrepeat_text(text: str, min_chars: int = MIN_SENTENCE) -> str:
+    seen: set[str] = set()
+    kept = []
+    for unit in _UNIT.split(text):
+        key = " ".join(unit.split()).lower()
+        if len(key) < min_chars or key not in seen:
+            kept.append(unit)
+            seen.add(key)
+    return re.sub(r"[ \t]{2,}", " ", "".join(kept))
+
+
+def fixed_text(text: str) -> str:
+    return tight_text(unrepeat_text(minify(text)))
+
+
+def _fix_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: fixed_text(t) if t else t)
+
+
+def _blob_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"blob": t[a:b], "small": s} for a, b, s in blobs(t)] if t and "\n" in t else [])
+
+
+def safe_fix(text: Column | str) -> Column:
+    """All three rewrites, in Arrow batches."""
+    return F.pandas_udf(_fix_batch, "string")(text)
+
+
+def json_blobs(text: Column | str) -> Column:
+    """The indented JSON values of a text with their compact forms."""
+    return F.pandas_udf(_blob_batch, "array<struct<blob:string,small:string>>")(text)
+
+
+def messages_of(requests: DataFrame) -> DataFrame:
+    """One row a message, with its place, text and weight."""
+    return requests.select("request_id", "ingest_seq", "source", "model", "weight", F.explode("messages").alias("m")).select("request_id", "ingest_seq", "source", "model", "weight", "m.pos", "m.role", "m.content")
+
+
+def rewritten(requests: DataFrame) -> DataFrame:
+    """Messages with tok (before), fixed and fixed_tok; a rewrite that costs more is not taken."""
+    m = messages_of(requests).withColumn("new", safe_fix("content")).withColumn("tok", token_count("content")).withColumn("new_tok", token_count("new"))
+    worse = F.col("new_tok") > F.col("tok")
+    return m.withColumn("fixed", F.when(worse, F.col("content")).otherwise(F.col("new"))).withColumn("fixed_tok", F.least("tok", "new_tok")).drop("new", "new_tok")
+
+
+def measure(requests: DataFrame) -> DataFrame:
+    """(before_tokens, after_tokens, calls, saved, pct), one row."""
+    m = rewritten(requests).agg(F.coalesce(F.sum(F.col("tok") * F.col("weight")), F.lit(0)).alias("before_tokens"), F.coalesce(F.sum(F.col("fixed_tok") * F.col("weight")), F.lit(0)).alias("after_tokens"))
+    calls = requests.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("calls"))
+    saved = F.greatest(F.lit(0), F.col("before_tokens") - F.col("after_tokens"))
+    pct = F.when(F.col("before_tokens") > 0, saved / F.col("before_tokens") * 100).otherwise(0.0)
+    return m.crossJoin(calls).select("before_tokens", "after_tokens", "calls", saved.alias("saved"), pct.alias("pct"))  # two single rows
+
+
+def rewrite_requests(requests: DataFrame) -> DataFrame:
+    """The requests with the rewrites that don't cost more."""
+    m = rewritten(requests).groupBy("request_id", "ingest_seq").agg(F.sort_array(F.collect_list(F.struct("pos", "role", F.col("fixed").alias("content")))).alias("messages"))
+    return requests.drop("messages").join(m, ["request_id", "ingest_seq"]).select(requests.columns)
+
+
+__all__ = ["WS", "blobs", "drop_repeats", "fixed_text", "json_blobs", "measure", "messages_of", "minify", "rewrite_requests", "rewritten", "safe_fix", "spans", "tight_text", "tighten", "unrepeat_text"]
