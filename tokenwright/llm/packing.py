@@ -71,20 +71,16 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, full: f
 
     Content flows from the emptier bin to the fuller one, so emptier bins run out and vanish."""
     fill = [sum(sizes[i] for i in b) for b in bins]
-    live = sorted((b for b in range(len(bins)) if fill[b] < full * capacity), key=lambda b: (fill[b], b))
-    pos = 0
-    while pos < len(live):
-        src, changed = live[pos], False
-        for dst in reversed(live[pos + 1 :]):
-            while fill[src] and _improve(bins, fill, sizes, src, dst, capacity):
-                changed = True
-            if not fill[src]:
-                break
-        pos = pos + 1 if not changed or not fill[src] else pos
-        if changed:
-            rest = [b for b in live[pos:] if 0 < fill[b] < capacity]
-            live = sorted(rest, key=lambda b: (fill[b], b))
-            pos = 0
+    changed = True
+    while changed:  # a change may open a way for any other pair, so passes go on until one has none
+        changed = False
+        live = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity and fill[b] < full * capacity), key=lambda b: (fill[b], b))
+        for k, src in enumerate(live):
+            for dst in reversed(live[k + 1 :]):
+                while fill[src] and _improve(bins, fill, sizes, src, dst, capacity):
+                    changed = True
+                if not fill[src]:
+                    break
     nothing = [b for b in range(len(bins)) if bins[b] and not fill[b]]  # only items of size 0 left
     host = next((b for b in range(len(bins)) if fill[b]), nothing[0] if nothing else None)
     for b in nothing:
