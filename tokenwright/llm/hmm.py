@@ -66,12 +66,13 @@ def _symbolise(keys: np.ndarray, shared: int):
 
 
 def start(counts: np.ndarray, states: int):
-    """(initial, transitions, emissions as symbols x states): unigrams, tilted by hashed noise."""
+    """(initial, transitions, emissions as symbols x states): unigrams, tilted by hashed noise that
+    is strong enough for states to part within a few rounds."""
     def noise(n, m, salt):
         return (K.mix(np.arange(n * m, dtype=U64) + U64(salt)) >> U64(11)).astype(float).reshape(n, m) / 2**53
 
-    emit = (counts[:, None] + 0.5) * (0.25 + 1.5 * noise(len(counts), states, 1 << 32))
-    move = 1 + 0.5 * noise(states, states, 1 << 40) + np.eye(states)
+    emit = (counts[:, None] + 0.5) * np.exp(3 * noise(len(counts), states, 1 << 32))
+    move = 1 + 4 * noise(states, states, 1 << 40)
     return np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
 
 
@@ -210,7 +211,7 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, segm
     return model, logs
 
 
-def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 4, segment: int = 128, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 6, segment: int = 128, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, log_likelihood, perplexity), one row for each input row."""
     d = slim(docs, id_col, text_col)
     words = d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
