@@ -74,8 +74,8 @@ def test_duplicate_blocks(spark):
 def test_top_blocks_are_taken_before_the_floors(spark):
     short = [" ".join(f"{c}{k:02d}" for c in "abcdefghijklmnopqrstuvwxyz"[:22]) for k in range(3)]
     rows = [{"m": [("user", "\n\n".join(short))]} for _ in range(3)] + [{"m": [("user", BLOCK)]} for _ in range(2)]
-    assert len(run(spark, C.duplicate_blocks, rows, top=3, min_total=1)[0].evidence) == 3
-    assert len(run(spark, C.duplicate_blocks, rows, top=4, min_total=1)[0].evidence) == 4
+    assert len(run(spark, C.duplicate_blocks, rows, top=3, min_tokens=1, min_wasted=1, min_total=1)[0].evidence) == 3
+    assert len(run(spark, C.duplicate_blocks, rows, top=4, min_tokens=1, min_wasted=1, min_total=1)[0].evidence) == 4
 
 
 def test_whitespace(spark):
