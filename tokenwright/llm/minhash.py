@@ -91,14 +91,12 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), K.ragged((code & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), o, pa.int32())], names=["doc_id", "runs"])
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float, agree: float) -> DataFrame:
+def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, agree: float) -> DataFrame:
     """(a, b) of similarity >= threshold; a pair with fewer equal minima than `agree` of them is
     dropped before its sets are compared."""
     left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
     likely = stored(pairs.join(left, "a").join(right, "b").where(equal >= F.size("sa") * agree).select("a", "b").distinct())
-    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(docs.mapInArrow(_sets, "doc_id long, runs array<int>").join(ids, "doc_id", "left_semi").distinct())
     both = likely.join(sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("rb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("ra")), "a")
     na, nb = F.size("ra"), F.size("rb")
     fits = both.where(F.least(na, nb) >= threshold * F.greatest(na, nb)).withColumn("n", F.size(F.array_intersect("ra", "rb")))
@@ -117,8 +115,11 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, bands: int = 8, rows: i
     table = F.array(*[F.xxhash64(F.lit(i * bands + j), F.col("halves")[i], F.col("halves")[bands + j]) for i in range(bands) for j in range(n_halves - bands)])
     keyed = leads.select("doc_id", F.explode(table).alias("key")).withColumn("low", F.min("doc_id").over(Window.partitionBy("key"))).withColumn("high", F.max("doc_id").over(Window.partitionBy("key")))
     buckets = stored(keyed.where("low < high").select("key", "doc_id", "low"))
+    # sets are shuffled once, for all members of buckets, and by the same plan at every size
+    members = buckets.select("doc_id").distinct().hint("shuffle_hash")
+    sets = stored(d.mapInArrow(_sets, "doc_id long, runs array<int>").join(members, "doc_id", "left_semi"))
     star = buckets.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = stored(_verify(star, sigs, d, threshold, agree))
+    edges = stored(_verify(star, sigs, sets, threshold, agree))
     roots = components(edges).withColumnsRenamed({"node": "doc_id"})
     # buckets that hold several groups still: their pairs across groups are compared one by one
     rooted = buckets.join(roots, "doc_id", "left").select("key", "doc_id", "low", F.coalesce("root", "doc_id").alias("root"))
@@ -126,7 +127,7 @@ def near_groups(docs: DataFrame, threshold: float = 0.5, bands: int = 8, rows: i
     mixed = stored(rooted.withColumn("r0", F.min("root").over(keys)).withColumn("r1", F.max("root").over(keys)).where("r0 < r1").select("key", "doc_id", "low", "root"))
     x, y = mixed.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra"), "low"), mixed.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
     rest = x.join(y, "key").where("a < b and ra <> rb and a <> low").select("a", "b").distinct()
-    more = _verify(rest, sigs, d, threshold, agree)
+    more = _verify(rest, sigs, sets, threshold, agree)
     found = components(edges.union(more).union(copies))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
