@@ -1,6 +1,7 @@
 import os.path
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from model import tokens
@@ -55,3 +56,14 @@ def test_text_helpers(spark):
 def test_prefix_of_the_extremes_is_that_of_all(spark, rows):
     g = frame(spark, rows).agg(F.min("t").alias("a"), F.max("t").alias("b")).select(X.common_prefix(F.col("a"), F.col("b")).alias("p")).first()
     assert g.p == os.path.commonprefix(rows)
+
+
+def test_exact_count(spark):
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(ranks):
+        pytest.skip("no vocabulary file here")
+    from tokenwright.functions.tokens import _encoding, exact_count
+
+    rows = ["hello world", "", "naïve <|endoftext|>", None]
+    got = [r.n for r in frame(spark, rows).orderBy("i").select(exact_count("t", ranks).alias("n")).collect()]
+    assert got == [len(_encoding(ranks).encode_ordinary(t)) if t else 0 for t in rows]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +58,6 @@ def _encoding(path: str):
 
 def exact_count(text: Column | str, ranks: str) -> Column:
     """Exact byte-pair tokens with the vocabulary file `ranks`; special tokens are ordinary text."""
-    import pandas as pd
-
     def count(batch: pd.Series) -> pd.Series:
         enc = _encoding(ranks)
         return batch.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int64")
