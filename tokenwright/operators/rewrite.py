@@ -28,12 +28,21 @@ def tighten(text: Column) -> Column:
     return F.regexp_replace(out, r"^\n+|\n+\z", "")
 
 
+def _let(value: Column, body) -> Column:
+    """Binds a value to a variable, which a lambda then reads without computing it again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def drop_repeats(text: Column, min_chars: int = MIN_SENTENCE) -> Column:
     """Later copies of a sentence of one text are dropped; blank runs become one space."""
     parts = F.transform(X.units(text), lambda u: F.struct(u.alias("u"), X.norm(u).alias("k")))
-    keys = F.transform(parts, lambda p: p["k"])
-    kept = F.filter(F.zip_with(parts, F.sequence(F.lit(1), F.size(parts)), lambda p, i: F.struct(p["u"].alias("u"), p["k"].alias("k"), i.alias("i"))), lambda p: (F.length(p["k"]) < min_chars) | (F.array_position(keys, p["k"]) == p["i"]))
-    return F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["u"]), ""), "[ \t]{2,}", " ")
+
+    def first_only(parts: Column, keys: Column) -> Column:
+        kept = F.filter(parts, lambda p, i: (F.length(p["k"]) < min_chars) | (F.array_position(keys, p["k"]) == i + 1))
+        return F.array_join(F.transform(kept, lambda p: p["u"]), "")
+
+    joined = _let(parts, lambda v: _let(F.transform(v, lambda p: p["k"]), lambda keys: first_only(v, keys)))
+    return F.regexp_replace(joined, "[ \t]{2,}", " ")
 
 
 def tight_text(text: str) -> str:
