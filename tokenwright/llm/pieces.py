@@ -277,12 +277,14 @@ def encode_rows(voc: Vocabulary, codes: np.ndarray, pos: np.ndarray) -> tuple[np
     return flat, out[np.searchsorted(u, pos)]
 
 
-def decode_rows(voc: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(UTF-8 bytes, row offsets), with the leading space of each row taken off."""
+def decode_rows(voc: Vocabulary, ids: np.ndarray, off: np.ndarray, lead: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, row offsets); with `lead`, the leading space of each row is taken off."""
     size = np.diff(voc.text_off)[ids]
     at = np.concatenate([[0], np.cumsum(size)])
     data = voc.text[np.repeat(voc.text_off[ids] - at[:-1], size) + np.arange(int(at[-1]))]
     roff = at[off]
+    if not lead:
+        return data, roff
     full = np.flatnonzero(np.diff(roff) > 0)
     drop = roff[full][data[roff[full]] == 32]
     keep = np.ones(len(data), bool)
@@ -317,81 +319,76 @@ def _rows_equal(a, aoff, b, boff) -> np.ndarray:
 
 
 class Chunk:
-    """A chunk's text with what follows, cut at its first and last safe place."""
-
-    def __init__(self, voc: Vocabulary, piece: str, size: int):
-        self.voc, self.size = voc, size
-        self.codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.reach = min(voc.longest - 1, len(self.codes) - size)  # how far a piece can go beyond
-        self.table = lookup(voc, self.codes, np.full(len(self.codes), len(self.codes)))
-        u = units(voc, self.codes, np.array([0, len(self.codes)]))
+    """A chunk's characters with those that follow it, and its first and last safe places."""
+
+    def __init__(self, voc: Vocabulary, codes: np.ndarray, size: int):
+        self.voc, self.codes, self.size = voc, codes, size
+        self.reach = min(voc.longest - 1, len(codes) - size)  # how far a piece can go beyond
+        u = units(voc, codes, np.array([0, len(codes)]))
         # every entry state comes before a cut, and every exit state after it
         u = u[(u >= voc.longest - 1) & (u <= size)]
         self.cuts = (int(u[0]), int(u[-1])) if len(u) else None
 
-    def entries(self) -> np.ndarray:
-        return np.arange(min(self.voc.longest, self.size + 1))
-
-    def _score(self, lo: int, hi: int) -> int:
-        """Best score between two safe places."""
-        inner = units(self.voc, self.codes[lo:hi], np.array([0, hi - lo])) + lo
-        lanes = Lanes(self.voc, self.table, inner, np.append(inner[1:], hi))
-        return int(lanes.best[lanes.len, np.arange(len(inner))].sum())
+    def _table(self, lo: int, hi: int) -> np.ndarray:
+        return lookup(self.voc, self.codes[lo:hi], np.full(hi - lo, hi - lo))
 
     def matrix(self) -> np.ndarray:
-        """transfer[entry, exit] in max-plus."""
+        """transfer[entry, exit] in max-plus, up to a constant that all entries share (the score
+        between the cuts, which every path has)."""
         w = self.voc.longest
         out = np.full((w, w), NEVER, np.int64)
-        e, exits = self.entries(), np.arange(self.reach + 1)
+        e, exits = np.arange(min(w, self.size + 1)), np.arange(self.reach + 1)
         if self.cuts is None:
-            lanes = Lanes(self.voc, self.table, e, np.full(len(e), self.size))
+            table = self._table(0, self.size + self.reach)
+            lanes = Lanes(self.voc, table, e, np.full(len(e), self.size))
             for i in e:  # the first lane is the longest
-                out[i, exits] = self._exits(lanes.best[:, i], i)
+                out[i, exits] = self._exits(table, lanes.best[: self.size - i + 1, i], i, 0)
             return out
         a, z = self.cuts
-        head = Lanes(self.voc, self.table, e, np.full(len(e), a))
-        to_cut = np.array([head.best[a - e[i], i] for i in range(len(e))])
-        tail = Lanes(self.voc, self.table, np.array([z]), np.array([self.size]))
-        leave = self._exits(tail.best[:, 0], z)
-        both = to_cut[:, None] + (self._score(a, z) if z > a else 0) + leave[None, :]
+        head = Lanes(self.voc, self._table(0, a), e, np.full(len(e), a))
+        to_cut = head.best[a - e, e]
+        table = self._table(z, self.size + self.reach)
+        tail = Lanes(self.voc, table, np.array([0]), np.array([self.size - z]))
+        both = to_cut[:, None] + self._exits(table, tail.best[:, 0], z, z)[None, :]
         out[np.ix_(e, exits)] = np.maximum(both, NEVER)
         return out
 
-    def _exits(self, best: np.ndarray, at: int) -> np.ndarray:
-        """Scores of leaving with one piece across the boundary (or just at it)."""
+    def _across(self, table, best: np.ndarray, at: int, base: int, leave: int):
+        """(score, first place, key index) of the pieces that end `leave` beyond the boundary; best
+        has the scores from `at` on, and table starts at `base`."""
+        for k in range(self.voc.longest, leave, -1):
+            p = self.size + leave - k
+            if p >= at:
+                i = table[k - 1, p - base]
+                if i >= 0 and best[p - at] > NEVER:
+                    yield int(best[p - at] + self.voc.scores[i]), p, int(i)
+
+    def _exits(self, table, best: np.ndarray, at: int, base: int) -> np.ndarray:
+        """Scores of leaving just at the boundary, or with one piece across it."""
         out = np.full(self.reach + 1, NEVER, np.int64)
         out[0] = best[self.size - at]
         for j in range(1, self.reach + 1):
-            for k in range(j + 1, self.voc.longest + 1):
-                p = self.size + j - k
-                if p < at:
-                    break
-                i = self.table[k - 1, p]
-                if i >= 0 and best[p - at] > NEVER:
-                    out[j] = max(out[j], best[p - at] + self.voc.scores[i])
+            out[j] = max([NEVER, *(x for x, _, _ in self._across(table, best, at, base, j))])
         return out
 
-    def tokens(self, entry: int, leave: int) -> np.ndarray:
-        """Token ids of the best path from an entry to an exit state."""
-        n = self.size
-        parts = []
-        if leave:  # the piece across the boundary
-            at = self.cuts[1] if self.cuts else entry
-            lane = Lanes(self.voc, self.table, np.array([at]), np.array([n]))
-            want, choice = NEVER, None
-            for k in range(self.voc.longest, leave, -1):
-                p = n + leave - k
-                if p < at:
-                    continue
-                i = self.table[k - 1, p]
-                if i >= 0 and lane.best[p - at, 0] > NEVER and lane.best[p - at, 0] + self.voc.scores[i] > want:
-                    want, choice = lane.best[p - at, 0] + self.voc.scores[i], (p, int(self.voc.ids[i]))
-            n, last = choice
-            parts = [np.array([last])]
-        if n > entry:
-            ids, _ = encode_rows(self.voc, self.codes[entry:n], np.array([0, n - entry]))
-            parts.insert(0, ids)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    def last(self, entry: int, leave: int) -> tuple[int, np.ndarray]:
+        """Where the pieces that stay within the chunk end, and the id of the one across, if any."""
+        if not leave:
+            return self.size, np.zeros(0, np.int64)
+        at = self.cuts[1] if self.cuts else entry
+        table = self._table(at, self.size + self.reach)
+        lane = Lanes(self.voc, table, np.array([0]), np.array([self.size - at]))
+        _, p, i = max(self._across(table, lane.best[:, 0], at, at, leave), key=lambda x: x[0])
+        return p, self.voc.ids[i : i + 1]
+
+
+def trace_chunks(voc: Vocabulary, chunks: list[Chunk], enter: list[int], leave: list[int]) -> list[np.ndarray]:
+    """Token ids of each chunk between its boundary states; equal units of all are solved once."""
+    ends = [c.last(e, x) for c, e, x in zip(chunks, enter, leave)]
+    rows = [c.codes[e : max(e, n)] for c, e, (n, _) in zip(chunks, enter, ends)]
+    pos = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    ids, off = encode_rows(voc, np.concatenate(rows) if rows else np.zeros(0, np.uint32), pos)
+    return [np.concatenate([ids[off[i] : off[i + 1]], ends[i][1]]) for i in range(len(rows))]
 
 
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -412,12 +409,31 @@ def boundary_states(matrices: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
-def _transfer(path: str):
+def _marked_text(text: str) -> str:
+    return chr(MARK) + text.replace(" ", chr(MARK))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def chunk_sizes(n: int, chunk: int) -> list[tuple[int, int]]:
+    """(start, size) of the chunks of n characters."""
+    return [(k, min(chunk, n - k)) for k in range(0, n, chunk)]
+
+
+def _transfer(path: str, chunk: int):
     def run(batches):
         voc = vocabulary(path)
         for b in batches:
-            blobs = [Chunk(voc, t, n).matrix().tobytes() for t, n in zip(b.column("piece").to_pylist(), b.column("size").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("part"), pa.array(blobs, pa.binary())], names=["of", "part", "matrix"])
+            of, part, blobs = [], [], []
+            for key, text in zip(b.column("of").to_pylist(), b.column("text").to_pylist()):
+                codes = _codes(_marked_text(text))
+                for k, (lo, size) in enumerate(chunk_sizes(len(codes), chunk)):
+                    of.append(key)
+                    part.append(k)
+                    blobs.append(Chunk(voc, codes[lo : lo + size + voc.longest - 1], size).matrix().tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=["of", "part", "matrix"])
 
     return run
 
@@ -429,63 +445,54 @@ def _combine(t: pa.Table) -> pa.Table:
     return pa.table([t.column("of"), t.column("part"), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], names=["of", "part", "enter", "leave"])
 
 
-def _trace(path: str):
-    def run(batches):
-        voc = vocabulary(path)
-        for b in batches:
-            cols = (b.column(c).to_pylist() for c in ("piece", "size", "enter", "leave"))
-            ids = [Chunk(voc, t, n).tokens(e, x).tolist() for t, n, e, x in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("part"), pa.array(ids, pa.list_(pa.int32()))], names=["of", "part", "ids"])
-
-    return run
-
-
-def encode(docs: DataFrame, path: str = MODEL, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, round_trip), one row for each input row."""
-    d = slim(docs, id_col, text_col)
-    giant = F.char_length("text") >= chunk_chars  # with the mark in front: more than a chunk
-    kind = "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
-    short = d.where(F.coalesce(~giant, F.lit(True))).mapInArrow(_encode(path), kind)
-    long = d.where(giant)
-    # repeated rows and ids keep apart by the text's hash; equal rows are one document, given back as often
-    named = long.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times"))
-    named = stored(named.withColumn("of", F.struct("doc_id", F.sha2("text", 256).alias("hash"))).select("of", "doc_id", "text", "times"))
-    cut = named.select(F.col("of.hash").alias("hash"), "doc_id", "text")
-    chunks = cut.mapInArrow(_cut_giants(path, chunk_chars), "doc_id long, hash string, part int, size int, piece string")
-    chunks = stored(chunks.select(F.struct("doc_id", "hash").alias("of"), "part", "size", "piece").repartition(F.col("of"), F.col("part")))
-    of = "of struct<doc_id:long,hash:string>"
-    states = chunks.mapInArrow(_transfer(path), f"{of}, part int, matrix binary").groupBy("of").applyInArrow(_combine, f"{of}, part int, enter int, leave int")
-    traced = chunks.join(states, ["of", "part"]).mapInArrow(_trace(path), f"{of}, part int, ids array<int>")
-    whole = traced.groupBy("of").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
-    back = whole.join(named, "of").select("doc_id", "text", "ids", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"))
-    return short.unionByName(back.mapInArrow(_check(path), kind))
-
-
-def _cut_giants(path: str, chunk: int):
+def _cut(path: str, chunk: int):
     def run(batches):
         over = vocabulary(path).longest - 1
+        schema = pa.schema([("of", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("piece", pa.string())])
         for b in batches:
-            for doc, name, text in zip(b.column("doc_id").to_pylist(), b.column("hash").to_pylist(), b.column("text").to_pylist()):
-                t = chr(MARK) + text.replace(" ", chr(MARK))
-                rows = [{"doc_id": doc, "hash": name, "part": k, "size": min(chunk, len(t) - k * chunk), "piece": t[k * chunk : (k + 1) * chunk + over]} for k in range(-(-len(t) // chunk))]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("hash", pa.string()), ("part", pa.int32()), ("size", pa.int32()), ("piece", pa.string())]))
+            for of, doc, text in zip(*(b.column(c).to_pylist() for c in ("of", "doc_id", "text"))):
+                t = _marked_text(text)
+                yield pa.RecordBatch.from_pylist([{"of": of, "doc_id": doc, "part": k, "size": n, "piece": t[lo : lo + n + over]} for k, (lo, n) in enumerate(chunk_sizes(len(t), chunk))], schema=schema)
 
     return run
 
 
-def _check(path: str):
+def _trace(path: str):
     def run(batches):
         voc = vocabulary(path)
         for b in batches:
-            ids = b.column("ids")
-            off = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))])
-            raw, roff = decode_rows(voc, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), off)
-            want, woff = K.buffers(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(np.diff(off)), pa.array(_rows_equal(raw, roff, want, woff))], names=["doc_id", "ids", "n_tokens", "round_trip"])
+            pieces, sizes, enter, leave = (b.column(c).to_pylist() for c in ("piece", "size", "enter", "leave"))
+            ids = trace_chunks(voc, [Chunk(voc, _codes(t), n) for t, n in zip(pieces, sizes)], enter, leave)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+            raw, roff = decode_rows(voc, flat, off, lead=False)
+            # the characters between the states, with the marks as the spaces that they were
+            ok = []
+            for r, (t, n, e, x) in enumerate(zip(pieces, sizes, enter, leave)):
+                own = t[e : n + x]
+                ok.append(raw[roff[r] : roff[r + 1]].tobytes() == own.replace(chr(MARK), " ").encode())
+            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("doc_id"), b.column("part"), K.ragged(flat.astype(np.int32), off, pa.int32()), pa.array(ok, pa.bool_())], names=["of", "doc_id", "part", "ids", "ok"])
 
     return run
 
 
+def encode(docs: DataFrame, path: str = MODEL, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, n_tokens, round_trip), one row for each input row."""
+    d = slim(docs, id_col, text_col)
+    giant = F.char_length("text") >= chunk_chars  # with the mark in front: more than a chunk
+    short = d.where(F.coalesce(~giant, F.lit(True))).mapInArrow(_encode(path), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    # a stored number tells rows apart, repeated ones too
+    long = stored(d.where(giant).withColumn("of", F.monotonically_increasing_id()))
+    states = long.select("of", "text").mapInArrow(_transfer(path, chunk_chars), "of long, part int, matrix binary").groupBy("of").applyInArrow(_combine, "of long, part int, enter int, leave int")
+    chunks = long.mapInArrow(_cut(path, chunk_chars), "of long, doc_id long, part int, size int, piece string")
+    # the join spreads a document's chunks over tasks
+    traced = chunks.join(states.hint("shuffle_hash"), ["of", "part"]).mapInArrow(_trace(path), "of long, doc_id long, part int, ids array<int>, ok boolean")
+    plain = long.select("of", (F.instr("text", chr(MARK)) == 0).alias("plain"))
+    whole = traced.groupBy("of", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"), F.bool_and("ok").alias("ok")).join(plain, "of")
+    ids = F.flatten(F.transform("parts", lambda x: x["ids"]))
+    return short.unionByName(whole.select("doc_id", ids.alias("ids"), "ok", "plain").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("ok") & F.col("plain")).alias("round_trip")))
+
+
 def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of token ids; null ids give a null text."""
 
