@@ -150,17 +150,29 @@ def pretty_json(p: DataFrame, min_gain: int = 8, min_total: int = 25) -> DataFra
 
 
 _EDGE = r"\b"
-FILLERS = [
-    (rf"{_EDGE}you are a (?:very )?(?:helpful|friendly|useful)(?:,? (?:helpful|friendly|useful))* (?:ai )?assistant{_EDGE}\.?", "generic framing"),
-    *[(rf"{_EDGE}{x}{_EDGE}", "empty hedge") for x in ("please note that", "it (?:is|'s) important (?:to note )?that", "keep in mind that")],
-    (rf"{_EDGE}as an? (?:ai|language model){_EDGE}", "self-reference"),
-    *[(rf"{_EDGE}{x}{_EDGE}", "changes nothing") for x in ("do your best", "take a deep breath")],
-    (rf"{_EDGE}think (?:about it )?carefully(?: before answering)?{_EDGE}", "vague"),
-    (rf"{_EDGE}i (?:will|'ll) tip you{_EDGE}[^.\n]*", "changes nothing"),
-    (rf"{_EDGE}this is very important (?:to|for) my career{_EDGE}", "changes nothing"),
-    (rf"{_EDGE}feel free to{_EDGE}", "filler"),
-    *[(rf"{_EDGE}{x}{_EDGE}", "wordy") for x in ("in order to", "at this point in time", "due to the fact that")],
+
+
+def _opt(text: str) -> str:
+    return f"(?:{text})?"
+
+
+_NICE = "(?:" + "|".join(sorted(("useful", "helpful", "friendly"))) + ")"
+# (pattern between word edges, what may follow it, why); the order is the order of the hits
+_PHRASES = [
+    (f"you are a {_opt('very ')}{_NICE}(?:,? {_NICE})* {_opt('ai ')}assistant", r"\.?", "generic framing"),
+    ("please note that", "", "empty hedge"),
+    (f"it (?:'s|is) important {_opt('to note ')}that", "", "empty hedge"),
+    ("keep in mind that", "", "empty hedge"),
+    ("as an? (?:language model|ai)", "", "self-reference"),
+    ("do your best", "", "changes nothing"),
+    ("take a deep breath", "", "changes nothing"),
+    (f"think {_opt('about it ')}carefully{_opt(' before answering')}", "", "vague"),
+    ("i (?:'ll|will) tip you", r"[^.\n]*", "changes nothing"),
+    ("this is very important (?:for|to) my career", "", "changes nothing"),
+    ("feel free to", "", "filler"),
+    *((words, "", "wordy") for words in ("in order to", "at this point in time", "due to the fact that")),
 ]
+FILLERS = [(f"{_EDGE}{rx}{_EDGE}{tail}", why) for rx, tail, why in _PHRASES]
 
 
 def _matches(k: int, rx: str, why: str) -> Column:
@@ -202,7 +214,7 @@ def restated(p: DataFrame, min_chars: int = 40, more_than: int = 10, min_total:
     )
 
 
-MARKER = rf"^{WS}*(?:###{WS}*)?(?:example|input|output|q|a|user|assistant){WS}*\p{{Nd}}*{WS}*[:\-]"
+MARKER = rf"^{WS}*(?:###{WS}*)?(?:a|assistant|example|input|output|q|user){WS}*\p{{Nd}}*{WS}*[:\-]"
 
 
 def fewshot(p: DataFrame, min_markers: int = 6, min_tokens: int = 200, min_total: int = 100) -> DataFrame:

@@ -15,7 +15,8 @@ from ..sources.records import compact
 
 MIN_BLOB, MIN_SENTENCE = 40, 40
 _TOKENS = {o: re.compile(r'"(?:[^"\\]|\\[\s\S])*"|"|[' + re.escape(o + c) + "]") for o, c in ("{}", "[]")}
-_FENCED = re.compile(r"```[\s\S]*?```|~~~[\s\S]*?~~~")
+_FENCED = re.compile(r"(`{3}|~{3})[\s\S]*?\1")
+_LINE_ENDS, _BLANK_LINES = re.compile(r"(?m)[ \t]+$"), re.compile("\n{3,}")
 _UNIT = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 
 
@@ -47,7 +48,7 @@ def drop_repeats(text: Column, min_chars: int = MIN_SENTENCE) -> Column:
 
 def tight_text(text: str) -> str:
     """`tighten` for any text: within code fences only line ends and blank lines change."""
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)[ \t]+$", "", text))
+    text = _BLANK_LINES.sub("\n\n", _LINE_ENDS.sub("", text))
     out, at = [], 0
     for fence in _FENCED.finditer(text):
         out += [_single(text[at : fence.start()]), fence.group()]

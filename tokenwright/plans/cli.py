@@ -16,12 +16,13 @@ from . import report
 from .audit import Audit, Result
 
 VERSION = "0.1.0"
+FORMATS = "terminal markdown json".split()
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog=report.NAME, description="Audits what language-model prompts and request logs cost.", epilog="exit codes: 0 fine, 1 a gate was exceeded, 2 usage or no input")
+    p = argparse.ArgumentParser(report.NAME, description="Audits what language-model prompts and request logs cost.", epilog="exit codes: 0 fine, 1 a gate was exceeded, 2 usage or no input")
     p.add_argument("paths", nargs="*", help="files, directories, or - for standard input")
-    p.add_argument("-f", "--format", choices=("terminal", "markdown", "json"), default="terminal")
+    p.add_argument("-f", "--format", default=FORMATS[0], choices=FORMATS)
     p.add_argument("-o", "--output")
     p.add_argument("--price-in", type=float, default=PRICE_IN, help="US dollars per million input tokens")
     p.add_argument("--price-out", type=float, default=PRICE_OUT)

@@ -32,7 +32,7 @@ def _calls(spark, d) -> DataFrame:
     return tables.from_conversations(_table(spark, d, "conversations"))
 
 
-# --- enriched inputs -------------------------------------------------------------------------
+# enriched inputs
 
 FILLER_LINE = "You are a very helpful assistant. Please note that, in order to answer, do your best."
 REPEATED = "Answer every question in the language in which it was put to you."
@@ -96,7 +96,7 @@ def _core(f: DataFrame, *more: str) -> DataFrame:
     return f.select("check", "confidence", "tokens_saved", "calls_affected", *more)
 
 
-# --- queries ---------------------------------------------------------------------------------
+# queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

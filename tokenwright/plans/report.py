@@ -95,7 +95,7 @@ def as_json(r: Result, price_in: float = PRICE_IN, price_out: float = PRICE_OUT,
         "tool": NAME,
         "counting": {"backend": r.backend, "exact": r.exact},
         "corpus": {"records": t["records"], "calls": t["calls"], "input_tokens": t["input_tokens"], "message_tokens": t["message_tokens"], "tool_schema_tokens": t["tool_tokens"], "output_tokens": t["output_tokens"], "avg_input_tokens_per_call": t["avg_input"]},
-        "pricing": {"input_per_million_usd": price_in, "output_per_million_usd": price_out, "is_placeholder_rate": price_in == PRICE_IN},
+        "pricing": {"is_placeholder_rate": price_in == PRICE_IN, **{f"{way}_per_million_usd": rate for way, rate in (("input", price_in), ("output", price_out))}},
         "recoverable_tokens": {"measured_safe_rewrite": r.measured["saved"], "high_prompt_caching": r.total("high"), "judgement": r.total("judgement"), "_note": "the measured part is counted after rewriting; findings may overlap"},
         "recoverable_tokens_confident": r.safe,
         "recoverable_pct_confident": round(r.pct, 2),

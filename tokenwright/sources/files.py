@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import records
 from .tables import REQUESTS
 
-TEXT = {".txt", ".md", ".markdown", ".prompt", ".prompts", ".j2", ".jinja", ".jinja2", ".tmpl", ".template", ".yaml", ".yml", ".toml", ".xml"}
+TEXT = set(".j2 .jinja .jinja2 .markdown .md .prompt .prompts .template .tmpl .toml .txt .xml .yaml .yml".split())
 LINES = {".jsonl", ".ndjson"}
 KNOWN = TEXT | LINES | {".json"}
 PRUNED = {"__pycache__", "build", "dist", "node_modules", "site-packages", "venv"}  # and all dot-directories
@@ -29,9 +29,9 @@ def walk(path: str) -> list[str]:
     if os.path.isfile(path):
         return [path]
     out = []
-    for root, dirs, files in os.walk(path):
-        dirs[:] = sorted(d for d in dirs if d not in PRUNED and not d.startswith("."))
-        out += [os.path.join(root, f) for f in sorted(files) if _suffix(f) in KNOWN]
+    for here, folders, names in os.walk(path):
+        folders[:] = sorted(x for x in folders if not (x[0] == "." or x in PRUNED))
+        out += [f"{here.rstrip('/')}/{name}" for name in sorted(names) if _suffix(name) in KNOWN]
     return out
 
 
