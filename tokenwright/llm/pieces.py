@@ -457,21 +457,23 @@ def _cut(path: str, chunk: int):
     return run
 
 
+TRACE_CHUNKS = 64  # traced together, which bounds memory, never what is processed
+
+
 def _trace(path: str):
     def run(batches):
         voc = vocabulary(path)
-        for b in batches:
-            pieces, sizes, enter, leave = (b.column(c).to_pylist() for c in ("piece", "size", "enter", "leave"))
-            ids = trace_chunks(voc, [Chunk(voc, _codes(t), n) for t, n in zip(pieces, sizes)], enter, leave)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
-            raw, roff = decode_rows(voc, flat, off, lead=False)
-            # the characters between the states, with the marks as the spaces that they were
-            ok = []
-            for r, (t, n, e, x) in enumerate(zip(pieces, sizes, enter, leave)):
-                own = t[e : n + x]
-                ok.append(raw[roff[r] : roff[r + 1]].tobytes() == own.replace(chr(MARK), " ").encode())
-            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("doc_id"), b.column("part"), K.ragged(flat.astype(np.int32), off, pa.int32()), pa.array(ok, pa.bool_())], names=["of", "doc_id", "part", "ids", "ok"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TRACE_CHUNKS):
+                b = whole.slice(lo, TRACE_CHUNKS)
+                pieces, sizes, enter, leave = (b.column(c).to_pylist() for c in ("piece", "size", "enter", "leave"))
+                ids = trace_chunks(voc, [Chunk(voc, _codes(t), n) for t, n in zip(pieces, sizes)], enter, leave)
+                off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+                raw, roff = decode_rows(voc, flat, off, lead=False)
+                # the characters between the states, with the marks as the spaces that they were
+                same = [raw[a:z].tobytes() == t[e : n + x].replace(chr(MARK), " ").encode() for a, z, t, n, e, x in zip(roff, roff[1:], pieces, sizes, enter, leave)]
+                yield pa.RecordBatch.from_arrays([b.column("of"), b.column("doc_id"), b.column("part"), K.ragged(flat.astype(np.int32), off, pa.int32()), pa.array(same, pa.bool_())], names=["of", "doc_id", "part", "ids", "ok"])
 
     return run
 
