@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 from cases import ODD, frame, with_clashes
@@ -69,3 +70,24 @@ def test_scores(spark):
     assert got[1004][0].words == 40000 and math.isfinite(got[1004][0].log_likelihood)
     assert got[1005][0] == got[1005][1] and got[1005][0].log_likelihood == got[1006][0].log_likelihood
     assert H.score(frame(spark, [])).count() == 0
+
+
+def test_each_word_has_its_own_probability(spark):
+    words = {f"w{i}": 1 + i % 5 for i in range(40)} | {"top": 90, "next": 80}
+    rows = [(i, w) for i, w in enumerate(w for w, n in words.items() for _ in range(n))]
+    p = {}
+    for r in H.score(frame(spark, rows), vocabulary=2, shared=1, states=2, rounds=3).collect():
+        p.setdefault(rows[r.doc_id][1], set()).add(r.log_likelihood)
+    assert all(len(x) == 1 for x in p.values())
+    p = {w: math.exp(*x) for w, x in p.items()}
+    assert math.isclose(sum(p.values()), 1, rel_tol=1e-6)
+    assert math.isclose(p["w4"] / p["w0"], 5, rel_tol=1e-6) and p["w5"] == p["w0"]
+
+
+def test_long_texts_join_the_counts_of_all_rare_words(spark):
+    rows = [(i, " ".join(f"r{(i * 7 + k) % 300}" for k in range(50 + i))) for i in range(60)]
+    count = Counter(w for _, t in rows for w in t.split())
+    got = {r.doc_id: r for r in H.score(frame(spark, rows), vocabulary=0, shared=1, states=2, rounds=1).collect()}
+    for i, t in rows:  # one class: the model is the unigram model
+        want = sum(math.log(count[w] / count.total()) for w in t.split())
+        assert math.isclose(got[i].log_likelihood, want, rel_tol=1e-9) and math.isclose(got[i].perplexity, math.exp(-want / len(t.split())), rel_tol=1e-9)

@@ -1,11 +1,16 @@
 """Language-model scores: a hidden Markov model over the words of the corpus.
 
-Word counts over all documents choose the symbols: the `vocabulary` most frequent words have one
-each, all other words share `shared` more by their hash.  Baum-Welch trains `states` latent states
+Every word of the corpus is counted and has its own emission probability: that of its class in the
+state, times the word's exact share of the class's occurrences.  The `vocabulary` most frequent
+words are a class (symbol) each; all other words fall into `shared` classes by their hash, and their
+counts stay partitioned by word and are joined to the texts.  Words of one class thus share how they
+depend on the state, but not their probability.  Baum-Welch trains `states` latent states
 on every word of the corpus: each task adds up expected counts over its texts, cut into sequences
 of `segment` words so that thousands advance together, and one grouped sum by symbol aggregates
 them.  Scores are of whole texts: the scaled forward recursion multiplies by one transition matrix
-a word, and the logs of its scale factors add up to the exact likelihood of the sequence.
+a word, and the logs of its scale factors add up to the exact likelihood of the classes; the logs of
+the words' shares, added in steps of 1 / SHARE_STEPS so that their order can't matter, make it that
+of the words.
 
 Defined cases: words are folded runs of letters and digits; a null text has null results; a text
 without words has likelihood 1 (log 0.0) and no perplexity (null); equally frequent words rank by
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,7 @@ from .common import slim, stored
 U64 = K.U64
 GROUP = 2048  # sequences that advance together
 SCORE_WORDS = 1 << 22
+SHARE_STEPS = 1 << 36
 
 
 def _word_hashes(b):
@@ -53,14 +60,21 @@ def symbols_of(h: np.ndarray, keys: np.ndarray, shared: int) -> np.ndarray:
 
 
 def _symbolise(keys: np.ndarray, shared: int):
+    """Rows get a number of their own, since ids may repeat; rare: the words of shared symbols."""
+
     def run(batches):
+        nr = TaskContext.get().partitionId() << 36
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text")
             for i, j, h, woff in _word_hashes(b):
-                raw = symbols_of(h, keys, shared).astype("<u4").tobytes()
+                sym = symbols_of(h, keys, shared)
+                raw = sym.astype("<u4").tobytes()
+                at = np.flatnonzero(sym >= len(keys))
+                rare = K.ragged(h[at].view(np.int64), np.searchsorted(at, woff), pa.int64())
                 blobs = [raw[4 * x : 4 * y] for x, y in zip(woff[:-1], woff[1:])]
                 valid = np.asarray(texts.slice(i, j - i).is_valid())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.diff(woff).astype(np.int64), mask=~valid), pa.array(blobs, pa.binary())], names=["doc_id", "words", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(nr, nr + j - i)), ids.slice(i, j - i), pa.array(np.diff(woff).astype(np.int64), mask=~valid), pa.array(blobs, pa.binary()), rare], names=["nr", "doc_id", "words", "symbols", "rare"])
+                nr += j - i
 
     return run
 
@@ -168,16 +182,16 @@ def log_likelihoods(model, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
     return res
 
 
-def _score(model):
+def _score(model, counts: np.ndarray, own: int):
+    """Log-likelihoods of the symbols, less the logs of the counts of shared ones (from `own` on)."""
+    less = np.where(np.arange(len(counts)) < own, 0.0, np.log(np.maximum(counts, 1)))
+
     def flush(held):
         t = pa.Table.from_batches(held).combine_chunks()
         raw, off = K.buffers(t.column("symbols"))
-        ll = log_likelihoods(model, raw.view("<u4").astype(np.int64) if len(raw) else np.zeros(0, np.int64), off // 4)
-        words = t.column("words").combine_chunks()
-        null, n = ~np.asarray(words.is_valid()), words.fill_null(0).to_numpy()
-        with np.errstate(over="ignore"):
-            perplexity = np.exp(-ll / np.maximum(n, 1))
-        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), words, pa.array(ll, mask=null), pa.array(perplexity, mask=null | (n == 0))], names=["doc_id", "words", "log_likelihood", "perplexity"])
+        sym, off = raw.view("<u4").astype(np.int64) if len(raw) else np.zeros(0, np.int64), off // 4
+        ll = log_likelihoods(model, sym, off) - K.segment_reduce(np.add, less[sym], off, 0.0)
+        return pa.RecordBatch.from_arrays([t.column("nr").combine_chunks(), t.column("doc_id").combine_chunks(), t.column("words").combine_chunks(), pa.array(ll)], names=["nr", "doc_id", "words", "ll"])
 
     def run(batches):
         held, size = [], 0
@@ -196,8 +210,11 @@ def _score(model):
 
 def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, segment: int, prior: float):
     """(model, log-likelihood before each round)."""
-    model, logs = start(counts, states), []
-    unigram = (counts + 0.5) / (counts + 0.5).sum()
+    (pi, move, emit), logs = start(counts, states), []
+    some = counts > 0 if counts.any() else np.ones(len(counts), bool)  # a symbol of no word takes no probability
+    emit = emit * some[:, None]
+    model = pi, move, emit / emit.sum(axis=0)
+    unigram = (counts + 0.5) * some / ((counts + 0.5) * some).sum()
     v, cols = len(counts), [f"c{i}" for i in range(states)]
     for _ in range(rounds):
         got = symbols.where("words > 0").mapInArrow(_expectations(model, segment), "key long, " + ", ".join(f"{c} double" for c in cols))
@@ -214,10 +231,10 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, segm
 def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 6, segment: int = 128, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, log_likelihood, perplexity), one row for each input row."""
     d = slim(docs, id_col, text_col)
-    words = d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = stored(words).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toPandas()  # at most `vocabulary` rows
+    words = stored(d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toPandas()  # at most `vocabulary` rows
     keys = np.sort(top["word"].to_numpy(np.int64).view(U64))
-    symbols = stored(d.mapInArrow(_symbolise(keys, shared), "doc_id long, words long, symbols binary"))
+    symbols = stored(d.mapInArrow(_symbolise(keys, shared), "nr long, doc_id long, words long, symbols binary, rare array<long>"))
 
     def tally(batches):
         n = np.zeros(len(keys) + shared, np.int64)
@@ -232,4 +249,10 @@ def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, sta
     counts = np.zeros(len(keys) + shared)
     counts[seen["symbol"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
     model, _ = train(symbols, counts, states, rounds, segment, prior)
-    return symbols.mapInArrow(_score(model), "doc_id long, words long, log_likelihood double, perplexity double")
+    # exact counts of rare words, by word to their occurrences; no word among them is frequent, so no key is heavy
+    steps = F.round(F.log("n") * SHARE_STEPS).cast("long")
+    shares = symbols.select("nr", F.explode("rare").alias("word")).join(words.select("word", steps.alias("steps")), "word").groupBy("nr").agg(F.sum("steps").alias("steps"))
+    scored = symbols.select("nr", "doc_id", "words", "symbols").mapInArrow(_score(model, counts, len(keys)), "nr long, doc_id long, words long, ll double")
+    ll = F.when(F.col("words").isNotNull(), F.col("ll") + F.coalesce(F.col("steps"), F.lit(0)) / SHARE_STEPS)
+    out = scored.join(shares, "nr", "left").select("doc_id", "words", ll.alias("log_likelihood"))
+    return out.withColumn("perplexity", F.when(F.col("words") > 0, F.exp(-F.col("log_likelihood") / F.col("words"))))
