@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from tokenwright.functions.tokens import token_count
 from tokenwright.operators import checks as C
 from tokenwright.operators import rewrite as R
 from tokenwright.operators.summary import summary
+from tokenwright.plans import queries as Q
 from tokenwright.plans.audit import Audit
 from tokenwright.sources.tables import REQUESTS
 
@@ -163,3 +166,15 @@ def test_order_and_isolation(spark, monkeypatch):
     r = Audit(requests(spark, rows)).run()
     assert [f["title"] for f in r.findings if f["check"] == "restated"] == ["Check failed to run"]
     assert r.total("high") > 0 and r.summary["calls"] == 6
+
+
+def test_projection_counts_what_can_be_saved(spark, tmp_path):
+    system = "You answer questions of customers about parcels, customs and invoices. " * 12
+    rows = [(c, k, r, x) for c in range(12) for k, (r, x) in enumerate([("system", system + f"Case {c}" * (c == 0)), ("user", f"Where is   parcel {c}?  \n\n\n\n\nThanks"), ("assistant", "On its way.")])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    calls = Q.tables.from_conversations(spark.read.parquet(str(tmp_path / "conversations.parquet")))
+    for name, settings in (("projection", {}), ("projected_saving", Q.SETTINGS)):
+        want = Audit(calls, settings=settings).run()
+        r = Q.QUERIES[name](spark, str(tmp_path)).first()
+        assert want.measured["saved"] > 0 and want.total("high") > 0 and r["safe_tokens"] == want.measured["saved"] + want.total("high")
+    assert math.isclose(r["monthly_saving"], want.safe * 1e6 / 12 / 1e6, abs_tol=1e-6) and math.isclose(r["annual_saving"], 12 * r["monthly_saving"], abs_tol=1e-5) and math.isclose(r["safe_pct"], want.pct)

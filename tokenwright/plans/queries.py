@@ -344,14 +344,23 @@ def findings_report(spark, d):
     return C.findings(_calls(spark, d), SETTINGS)
 
 
+def _projected(calls: DataFrame, settings: dict[str, dict] | None = None) -> DataFrame:
+    """Safe savings are those of the measured rewrite and all HIGH findings of the log."""
+    high = C.findings(calls, settings).where("confidence = 'high'").agg(F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("high_tokens"))
+    return S.projection(S.summary(calls), R.measure(calls), high, 1_000_000, 1.0)
+
+
 _PROJECTED = f"""WITH {Q.RESENT}, s AS ({_SUMMARY})
     SELECT 0::BIGINT AS safe_tokens, trunc(input_tokens * (1000000 / calls))::BIGINT AS projected_tokens FROM s"""
 
 
 @_register("projection", _PROJECTED)
 def projection(spark, d):
-    calls = _calls(spark, d)
-    high = spark.range(1).select(F.lit(0).cast("long").alias("high_tokens"))
-    measured = calls.limit(0).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("saved"))
-    p = S.projection(S.summary(calls), measured, high, 1_000_000, 1.0)
+    p = _projected(_calls(spark, d))
     return p.select("safe_tokens", F.round(F.col("monthly_spend") * 1e6).cast("long").alias("projected_tokens"))
+
+
+@_register("projected_saving")
+def projected_saving(spark, d):
+    """The whole projection of the resent log, with the thresholds of the findings report."""
+    return _projected(_calls(spark, d), SETTINGS)
