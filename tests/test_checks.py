@@ -178,3 +178,11 @@ def test_projection_counts_what_can_be_saved(spark, tmp_path):
         r = Q.QUERIES[name](spark, str(tmp_path)).first()
         assert want.measured["saved"] > 0 and want.total("high") > 0 and r["safe_tokens"] == want.measured["saved"] + want.total("high")
     assert math.isclose(r["monthly_saving"], want.safe * 1e6 / 12 / 1e6, abs_tol=1e-6) and math.isclose(r["annual_saving"], 12 * r["monthly_saving"], abs_tol=1e-5) and math.isclose(r["safe_pct"], want.pct)
+
+
+def test_tools_of_all_parts_are_declared(spark):
+    d = "/root/testdata/sf0.001"
+    got = {t for r in Q._part_tool_requests(spark, d).select("tools.name").collect() for t in r.name}
+    sold = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey").distinct()
+    want = {f"tool_{r.p_partkey}" for r in spark.read.parquet(f"{d}/part.parquet").join(sold, F.col("p_partkey") == F.col("l_partkey")).collect()}
+    assert got == want and len(got) > 100

@@ -276,12 +276,12 @@ def tool_schema_cost(p: DataFrame, min_average: int = 100) -> DataFrame:
     )
 
 
-def unused_tools(p: DataFrame, min_wasted: int = 200) -> DataFrame:
-    """Tools that are declared in half of the calls or more, and never called."""
+def unused_tools(p: DataFrame, min_wasted: int = 200, min_share: float = 0.5) -> DataFrame:
+    """Tools that are declared in `min_share` of the calls or more, in two at least, and never called."""
     per, totals = _tools(p)
     called = p.where(F.size("tools") > 0).select(F.explode("tools_called").alias("name")).distinct()
     some = called.agg(F.count(F.lit(1)).alias("called"))
-    never = per.join(called, "name", "left_anti").crossJoin(totals.crossJoin(some)).where((F.col("called") > 0) & (F.col("declared") >= F.greatest(F.lit(2), F.floor(F.col("w") / 2))))
+    never = per.join(called, "name", "left_anti").crossJoin(totals.crossJoin(some)).where((F.col("called") > 0) & (F.col("declared") >= F.greatest(F.lit(2), F.floor(F.col("w") * min_share))))
     sums = never.agg(F.sum(F.col("cost") * F.col("declared")).alias("saved"), F.max("w").alias("w"), F.count(F.lit(1)).alias("n"))
     few = _first_lines(never, 5, [-F.col("cost"), F.col("at")], F.concat(F.col("name"), F.lit(": "), F.col("cost"), F.lit(" tok, never called")))
     out = sums.where(F.col("saved") >= min_wasted).crossJoin(few)  # single rows

@@ -92,6 +92,26 @@ _TOOLS = f"""tool AS (
     n AS (SELECT count(*)::BIGINT AS w, count_if(o_orderkey % 2 = 0) AS called FROM orders)"""
 
 
+def _part_tool_requests(spark, d) -> DataFrame:
+    """Each order as an agent call that declares a tool for each of its parts; even orders call those
+    with numbers that three divides."""
+    json = F.concat(F.lit('{"name":"tool_'), F.col("p_partkey"), F.lit('","description":"'), F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit('","parameters":{"type":"object","size":'), F.col("p_size"), F.lit("}}"))
+    tool = F.struct(F.col("p_partkey").cast("int").alias("pos"), F.concat(F.lit("tool_"), F.col("p_partkey")).alias("name"), json.alias("schema_json"))
+    part = _table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), tool.alias("tool"), (F.col("p_partkey") % 3 == 0).alias("third"))
+    declared = _table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(part, "l_partkey")
+    used = F.when((F.col("l_orderkey") % 2 == 0) & F.col("third"), F.col("tool.name"))
+    calls = declared.groupBy(F.col("l_orderkey").alias("ingest_seq")).agg(F.sort_array(F.collect_list("tool")).alias("tools"), F.collect_list(used).alias("tools_called"))
+    message = F.array(F.struct(F.lit(0).alias("pos"), F.lit("user").alias("role"), F.lit("go").alias("content")))
+    return tables.as_requests(calls.withColumn("messages", message))
+
+
+_PART_TOOLS = f"""tool AS (
+    SELECT p_partkey, 'tool_' || p_partkey AS name, {Q.tokens('''('{"name":"tool_' || p_partkey || '","description":"' || p_type || ' ' || p_name || '","parameters":{"type":"object","size":' || p_size || '}}')''')} AS cost FROM part),
+    uses AS (SELECT DISTINCT l_orderkey, p_partkey, name, cost FROM lineitem JOIN tool ON l_partkey = p_partkey),
+    per AS (SELECT p_partkey, name, cost, count(*) AS declared, min(l_orderkey) AS first, bool_or(l_orderkey % 2 = 0 AND p_partkey % 3 = 0) AS called FROM uses GROUP BY p_partkey, name, cost),
+    n AS (SELECT count(DISTINCT l_orderkey)::BIGINT AS w, sum(cost)::BIGINT AS total FROM uses)"""
+
+
 def _core(f: DataFrame, *more: str) -> DataFrame:
     return f.select("check", "confidence", "tokens_saved", "calls_affected", *more)
 
@@ -289,6 +309,22 @@ def unused_tools(spark, d):
     return _core(C.unused_tools(C.prepare(_tool_requests(spark, d))))
 
 
+@_register(
+    "tool_schema_cost_parts",
+    f"WITH {_PART_TOOLS}, few AS (SELECT * FROM per ORDER BY cost DESC, first, p_partkey LIMIT 5) SELECT 'tool-schema-cost' AS check, 'high' AS confidence, ((total - total // w) // 2)::BIGINT AS tokens_saved, w AS calls_affected, (SELECT string_agg(name || ': ' || cost || ' tok', ' | ' ORDER BY cost DESC, first, p_partkey) FROM few) AS evidence FROM n WHERE total // w >= 50",
+)
+def tool_schema_cost_parts(spark, d):
+    return _core(C.tool_schema_cost(C.prepare(_part_tool_requests(spark, d)), min_average=50), F.array_join("evidence", " | ").alias("evidence"))
+
+
+@_register(
+    "unused_tools_parts",
+    f"WITH {_PART_TOOLS}, few AS (SELECT * FROM per WHERE NOT called AND declared >= 2 ORDER BY cost DESC, first, p_partkey LIMIT 5) SELECT 'unused-tool-schemas' AS check, 'judgement' AS confidence, sum(cost * declared)::BIGINT AS tokens_saved, max(w) AS calls_affected, (SELECT string_agg(name || ': ' || cost || ' tok, never called', ' | ' ORDER BY cost DESC, first, p_partkey) FROM few) AS evidence FROM per, n WHERE NOT called AND declared >= 2 AND (SELECT bool_or(called) FROM per) HAVING sum(cost * declared) >= 200",
+)
+def unused_tools_parts(spark, d):
+    return _core(C.unused_tools(C.prepare(_part_tool_requests(spark, d)), min_share=0), F.array_join("evidence", " | ").alias("evidence"))
+
+
 def _tight(x: str) -> str:
     slack = f"regexp_replace(regexp_replace({x}, '(?m)[ \\t]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
     return rf"regexp_replace(regexp_replace({slack}, '([^{SPACE}])[ \t]{{2,}}([^{SPACE}])', '\1 \2', 'g'), '^\n+|\n+$', '', 'g')"
