@@ -78,3 +78,27 @@ def test_scan(spark):
     got = license_scan(with_clashes(frame(spark, rows))).collect()
     assert len(got) == len(rows) and {r.doc_id for r in got if r.status != "none"} == {1}
     assert license_scan(frame(spark, [])).count() == 0
+
+
+GPL3 = """
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+
+
+@pytest.mark.parametrize("text, expression, obligation", [
+    (GPL3, "GPL-3.0-or-later", "copyleft"), (GPL3.replace("General", "Lesser General"), "LGPL-3.0-or-later", "weak-copyleft"), (GPL3.replace("General", "Affero General"), "AGPL-3.0-or-later", "network-copyleft"),
+    ("under the GNU Lesser General  Public License as published by the\n# Free Software Foundation; either\n# version 2.1 of", "LGPL-2.1-or-later", "weak-copyleft"),
+    ("// subject to the terms of the Mozilla Public\n// License, v. 2.0. If", "MPL-2.0", "weak-copyleft"), ("under  the MIT\n\n  License", "MIT", "permissive"),
+    ("SPDX-License-Identifier: OFL-1.1 OR MIT", "OFL-1.1 OR MIT", None), ("SPDX-License-Identifier: CC-BY-NC-4.0 AND LicenseRef-x", "CC-BY-NC-4.0 AND LicenseRef-x", "non-commercial"),
+    ("SPDX-License-Identifier: GFDL-1.3-only", "GFDL-1.3-only", None), ("SPDX-License-Identifier: CC0-1.0 OR Own-Terms", "CC0-1.0 OR Own-Terms", "public-domain"),
+    ("SPDX-License-Identifier: GPL-3.0-only WITH Some-exception-1.0", "GPL-3.0-only WITH Some-exception-1.0", None),
+])
+def test_wrapped_notices_and_unknown_identifiers(text, expression, obligation):
+    got = scan(text, automaton())
+    assert got[0] == "found" and got[1] == expression and got[3] == obligation and got[4] == 1
+
+
+def test_words_that_are_no_identifiers():
+    assert scan("SPDX-License-Identifier: MIT and so on", automaton())[0] == "invalid"

@@ -2,13 +2,17 @@
 evaluates the and/or/with expressions behind the tags.
 
 Defined cases: a null or empty text has no finding (status 'none'); a tag without a valid expression
-has status 'invalid' unless something else is found; several findings of a text hold together, as if
+has status 'invalid' unless something else is found; an unknown identifier that is well-formed stays
+an operand of unknown rank, and where it decides, the obligation is null; an expression of nothing
+but unknown names without a version is invalid; notices are read with white space and comment marks
+folded to one space, tags to the end of their line; a phrase within a longer one doesn't count; several findings of a text hold together, as if
 joined by AND, and repeats of one are one; extra columns are ignored; repeated rows are scanned each.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -22,7 +26,7 @@ KNOWN = {
     "CC0-1.0": 0, "Unlicense": 0, "0BSD": 0, "WTFPL": 0,
     "MIT": 1, "MIT-0": 1, "Apache-2.0": 1, "Apache-1.1": 1, "BSD-2-Clause": 1, "BSD-3-Clause": 1, "BSD-4-Clause": 1, "ISC": 1, "Zlib": 1, "BSL-1.0": 1, "Python-2.0": 1, "PSF-2.0": 1, "PostgreSQL": 1, "CC-BY-3.0": 1, "CC-BY-4.0": 1, "Artistic-2.0": 1, "NCSA": 1, "X11": 1, "Unicode-DFS-2016": 1,
     "LGPL-2.0-only": 2, "LGPL-2.0-or-later": 2, "LGPL-2.1-only": 2, "LGPL-2.1-or-later": 2, "LGPL-2.1": 2, "LGPL-3.0-only": 2, "LGPL-3.0-or-later": 2, "LGPL-3.0": 2, "MPL-1.1": 2, "MPL-2.0": 2, "EPL-1.0": 2, "EPL-2.0": 2, "CDDL-1.0": 2, "CDDL-1.1": 2,
-    "GPL-1.0-only": 3, "GPL-2.0": 3, "GPL-2.0-only": 3, "GPL-2.0-or-later": 3, "GPL-3.0": 3, "GPL-3.0-only": 3, "GPL-3.0-or-later": 3, "CC-BY-SA-3.0": 3, "CC-BY-SA-4.0": 3, "EUPL-1.2": 3, "OSL-3.0": 3,
+    "GPL-1.0-only": 3, "GPL-1.0-or-later": 3, "GPL-2.0": 3, "GPL-2.0-only": 3, "GPL-2.0-or-later": 3, "GPL-3.0": 3, "GPL-3.0-only": 3, "GPL-3.0-or-later": 3, "CC-BY-SA-3.0": 3, "CC-BY-SA-4.0": 3, "EUPL-1.2": 3, "OSL-3.0": 3,
     "AGPL-3.0": 4, "AGPL-3.0-only": 4, "AGPL-3.0-or-later": 4, "SSPL-1.0": 4,
     "CC-BY-NC-4.0": 5, "CC-BY-NC-SA-4.0": 5, "CC-BY-NC-ND-4.0": 5, "CC-BY-NC-3.0": 5, "CC-BY-ND-4.0": 5,
 }
@@ -39,6 +43,14 @@ PHRASES = {
     "cc0 1.0": "CC0-1.0", "cc by 4.0": "CC-BY-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "cc by-nc 4.0": "CC-BY-NC-4.0", "cc by-nc-sa 4.0": "CC-BY-NC-SA-4.0", "cc by-nc-nd 4.0": "CC-BY-NC-ND-4.0", "cc by-nd 4.0": "CC-BY-ND-4.0", "creative commons attribution 4.0": "CC-BY-4.0",
     "this is free and unencumbered software released into the public domain": "Unlicense",
 }
+for _family, _short, _versions in (("general", "GPL", ("1", "2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("library general", "LGPL", ("2",)), ("affero general", "AGPL", ("3",))):
+    for _v in _versions:
+        for _comma in (",", ";", ""):
+            _head, _id = f"gnu {_family} public license as published by the free software foundation{_comma}", f"{_short}-{_v}" + ".0" * ("." not in _v)
+            PHRASES |= {f"{_head} either version {_v}": f"{_id}-or-later", f"{_head} version {_v}": f"{_id}-only"}
+_LEADER = re.compile(r"(?:^|\n)[ \t]*(?:/?\*+/?|//+!?|/\*+|#+|;+|%+|--+|<!--|>+|\|+|!+|\"+|dnl\b|rem\b|\.\\\")[ \t]*")
+_WELL_FORMED = re.compile(r"(?:documentref-[a-z0-9.\-]+:)?(?=[a-z0-9.\-]*[0-9\-])[a-z0-9][a-z0-9.\-]*")  # a name with a digit or a hyphen
+_SURE = re.compile(r"(?:documentref-[a-z0-9.\-]+:)?licenseref-.+|.+-v?\d+(?:\.\d+)*(?:-.+)?")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.\-:]+\+?")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -91,23 +103,33 @@ def to_postfix(text: str) -> list[str]:
     return out + ops[::-1]
 
 
-def evaluate(text: str) -> tuple[str, int, list[str]]:
+def stricter(a: int | None, b: int | None) -> int | None:
+    top = len(RANKS) - 1
+    return (top if top in (a, b) else None) if None in (a, b) else max(a, b)
+
+
+def freer(a: int | None, b: int | None) -> int | None:
+    return (0 if 0 in (a, b) else None) if None in (a, b) else min(a, b)
+
+
+def evaluate(text: str) -> tuple[str, int | None, list[str]]:
     """(normal form, rank, identifiers): AND takes the stricter side, OR the freer one, and an
-    exception frees copyleft to weak copyleft."""
+    exception frees copyleft to weak copyleft.  The rank is None where an unknown one decides."""
     stack: list[tuple] = []
+    sure = False
     for tok in to_postfix(text):
         if tok in _PRECEDENCE:
             b, a = stack.pop(), stack.pop()
             if tok == "with":
                 if b[0] != "exception" or a[0] != "id":
                     raise ExpressionError("WITH needs a license and an exception")
-                stack.append(("with", f"{a[1]} WITH {b[1]}", 2 if a[2] == 3 else a[2], a[3], 3))
+                stack.append(("with", f"{a[1]} WITH {b[1]}", b[2] if b[2] is None else 2 if a[2] == 3 else a[2], a[3], 3))
                 continue
             if "exception" in (a[0], b[0]):
                 raise ExpressionError("an exception stands alone")
             p = _PRECEDENCE[tok]
             left, right = (f"({x[1]})" if x[4] < p else x[1] for x in (a, b))
-            rank = max(a[2], b[2]) if tok == "and" else min(a[2], b[2])
+            rank = stricter(a[2], b[2]) if tok == "and" else freer(a[2], b[2])
             stack.append((tok, f"{left} {tok.upper()} {right}", rank, a[3] + b[3], p))
         else:
             low = tok.lower()
@@ -118,11 +140,20 @@ def evaluate(text: str) -> tuple[str, int, list[str]]:
             elif low in _CANON:
                 name = _CANON[low] + "+" * plus
                 stack.append(("id", name, KNOWN[_CANON[low]], [name], 9))
+                sure = True
+            elif "-exception" in low and _WELL_FORMED.fullmatch(low) and not plus:
+                stack.append(("exception", tok.rstrip("."), None, [], 9))
+            elif _WELL_FORMED.fullmatch(low):
+                name = tok.rstrip("+").rstrip(".") + "+" * plus
+                stack.append(("id", name, None, [name], 9))
+                sure |= bool(_SURE.fullmatch(low))
             else:
                 raise ExpressionError(f"unknown license {tok!r}")
     (top,) = stack
     if top[0] == "exception":
         raise ExpressionError("an exception stands alone")
+    if not sure:
+        raise ExpressionError("no license that is known or has a version")
     return top[1], top[2], top[3]
 
 
@@ -141,33 +172,40 @@ def scan(text: str | None, auto: ahocorasick.Automaton) -> tuple[str, str | None
     if not text:
         return "none", None, [], None, 0
     low = text.lower()
-    found: dict[str, tuple[int, list[str]]] = {}
+    found: dict[str, tuple[int | None, list[str]]] = {}
     hits = bad = 0
     for end, (word, ident) in auto.iter(low):
         start = end - len(word) + 1
-        if start and low[start - 1].isalnum():
+        if ident is not None or start and low[start - 1].isalnum():
             continue
-        if ident is None:
-            stop = low.find("\n", end + 1)
-            line = low[end + 1 : stop if stop >= 0 else len(low)]
-            hits += 1
-            try:
-                expr, rank, ids = evaluate(line.split("*/")[0].split("-->")[0])
-            except ExpressionError:
-                bad += 1
-                continue
-            found.setdefault(expr, (rank, ids))
-        else:
-            if end + 1 < len(low) and low[end + 1].isalnum():
-                continue
-            hits += 1
-            found.setdefault(ident, (KNOWN[ident], [ident]))
+        stop = low.find("\n", end + 1)
+        line = text[end + 1 : stop if stop >= 0 else len(low)] if len(text) == len(low) else low[end + 1 : stop if stop >= 0 else len(low)]
+        hits += 1
+        try:
+            expr, rank, ids = evaluate(line.split("*/")[0].split("-->")[0])
+        except ExpressionError:
+            bad += 1
+            continue
+        found.setdefault(expr, (rank, ids))
+    flat = " ".join(_LEADER.sub("\n", low).split())
+    phrases: list[tuple[int, int, str]] = []  # by their ends
+    for end, (word, ident) in auto.iter(flat):
+        start = end - len(word) + 1
+        if ident is None or start and flat[start - 1].isalnum() or end + 1 < len(flat) and flat[end + 1].isalnum():
+            continue
+        while phrases and phrases[-1][0] >= start:
+            phrases.pop()
+        if not phrases or phrases[-1][1] < end:
+            phrases.append((start, end, ident))
+    for _, _, ident in phrases:
+        hits += 1
+        found.setdefault(ident, (KNOWN[ident], [ident]))
     if not found:
         return ("invalid" if bad else "none"), None, [], None, hits
     parts = sorted(found)
     expr = parts[0] if len(parts) == 1 else " AND ".join(f"({p})" if " OR " in p else p for p in parts)
     ids = sorted({i for _, x in found.values() for i in x})
-    return "found", expr, ids, RANKS[max(r for r, _ in found.values())], hits
+    return "found", expr, ids, None if (rank := reduce(stricter, (r for r, _ in found.values()))) is None else RANKS[rank], hits
 
 
 def _scan_batches(batches):
