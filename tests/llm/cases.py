@@ -12,6 +12,6 @@ def frame(spark, rows):
 
 def with_clashes(df):
     """Extra columns named as operators' own are."""
-    for name in ("keep_id", "key", "root", "node", "id", "rest", "spans", "lo", "tag", "of", "ids", "bin_id", "digest", "a", "b"):
+    for name in ("keep_id", "key", "root", "node", "id", "rest", "spans", "lo", "tag", "of", "ids", "bin_id", "digest", "a", "b", "dk", "n", "k", "__d", "__id", "__all", "__any", "__text", "__g", "row_id", "mark_id", "text_of_row", "a.b", "x`y"):
         df = df.withColumn(name, F.lit(7))
     return df.withColumn("n_chars", F.char_length("text").cast("long"))
