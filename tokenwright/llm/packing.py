@@ -1,12 +1,13 @@
 """Best-fit packing with a swap-based local search.
 
-Lengths (not texts) are hashed to shards; a shard packs its documents best-fit in decreasing order
-and then improves the bins that are left underfull.  Shards hand what their worst bins hold to a
-second level, so that waste does not grow with the number of shards.
+Lengths (not texts) are hashed to shards of about `shard_items`; a shard packs its documents best-fit
+in decreasing order and then improves the bins that are left underfull.  Shards hand what their worst
+bins hold to a second level, so that waste does not grow with the number of shards.
 
-Defined cases: a document longer than a bin is cut into full bins and a rest; a null or empty text
-has length 0 and takes a place in some bin; repeated rows are packed each; null ids are packed like
-others; ties go by id; an empty table gives no rows; extra columns are ignored.
+Defined cases: a document longer than a bin, however long, is cut into full bins and a rest; a null
+or empty text has length 0 and takes a place in some bin; repeated rows are packed each; null ids are
+packed like others; ties go by id, and equal rows are alike; an empty table gives no rows; extra
+columns are ignored.  Which documents share a shard depends on how the table is read, not on the session.
 """
 
 from __future__ import annotations
@@ -65,22 +66,116 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def _spread(bits: int, least: int, most: int) -> int:
+    """Bits moved up by each of least..most places."""
+    out, width, want = bits << least, 1, most - least + 1
+    while width < want:
+        step = min(width, want - width)
+        out |= out << step
+        width += step
+    return out
+
+
+class _Bins:
+    """The bins that a step may fill, by their free room.
+
+    Of each room f there is the set of item sizes that its bins hold (0 for giving nothing back), and
+    `takes[f]`, the totals that some of its bins can take in exchange for one of these: every total
+    that is greater than the size by 1 to f.  A tree over f has the unions, so that the fullest bin
+    that can take one of a set of totals is found in log(capacity) steps, however many bins there are."""
+
+    def __init__(self, capacity: int):
+        self.leaves = 1 << capacity.bit_length()
+        self.takes = [0] * (2 * self.leaves)
+        self.sizes = [0] * (capacity + 1)
+        self.holders: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity + 1)]
+
+    def _update(self, f: int) -> None:
+        at = self.leaves + f
+        self.takes[at] = _spread(self.sizes[f], 1, f) if f and self.sizes[f] else 0
+        while at > 1:
+            at >>= 1
+            new = self.takes[2 * at] | self.takes[2 * at + 1]
+            if new == self.takes[at]:
+                break
+            self.takes[at] = new
+
+    def add(self, b: int, free: int, sizes) -> None:
+        was = self.sizes[free]
+        for s in {0, *sizes}:
+            self.holders[free].setdefault(s, {})[b] = None
+            self.sizes[free] |= 1 << s
+        if was != self.sizes[free]:
+            self._update(free)
+
+    def remove(self, b: int, free: int, sizes) -> None:
+        was = self.sizes[free]
+        for s in {0, *sizes}:
+            del self.holders[free][s][b]
+            if not self.holders[free][s]:
+                del self.holders[free][s]
+                self.sizes[free] ^= 1 << s
+        if was != self.sizes[free]:
+            self._update(free)
+
+    def fullest(self, totals: int, most: int) -> int | None:
+        """The least free room, up to `most`, whose bins can take one of the totals."""
+
+        def down(at: int, lo: int, width: int) -> int | None:
+            if lo > most or not self.takes[at] & totals:
+                return None
+            if width == 1:
+                return lo
+            left = down(2 * at, lo, width // 2)
+            return left if left is not None else down(2 * at + 1, lo + width // 2, width // 2)
+
+        return down(1, 0, self.leaves)
+
+    def best(self, totals: int, f: int) -> tuple[int, int, int]:
+        """(total, size given back, bin) of the step that fills a bin of room f most."""
+        lo, hi = 1, f  # the greatest gain that some total has
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if _spread(self.sizes[f], mid, f) & totals:
+                lo = mid
+            else:
+                hi = mid - 1
+        hit = (self.sizes[f] << lo) & totals
+        total = (hit & -hit).bit_length() - 1
+        return total, total - lo, next(iter(self.holders[f][total - lo]))
+
+
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int, full: float) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges between underfull bins (fill below `full` of
     the capacity), each of which increases the sum of squared fills, until none does.
 
-    Content flows from the emptier bin to the fuller one, so emptier bins run out and vanish."""
+    Content flows from the emptier bin to the fuller one, so emptier bins run out and vanish.  A step
+    gives one or two items to a bin that is at least as full, and takes none or one back."""
     fill = [sum(sizes[i] for i in b) for b in bins]
+    index = _Bins(capacity)
+    items: dict[int, dict[int, list[int]]] = {}  # of the live bins: items by their size
+    for b, own in enumerate(bins):
+        if 0 < fill[b] < min(capacity, full * capacity):
+            by: dict[int, list[int]] = {}
+            for i in own:
+                by.setdefault(sizes[i], []).append(i)
+            items[b] = by
+            index.add(b, capacity - fill[b], by)
     changed = True
-    while changed:  # a change may open a way for any other pair, so passes go on until one has none
+    while changed:  # a change may open a way for any other bin, so passes go on until one has none
         changed = False
-        live = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity and fill[b] < full * capacity), key=lambda b: (fill[b], b))
-        for k, src in enumerate(live):
-            for dst in reversed(live[k + 1 :]):
-                while fill[src] and _improve(bins, fill, sizes, src, dst, capacity):
-                    changed = True
-                if not fill[src]:
-                    break
+        for src in sorted(items, key=lambda b: (fill[b], b)):
+            if src not in items:
+                continue
+            index.remove(src, capacity - fill[src], items[src])
+            while fill[src] and _step(index, items, fill, src, capacity, full):
+                changed = True
+            if fill[src]:
+                index.add(src, capacity - fill[src], items[src])
+            else:
+                bins[src] = [i for own in items.pop(src).values() for i in own]  # items of size 0, if any
+        for b, by in items.items():
+            bins[b] = [i for own in by.values() for i in own]
     nothing = [b for b in range(len(bins)) if bins[b] and not fill[b]]  # only items of size 0 left
     host = next((b for b in range(len(bins)) if fill[b]), nothing[0] if nothing else None)
     for b in nothing:
@@ -90,51 +185,42 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, full: f
     return [b for b in bins if b]
 
 
-def _improve(bins, fill, sizes, src, dst, capacity) -> bool:
-    """The best single step that grows dst, the fuller bin, out of src."""
-    room = capacity - fill[dst]
-    if not room or fill[src] > fill[dst]:
-        return False
-    two_each: dict[int, list[int]] = {}  # two items of a size are all that a step can use
-    for i in bins[src]:
-        if sizes[i] and len(two_each.setdefault(sizes[i], [])) < 2:
-            two_each[sizes[i]].append(i)
-    a = [i for s in sorted(two_each, reverse=True) for i in two_each[s]]
-    best, act = 0, None
-    for i in a:  # move
-        if best < sizes[i] <= room:
-            best, act = sizes[i], ((i,), ())
-            break
-    by = {}
-    for j in bins[dst]:
-        by.setdefault(sizes[j], j)
-    order = np.array(sorted(by))
-    if best < room and len(order) and a:
-        # the exchanged item of dst must be as small as room allows: the first size >= given - room
-        give = np.array([sizes[i] for i in a])
-        for pair in (False, True):
-            if pair:
-                if len(a) < 2:
-                    break
-                x, y = np.triu_indices(len(a), 1)
-                total = give[x] + give[y]
-            else:
-                total = give
-            at = np.searchsorted(order, total - room)
-            ok = at < len(order)
-            gain = np.where(ok, total - order[np.minimum(at, len(order) - 1)], 0)
-            k = int(gain.argmax())
-            if gain[k] > best:
-                best = int(gain[k])
-                back = by[int(order[at[k]])]
-                act = (((a[x[k]], a[y[k]]) if pair else (a[k],)), (back,))
-    if not act:
+def _totals(by: dict[int, list[int]]) -> int:
+    """The sizes of one or two items, as bits."""
+    singles = 0
+    for s, own in by.items():
+        if s and own:
+            singles |= 1 << s
+    out = singles
+    for s, own in by.items():
+        if s and own:
+            out |= (singles if len(own) > 1 else singles ^ 1 << s) << s
+    return out
+
+
+def _step(index: _Bins, items, fill, src: int, capacity: int, full: float) -> bool:
+    """One step out of src, which isn't in the index, into the fullest bin that can gain by one."""
+    by = items[src]
+    totals = _totals(by)
+    f = index.fullest(totals, capacity - fill[src])
+    if f is None:
         return False
-    out, back = act
-    bins[src] = [i for i in bins[src] if i not in out] + list(back)
-    bins[dst] = [i for i in bins[dst] if i not in back] + list(out)
-    fill[src] -= best
-    fill[dst] += best
+    total, back, dst = index.best(totals, f)
+    out = [total] if by.get(total) else next([s, total - s] for s in by if s and by.get(total - s) and (2 * s != total or len(by[s]) > 1))
+    index.remove(dst, f, items[dst])
+    there = items[dst]
+    taken = [there[back].pop()] if back else []
+    given = [by[s].pop() for s in out]
+    for s, i in [*((s, i) for s, i in zip(out, given))]:
+        there.setdefault(s, []).append(i)
+    for i in taken:
+        by.setdefault(back, []).append(i)
+    for own in (by, there):
+        for s in [s for s, x in own.items() if not x]:
+            del own[s]
+    fill[src] -= total - back
+    fill[dst] += total - back
+    index.add(dst, capacity - fill[dst], there)
     return True
 
 
@@ -160,15 +246,23 @@ def _pack_group(capacity: int, full: float, first: bool):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 4096, full: float = 0.98, bytes_per_token: int = 4, fan_in: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, tokens, bin_id, bin_fill), one row for each piece of each document."""
-    d = slim(docs, id_col, text_col)
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = d.mapInArrow(_pieces(capacity, bytes_per_token), _ROW)
-    rows = rows.withColumn("__g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
-    one = rows.groupBy("__g").applyInArrow(_pack_group(capacity, full, True), _OUT + ", __g long")
-    one = stored(one)
+def pack(docs: DataFrame, capacity: int = 4096, full: float = 0.98, bytes_per_token: int = 4, shard_items: int = 1 << 14, fan_in: int = 16, tokens_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, piece, tokens, bin_id, bin_fill), one row for each piece of each document.
+
+    `tokens_col` names a column with the documents' exact token counts, for instance those of
+    `pieces.encode`; without it `text_lengths` estimates them."""
+    if tokens_col:
+        size = F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long"))
+        cut = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(size / capacity) - 1, F.lit(0).cast("long")))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.explode(cut).alias("piece"))
+        rows = rows.select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("tokens"))
+    else:
+        rows = slim(docs, id_col, text_col).mapInArrow(_pieces(capacity, bytes_per_token), _ROW)
+    # rows have numbers, so that neither a hot id nor null ids share a shard
+    rows = stored(rows.withColumn("nr", F.monotonically_increasing_id()))
+    shards = max(1, rows.count() // shard_items)
+    spread = rows.select("doc_id", "piece", "tokens", F.pmod(F.xxhash64("doc_id", "piece", "nr"), F.lit(shards)).cast("long").alias("__g"))
+    one = stored(spread.groupBy("__g").applyInArrow(_pack_group(capacity, full, True), _OUT + ", __g long"))
     two = one.where("bin_id = -1").withColumn("__g", F.floor(F.col("__g") / F.lit(fan_in)).cast("long"))
     two = two.select("doc_id", "piece", "tokens", "__g").groupBy("__g").applyInArrow(_pack_group(capacity, full, False), _OUT + ", __g long")
     return one.where("bin_id >= 0").unionByName(two).drop("__g")
