@@ -1,9 +1,12 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from cases import ODD, frame, with_clashes
 
+from tokenwright.llm import kernel as K
 from tokenwright.llm import simhash as H
 from tokenwright.llm.licenses import ExpressionError, automaton, evaluate, license_scan, scan, to_postfix
 
@@ -23,24 +26,70 @@ def test_all_pairs_within_the_radius(spark, radius):
     assert {(r.a, r.b): r.distance for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("blocks", [4, 6, 9])
+def test_pairs_are_the_same_by_any_number_of_blocks(spark, blocks):
+    rnd = random.Random(9)
+    base = rnd.getrandbits(64)
+    fps = {base ^ sum(1 << k for k in rnd.sample(range(24), rnd.randint(0, 5))) for _ in range(120)}  # one hot key for blocks of low bits
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = {(a, b) for k, a in enumerate(signed) for b in signed[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    got = [(r.a, r.b) for r in H.near_fingerprints(spark.createDataFrame([(f,) for f in signed], "fingerprint long"), 3, blocks).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_blocks_grow_with_the_table():
+    numbers = [H.block_number(n, 3) for n in (10**3, 10**5, 10**8, 10**11)]
+    assert numbers == sorted(numbers) and numbers[-1] > numbers[0]
+
+
+def brute_fingerprint(text):
+    """Votes by plain loops; only the hashes are the operator's."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, _, h, woff = K.words(K.fold(data), np.array([0, len(data)]), K.NON_WORD)
+    terms, _ = K.shingles(h, woff, H.TERM_WORDS)
+    votes = [0.0] * 64
+    for term, n in Counter(terms.tolist()).items():
+        for bit in range(64):
+            votes[bit] += (1 + math.log2(n)) * (1 if term >> bit & 1 else -1)
+    f = sum(1 << bit for bit in range(64) if votes[bit] > 1e-4)
+    unsure = sum(1 << bit for bit in range(64) if abs(votes[bit]) <= 1e-4)
+    return f, unsure
+
+
+def test_fingerprints_match_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(["A", "b", "c", "dé", "E2"]) for _ in range(rnd.randint(1, 120)))) for i in range(40)]
+    for r in H.fingerprints(frame(spark, rows)).collect():
+        f, unsure = brute_fingerprint(dict(rows)[r.doc_id])
+        assert (r.fingerprint & (1 << 64) - 1) & ~unsure == f & ~unsure
+
+
 def test_near_texts_have_near_fingerprints(spark):
     rng = random.Random(0)
     base = [f"w{rng.randrange(500)}" for _ in range(600)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "changed"])), (3, " ".join(base)), (4, " ".join(f"v{i}" for i in range(400)))]
-    got = H.near_documents(frame(spark, rows), radius=8).collect()
-    of = {i: r for r in got for i in r.doc_ids}
-    assert of[1] == of[3] and of[1].n_docs == 2
-    assert of[2] == of[1] or of[1].fingerprint in [n.fingerprint for n in of[2].neighbours]
-    assert of[4].neighbours == []
+    of = {r.doc_id: r for r in H.near_documents(frame(spark, rows), radius=8).collect()}
+    assert of[1].fingerprint == of[3].fingerprint and of[1].class_size == 2
+    assert of[2].fingerprint == of[1].fingerprint or of[1].links == of[2].links == 1
+    assert of[4].links == 0
+
+
+def test_links_match_brute_force(spark):
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if rnd.random() > 0.01 else "x" for w in base) if i % 2 else " ".join(f"v{rnd.randrange(50)}" for _ in range(60))) for i in range(80)]
+    got = H.near_documents(frame(spark, rows), radius=6).collect()
+    fp = {r.doc_id: r.fingerprint & (1 << 64) - 1 for r in got}
+    for r in got:
+        assert r.links == sum(0 < (f ^ fp[r.doc_id]).bit_count() <= 6 for f in set(fp.values()))
+        assert r.class_size == sum(f == fp[r.doc_id] for f in fp.values())
 
 
 def test_simhash_odd_rows(spark):
     got = H.near_documents(with_clashes(frame(spark, ODD))).collect()
-    assert sum(r.n_docs for r in got) == len(ODD)
-    none = [r for r in got if r.fingerprint is None]
-    assert len(none) == 1 and set(none[0].doc_ids) == {1001, 1002, 1003} and none[0].neighbours == []
-    same = next(r for r in got if 1005 in r.doc_ids)
-    assert same.doc_ids == [1005, 1006] and same.n_docs == 3
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in ODD)
+    assert {r.doc_id for r in got if r.fingerprint is None} == {1001, 1002, 1003, None} and all((r.class_size, r.links) == (None, 0) for r in got if r.fingerprint is None)
+    assert [r.class_size for r in got if r.doc_id in (1005, 1006)] == [3, 3, 3]
     assert H.near_documents(frame(spark, [])).count() == 0
 
 

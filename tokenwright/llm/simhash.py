@@ -2,19 +2,22 @@
 fingerprints within a Hamming radius by permuted block tables.
 
 A term is a run of three words; it votes with 1 + log2 of its count on each of 64 signed bits.
-Equal fingerprints are one row, so a text copied a million times costs the search nothing, and each
-distinct fingerprint is a query.  For radius r the 64 bits are cut into r + 2 blocks; two
-fingerprints within r agree on at least two blocks, so a table for each pair of blocks, keyed by
-those bits, holds every pair.  A pair is taken only from the first table that has it.
-
-Defined cases: a null or wordless text has no fingerprint (null) and no neighbours; ties of a vote
-give bit 0; repeated rows list their id once; null ids are left out of lists but counted; an empty
+Equal fingerprints are one node of the search, so a text copied a million times costs it nothing,
+and each distinct fingerprint is a query.  For radius r the 64 bits are cut into b blocks; two
+fingerprints within r agree on at least b - r of them, so a table for each choice of b - r blocks,
+keyed by their bits, holds every pair.  b grows with the number of fingerprints, so that a key stays
+as long as chance matches ask for.  Hot keys are searched in cells of a bounded size.  A pair is
+taken only from the first table that has it.
+
+Defined cases: a null or wordless text has no fingerprint (null), no class and no links; ties of a
+vote give bit 0; repeated rows, null ids and texts of any length have rows like others; an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import slim, stored
+from .common import bucket_pairs, slim, stored
 
 TERM_WORDS = 3
 _ROWS = 1 << 16
@@ -63,47 +66,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fingerprint long")
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of radius + 2 blocks that cut 64 bits as evenly as can be."""
-    n = radius + 2
+def block_masks(radius: int, blocks: int | None = None) -> list[int]:
+    """Masks of blocks (radius + 2, if not given) that cut 64 bits as evenly as can be."""
+    n = blocks or radius + 2
     edges = [round(64 * i / n) for i in range(n + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
+def block_number(n: int, radius: int) -> int:
+    """Blocks for n fingerprints: each table costs a row for each of them, and a pair for each two
+    that agree by chance on its bits."""
+    return min(range(radius + 1, radius + 12), key=lambda b: comb(b, radius) * (1 + n / 2 ** (64 * (b - radius) / b)))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
+def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b: all pairs of distinct values of `fingerprint` within radius."""
-    masks = block_masks(radius)
-    tables = list(combinations(range(len(masks)), 2))
-    keyed = fps.select(
-        "fingerprint",
-        F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))) for i, j in tables])).alias("t", "key"),
-    )
-    a, b = keyed.select("t", "key", F.col("fingerprint").alias("a")), keyed.select("t", "key", F.col("fingerprint").alias("b"))
+    masks = block_masks(radius, blocks or block_number(fps.count(), radius))
+    tables = list(combinations(range(len(masks)), len(masks) - radius))
+    node = F.col("fingerprint")
+    rows = [F.struct(F.lit(t).alias("t"), node.bitwiseAND(F.lit(_signed(sum(masks[i] for i in own)))).alias("key")) for t, own in enumerate(tables)]
+    keyed = fps.select(node.alias("node"), node.alias("root"), F.explode(F.array(*rows)).alias("x")).select("node", "root", "x.t", "x.key")
+    # a table is the first that has a pair if the pair differs in each block that it leaves out before its last
+    before = [[_signed(masks[i]) for i in range(own[-1]) if i not in own] for own in tables]
+    left_out = F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]).cast("array<bigint>") for ms in before])
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    agree = [diff.bitwiseAND(F.lit(_signed(m))) == 0 for m in masks]
-    first = F.lit(len(tables))
-    for t in reversed(range(len(tables))):
-        i, j = tables[t]
-        first = F.when(agree[i] & agree[j], F.lit(t)).otherwise(first)
-    return a.join(b, ["t", "key"]).where("a < b").where(F.bit_count(diff) <= radius).where(F.col("t") == first).select("a", "b", F.bit_count(diff).cast("int").alias("distance"))
+    near = bucket_pairs(keyed, ["t", "key"]).where(F.bit_count(diff) <= radius)
+    first = F.forall(F.element_at(left_out, F.col("t") + 1), lambda m: diff.bitwiseAND(m) != 0)
+    return near.where(first).select("a", "b", F.bit_count(diff).cast("int").alias("distance"))
 
 
 def near_documents(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each distinct fingerprint: (fingerprint, doc_ids, n_docs, neighbours).
-
-    neighbours lists every other fingerprint within the radius with its distance and its smallest
-    id; that fingerprint's own row has all its documents."""
-    groups = stored(
-        fingerprints(docs, id_col, text_col).groupBy("fingerprint").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"), F.count(F.lit(1)).alias("n_docs"))
-    )
-    known = groups.where("fingerprint is not null").select("fingerprint")
-    pairs = near_fingerprints(known, radius)
-    both = pairs.select(F.col("a").alias("fingerprint"), F.col("b").alias("other"), "distance").union(pairs.select("b", "a", "distance"))
-    lead = groups.select(F.col("fingerprint").alias("other"), F.try_element_at("doc_ids", F.lit(1)).alias("doc_id"))
-    lists = both.join(lead, "other").groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("distance", "doc_id", F.col("other").alias("fingerprint")))).alias("neighbours"))
-    empty = F.array().cast("array<struct<distance:int,doc_id:bigint,fingerprint:bigint>>")
-    return groups.join(lists, "fingerprint", "left").select("fingerprint", "doc_ids", "n_docs", F.coalesce("neighbours", empty).alias("neighbours"))
+    """One row for each input row: (doc_id, fingerprint, class_size, links).
+
+    The fingerprint is the class; class_size counts its rows, links the other fingerprints within the
+    radius (`near_fingerprints` has the pairs)."""
+    rows = stored(fingerprints(docs, id_col, text_col))
+    classes = stored(rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("class_size")))
+    pairs = near_fingerprints(classes.select("fingerprint"), radius)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("links"))
+    known = classes.join(links, "fingerprint", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
+    found = rows.where("fingerprint is not null").join(known, "fingerprint").select("doc_id", "fingerprint", "class_size", "links")
+    none = rows.where("fingerprint is null").select("doc_id", "fingerprint", F.lit(None).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
+    return found.unionByName(none)
