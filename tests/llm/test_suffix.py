@@ -47,8 +47,8 @@ def brute_spans(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n, seed", [(10, 1), (10, 2), (50, 3), (4, 4)])
-def test_cuts_match_brute_force(spark, n, seed):
+@pytest.mark.parametrize("n, seed, hot", [(10, 1, 10**6), (10, 2, 10**6), (50, 3, 10**6), (4, 4, 10**6), (10, 1, 1), (50, 3, 2)])
+def test_cuts_match_brute_force(spark, n, seed, hot):
     rnd = random.Random(seed)
     passages = [[f"p{k}w{i}" for i in range(rnd.randint(n - 2, 4 * n))] for k in range(6)]
     rows = []
@@ -60,7 +60,7 @@ def test_cuts_match_brute_force(spark, n, seed):
             w += p[a : len(p) - rnd.randint(0, 3)] if rnd.random() < 0.6 else [rnd.choice("abcdef") for _ in range(rnd.randint(1, 2 * n))]
         rows.append((d, " ".join(w)))
     want = brute_spans(rows, n)
-    for r in S.suffix_dedup(frame(spark, rows), n).collect():
+    for r in S.suffix_dedup(frame(spark, rows), n, hot_kinds=hot).collect():
         got = np.zeros(len(want[r.doc_id]), bool)
         for s in r.spans:
             got[s.lo : s.hi] = True
@@ -96,3 +96,22 @@ def test_odd_rows(spark):
     assert not any(i == 6 for i, _ in rows_kept) and (1002, "") in rows_kept and (1001, None) in rows_kept
     assert S.suffix_dedup(frame(spark, [])).count() == 0
     assert len(words(LONG)) == 40000
+
+
+def test_half_of_all_texts_share_a_phrase(spark):
+    phrase = " ".join(f"licence{i}" for i in range(30))
+    rows = [(i, f"{phrase} " + " ".join(f"own{i // 3}w{k}" for k in range(60)) if i % 2 else " ".join(f"u{i}w{k}" for k in range(70))) for i in range(80)]
+    want = brute_spans(rows, 50)
+    for r in S.suffix_dedup(frame(spark, rows), 50, hot_kinds=5).collect():
+        got = np.zeros(len(want[r.doc_id]), bool)
+        for s in r.spans:
+            got[s.lo : s.hi] = True
+        assert got.tolist() == want[r.doc_id]
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    p, q = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, p), (None, f"{q} tail"), (None, f"head {q}"), (2**63 - 1, p)]
+    got = sorted((str(r.doc_id), r.text) for r in S.suffix_dedup(frame(spark, rows)).collect())
+    assert ("9223372036854775807", p) in got and ("None", "") in got
+    assert ("None", f"{q} tail") in got and ("None", "head ") in got or ("None", f"head {q}") in got and ("None", "tail") in got

@@ -9,32 +9,35 @@ the min_words-long windows that start at such positions, which is the union of t
 Suffixes that share their first min_words words must meet in one suffix array, and most need none.
 Each window picks the run of GRAM words with the smallest hash in it as its anchor; equal windows
 pick equal anchors.  Neighbouring windows mostly pick the same occurrence, so a stretch of windows
-(some twenty) is one row with the hash of all its words.  Among the rows of an anchor, rows equal
-to an earlier one are cut as a whole, an anchor whose rows are all equal needs nothing more, and
-only the first row of each kind, for anchors with several kinds (the edges of shared passages),
-sends its words to the anchor's suffix array.
+(some twenty) is one row with the hash of all its words.  Anchors of one row need nothing.  Among the
+rows of any other, rows equal to an earlier one are cut as a whole, an anchor whose rows are all
+equal needs nothing more, and only the first row of each kind, for anchors with several kinds (the
+edges of shared passages), sends its words to the anchor's suffix array.  An anchor of more than
+HOT_KINDS kinds (a phrase that very many texts have) would be one long array in one task: its rows
+send the hashes of their windows instead, of which the grouped minimum tells which occur earlier.
 
 Defined cases: words are runs of letters and digits, ASCII and Latin-1 case-folded; null or short
 texts are unchanged; of overlapping repeats within a text (a phrase over and over) one period
-stays; null ids come last in document order; rows of the same id and words are cut alike, as one
-document; a cut runs from its first word to the next word that stays, and a text that is cut
-altogether becomes empty; an empty table gives no rows; extra columns are ignored.
+stays; document order is by id, null ids last, then by hashes of text and words; rows of the same id
+and text are cut alike, as one document (ties); a cut runs from its first word to the next word that
+stays, and a text that is cut altogether becomes empty; texts of any length are searched whole; an
+empty table gives no rows; extra columns, whatever their names, are ignored, or kept by `cut_repeats`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import slim, stored
+from .common import may_hold, member_filter, quoted, slim, stored
 
 U64 = K.U64
 GRAM = 8
-NO_ID = np.iinfo(np.int64).max
-GROUP_WORDS = 1 << 19  # anchors of about so many words share one array; one anchor is never split
+GROUP_WORDS = 1 << 19  # anchors of about so many words share one array
+HOT_KINDS = 4096  # an anchor of more kinds of rows has no array
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -94,24 +97,40 @@ def _signed(x):
     return pa.array(x.view(np.int64))
 
 
-def _stretches(min_words: int):
+def _anchors(min_words: int):
+    """Anchors of all stretches, each once a batch, with the number of its rows."""
+
+    def run(batches):
+        for b in batches:
+            data, off = K.buffers(b.column("text"))
+            for _, _, _, h, woff in _pieces(data, off):
+                anchor, rows = np.unique(stretches(h, woff, min_words)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(rows)], names=["k", "n"])
+
+    return run
+
+
+def _stretches(min_words: int, shared):
+    """The stretches whose anchors may be shared."""
+
     def run(batches):
         for b in batches:
             data, off = K.buffers(b.column("text"))
-            ids = b.column("doc_id")
             for i, _, _, h, woff in _pieces(data, off):
-                row, lo, cnt, anchor, seg, rng = stretches(h, woff, min_words)
-                tag = rng.of(woff[:-1], woff[1:])
+                row, lo, cnt, anchor, seg, _ = stretches(h, woff, min_words)
+                ok = np.flatnonzero(may_hold(shared.value, anchor.view(np.int64)))
+                row, lo, cnt, anchor, seg = (x[ok] for x in (row, lo, cnt, anchor, seg))
+                at = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), _signed(seg), ids.take(pa.array(row + i)), _signed(tag[row]), pa.array((lo - woff[row]).astype(np.int32)), pa.array(cnt.astype(np.int32))],
-                    names=["anchor", "seg", "doc_id", "tag", "lo", "n"],
+                    [_signed(anchor), _signed(seg), b.column("no_id").take(at), b.column("doc_id").take(at), b.column("dk").take(at), pa.array((lo - woff[row]).astype(np.int32)), pa.array(cnt.astype(np.int32))],
+                    names=["anchor", "seg", "no_id", "doc_id", "dk", "lo", "n"],
                 )
 
     return run
 
 
 def _fetch(min_words: int):
-    """The words (hashes) of the wanted stretches."""
+    """The words (hashes) of the wanted stretches; of hot anchors, the hashes of their windows."""
 
     def run(batches):
         for b in batches:
@@ -121,22 +140,32 @@ def _fetch(min_words: int):
                 part = want.slice(i, j - i)
                 flat = part.flatten()
                 row = np.repeat(np.arange(j - i), np.asarray(part.value_lengths().fill_null(0)))
-                col = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                tags = RangeHash(h).of(woff[:-1], woff[1:]).view(np.int64)
-                ok = np.flatnonzero(tags[row] == col("tag"))
-                if not len(ok):
+                if not len(row):
                     continue
-                lo, n = col("lo")[ok], col("n")[ok]
-                a = woff[:-1][row[ok]] + lo
-                blobs = [h[x : x + m + min_words - 1].tobytes() for x, m in zip(a, n)]
+                col = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                lo, n, hot = col("lo"), col("n"), col("hot").astype(bool)
+                at = woff[:-1][row] + lo
+                rng = RangeHash(h) if hot.any() else None
+                blobs = [rng.of(np.arange(x, x + m), np.arange(x, x + m) + min_words).tobytes() if f else h[x : x + m + min_words - 1].tobytes() for x, m, f in zip(at, n, hot)]
+                take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(col("anchor")[ok]), b.column("doc_id").take(pa.array(row[ok] + i)), pa.array(col("tag")[ok]), pa.array(lo), pa.array(n), pa.array(blobs, pa.binary())],
-                    names=["anchor", "doc_id", "tag", "lo", "n", "words"],
+                    [pa.array(col("anchor")), b.column("no_id").take(take), b.column("doc_id").take(take), b.column("dk").take(take), pa.array(lo), pa.array(n), pa.array(hot), pa.array(blobs, pa.binary())],
+                    names=["anchor", "no_id", "doc_id", "dk", "lo", "n", "hot", "words"],
                 )
 
     return run
 
 
+def _windows(batches):
+    """A row for each window of hot stretches: its hash and place."""
+    for b in batches:
+        raw, off = K.buffers(b.column("words"))
+        row = np.repeat(np.arange(b.num_rows), np.diff(off) // 8)
+        take = pa.array(row)
+        lo = b.column("lo").to_numpy()[row] + np.arange(len(row)) - (off[:-1] // 8)[row]
+        yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64) if len(raw) else np.zeros(0, np.int64)), b.column("no_id").take(take), b.column("doc_id").take(take), b.column("dk").take(take), pa.array(lo.astype(np.int32))], names=["win", "no_id", "doc_id", "dk", "lo"])
+
+
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes of `ids` sorted by at least their first `depth` symbols, by prefix doubling, and
     the ranks by 1, 2, 4, ... symbols.  Suffixes equal that far are in text order."""
@@ -198,8 +227,8 @@ def longest_previous(ids: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _factors(t: pa.Table, min_words: int):
-    """Spans (doc_id, tag, lo, hi) that earlier stretches in `t` have; t holds whole anchors."""
-    t = t.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("tag", "ascending"), ("lo", "ascending")]).combine_chunks()
+    """Spans (doc_id, dk, lo, hi) that earlier stretches in `t` have; t holds whole anchors."""
+    t = t.sort_by([(c, "ascending") for c in ("anchor", "no_id", "doc_id", "dk", "lo")]).combine_chunks()
     words, off = K.buffers(t.column("words"))
     h, off = words.view(U64) if len(words) else np.zeros(0, U64), off // 8
     lens = np.diff(off)
@@ -217,12 +246,12 @@ def _factors(t: pa.Table, min_words: int):
     new = np.ones(len(hit), bool)
     new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(hit)) - 1
+    last = np.append(first, len(hit))[1:] - 1
     r = row[first]
     lo = t.column("lo").to_numpy()[r]
     return pa.RecordBatch.from_arrays(
-        [t.column("doc_id").combine_chunks().take(pa.array(r)), t.column("tag").combine_chunks().take(pa.array(r)), pa.array((lo + at[first]).astype(np.int32)), pa.array((lo + at[last] + min_words).astype(np.int32))],
-        names=["doc_id", "tag", "lo", "hi"],
+        [t.column("doc_id").combine_chunks().take(pa.array(r)), t.column("dk").combine_chunks().take(pa.array(r)), pa.array((lo + at[first]).astype(np.int32)), pa.array((lo + at[last] + min_words).astype(np.int32))],
+        names=["doc_id", "dk", "lo", "hi"],
     )
 
 
@@ -249,23 +278,38 @@ def _arrays(min_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, lo, hi): spans of words that occur earlier; tag is the hash of the document's
-    words, and null ids are NO_ID.  Spans of a document may overlap."""
-    d = slim(docs, id_col, text_col).where("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = d.mapInArrow(_stretches(min_words), "anchor long, seg long, doc_id long, tag long, lo int, n int")
-    by = Window.partitionBy("anchor")
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("anchor", "seg").orderBy("doc_id", "tag", "lo")))
-    first = F.first(F.struct("doc_id", "tag", "lo")).over(Window.partitionBy("anchor", "seg").orderBy("doc_id", "tag", "lo"))
-    rows = rows.withColumn("again", first != F.struct("doc_id", "tag", "lo")).withColumn("mixed", F.min("seg").over(by) < F.max("seg").over(by))
-    # equal rows (a document that is in the table twice) are no copies of each other
-    rows = stored(rows.where("again or (mixed and rn = 1)"))
-    whole = rows.where("again").select("doc_id", "tag", "lo", (F.col("lo") + F.col("n") + F.lit(min_words - 1)).alias("hi"))
-    want = rows.where("not again").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "tag", "lo", "n")).alias("want"))
-    once = d.join(want, "doc_id").select("doc_id", "text", "want")
-    sent = once.mapInArrow(_fetch(min_words), "anchor long, doc_id long, tag long, lo int, n int, words binary")
-    parts = sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_arrays(min_words), "doc_id long, tag long, lo int, hi int")
-    return whole.unionByName(parts)
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(no_id, doc_id, dk, text): dk tells apart the texts of an id, and those without one."""
+    text = F.col(quoted(text_col)).cast("string")
+    return docs.select(F.col(quoted(id_col)).isNull().alias("no_id"), F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("dk"), text.alias("text"))
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_kinds: int = HOT_KINDS) -> DataFrame:
+    """(doc_id, dk, lo, hi): spans of words that occur earlier, of the texts with hash dk.  Spans of a
+    document may overlap."""
+    slim(docs, id_col, text_col)  # the size of batches
+    d = _documents(docs, id_col, text_col).where("text is not null")
+    # a filter of the anchors that several rows have keeps all others from being shuffled
+    shared = d.select("text").mapInArrow(_anchors(min_words), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k")
+    rows = stored(d.mapInArrow(_stretches(min_words, member_filter(shared)), "anchor long, seg long, no_id boolean, doc_id long, dk long, lo int, n int"))
+    place = F.struct("no_id", "doc_id", "dk", "lo")
+    # grouped minima combine before the shuffle, so a passage in a third of all texts is a row of each task
+    kinds = stored(rows.groupBy("anchor", "seg").agg(F.min(F.struct(place.alias("place"), F.col("n"))).alias("first"), F.count(F.lit(1)).alias("rows")))
+    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("rows").alias("rows")).where("rows > 1")
+    several = stored(kinds.join(anchors.select("anchor", "kinds"), "anchor"), instead_of=kinds)
+    again = several.where("rows > 1").select("anchor", "seg", F.col("first.place").alias("first"))
+    whole = rows.join(again, ["anchor", "seg"]).where(place != F.col("first")).select("doc_id", "dk", "lo", (F.col("lo") + F.col("n") + F.lit(min_words - 1)).alias("hi"))
+    mixed = several.where("kinds > 1").select("anchor", "first.place.*", "first.n", (F.col("kinds") > hot_kinds).alias("hot"))
+    want = mixed.groupBy("no_id", "doc_id", "dk").agg(F.collect_list(F.struct("anchor", "lo", "n", "hot")).alias("want"))
+    once = d.join(want.select(F.col("doc_id").alias("of"), "dk", "want"), F.col("doc_id").eqNullSafe(F.col("of")) & (d["dk"] == want["dk"])).select(d["no_id"], d["doc_id"], d["dk"], "text", "want")
+    sent = once.mapInArrow(_fetch(min_words), "anchor long, no_id boolean, doc_id long, dk long, lo int, n int, hot boolean, words binary")
+    parts = sent.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_arrays(min_words), "doc_id long, dk long, lo int, hi int")
+    out = whole.unionByName(parts)
+    if not mixed.where("hot").isEmpty():
+        wins = sent.where("hot").mapInArrow(_windows, "win long, no_id boolean, doc_id long, dk long, lo int")
+        earliest = wins.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        out = out.unionByName(wins.join(earliest, "win").where(place != F.col("first")).select("doc_id", "dk", "lo", (F.col("lo") + F.lit(min_words)).alias("hi")))
+    return out
 
 
 def merge_spans(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -298,38 +342,35 @@ def _cut(batches):
         new, spans, total = texts.to_pylist(), [[] for _ in range(len(texts))], [0] * len(texts)
         hit = np.flatnonzero(np.asarray(cuts.is_valid()) & np.asarray(texts.is_valid()))
         data, off = K.buffers(texts.take(pa.array(hit)))
-        for i, j, s, h, woff in _pieces(data, off):
-            tags = RangeHash(h).of(woff[:-1], woff[1:]).view(np.int64)
+        for i, j, s, _, woff in _pieces(data, off):
             for k in range(i, j):
                 r = int(hit[k])
                 own = cuts[r].values
-                ok = own.field("tag").to_numpy() == tags[k - i]
-                if not ok.any():
-                    continue
                 w = s[woff[k - i] : woff[k - i + 1]] - off[k]
-                spans[r] = merge_spans(own.field("lo").to_numpy()[ok], own.field("hi").to_numpy()[ok])
+                spans[r] = merge_spans(own.field("lo").to_numpy(), own.field("hi").to_numpy())
                 new[r] = cut_text(data[off[k] : off[k + 1]].tobytes(), w, spans[r]).decode("utf-8", "replace")
                 total[r] = sum(y - x for x, y in spans[r])
         typed = pa.array([[{"lo": x, "hi": y} for x, y in sp] for sp in spans], pa.list_(_SPAN))
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(new, pa.string()), typed, pa.array(total, pa.int32()), b.column("rest")], names=["id", "text", "spans", "removed", "rest"])
 
 
-def _dedup(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, spans, removed, rest): rest holds the other columns as one struct."""
-    found = repeated_spans(docs, min_words, id_col, text_col)
-    lists = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("tag", "lo", "hi")).alias("cuts"))
+def _dedup(docs: DataFrame, min_words: int, id_col: str, text_col: str, hot_kinds: int = HOT_KINDS) -> DataFrame:
+    """(id, text, spans, removed, rest): rest holds the other columns as one struct, by their places."""
+    found = repeated_spans(docs, min_words, id_col, text_col, hot_kinds)
+    lists = found.groupBy(F.col("doc_id").alias("of"), F.col("dk").alias("of_dk")).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
-    both = rows.join(lists.withColumnRenamed("id", "of"), F.coalesce("id", F.lit(NO_ID)) == F.col("of"), "left").select("id", "text", "cuts", "rest")
-    kind = dict(rows.dtypes)["rest"]
+    rest = F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(others)], F.lit(0).alias("none"))
+    text = F.col(quoted(text_col)).cast("string")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("dk"), rest.alias("rest"))
+    both = rows.join(lists, F.col("id").eqNullSafe(F.col("of")) & (F.col("dk") == F.col("of_dk")), "left").select("id", "text", "cuts", "rest")
+    kind = both.schema["rest"].dataType.simpleString()
     return both.mapInArrow(_cut, f"id long, text string, spans array<struct<lo:int,hi:int>>, removed int, rest {kind}")
 
 
-def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_kinds: int = HOT_KINDS) -> DataFrame:
     """(doc_id, text, spans, removed): each row's text without what earlier text has; spans are in
     words, from lo up to hi."""
-    out = _dedup(docs.select(id_col, text_col), min_words, id_col, text_col)
+    out = _dedup(docs.select(quoted(id_col), quoted(text_col)), min_words, id_col, text_col, hot_kinds)
     return out.select(F.col("id").alias("doc_id"), "text", "spans", "removed")
 
 
@@ -337,14 +378,11 @@ def cut_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The rows of `docs` with repeats cut from `text` (and `n_chars`, if there, counted anew);
     a document of which nothing stays is dropped."""
     out = _dedup(docs, min_words, "doc_id", "text").where("not (removed > 0 and text = '')")
-    cols = []
+    cols, k = [], 0
     for c, kind in docs.dtypes:
-        if c == "doc_id":
-            cols.append(F.col("id").cast(kind).alias(c))
-        elif c == "text":
-            cols.append(F.col("text").cast(kind).alias(c))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("removed") > 0, F.char_length("text")).otherwise(F.col("rest.n_chars")).cast(kind).alias(c))
-        else:
-            cols.append(F.col(f"rest.`{c}`").alias(c))
+        if c in ("doc_id", "text"):
+            cols.append(F.col("id" if c == "doc_id" else "text").cast(kind).alias(c))
+            continue
+        own, k = F.col(f"rest.c{k}"), k + 1
+        cols.append((F.when(F.col("removed") > 0, F.char_length("text")).otherwise(own).cast(kind) if c == "n_chars" else own).alias(c))
     return out.select(cols)
