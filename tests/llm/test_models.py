@@ -38,6 +38,20 @@ def test_held_out_toxicity(spark):
     assert np.mean(high) > np.mean(low) + 0.5  # more of it is graded worse
 
 
+def test_graded_and_shifted_labels(spark):
+    rows, labels = labelled()
+    shifted = T.toxicity(frame(spark, rows), label_frame(spark, [(i, 2 * t) for i, t in labels])).collect()
+    plain = {r.doc_id: r.is_toxic for r in T.toxicity(frame(spark, rows), label_frame(spark, labels)).collect()}
+    assert {r.doc_id: r.is_toxic for r in shifted} == plain and sum(plain.values()) > 80
+    hits = {i: sum(w.startswith("rude") for w in t.split()) for i, t in rows}
+    graded = [(i, 0 if not h else 1 if h < 4 else 3 if h < 8 else 7) for i, h in hits.items()]
+    got = {r.doc_id: r for r in T.toxicity(frame(spark, rows), label_frame(spark, graded[:300])).collect()}
+    rank = {0: 0, 1: 1, 3: 2, 7: 3}
+    held = [(got[i].grade, rank[g]) for i, g in graded[300:]]
+    assert sum(a == b for a, b in held) / len(held) > 0.75 and sum(abs(a - b) > 1 for a, b in held) == 0
+    assert all(got[i].is_toxic == (g > 0) for i, g in graded[300:])
+
+
 def test_ordinal_fit_keeps_thresholds_in_order_and_shares_weights():
     rng = np.random.default_rng(0)
     x = rng.normal(size=600)

@@ -5,13 +5,15 @@ thresholds.  Features are words and word beginnings with 1 + log of their counts
 bounded sample of labelled rows (`sample_rows`, the smallest hashes of doc_id); everything it
 learns from is counted on executors, and only significant features reach the driver.
 
-Labels say toxic or not; grades 1..3 split the toxic sample rows by how many words bear a feature
-that is significantly toxic (tertiles of the hits), grade 0 is the rest.
-
-Defined cases: a null or wordless text has severity of the bare thresholds and is not rejected;
-without usable labels of both kinds every text has severity 0; rows of `labels` with a null are
-ignored, of several rows for an id the worst counts; repeated rows are scored each; extra columns
-are ignored.
+Labels of three or more levels are the grades, in their order; the lowest is the clean one.  Where
+labels only say toxic or not (the greater of two values is toxic), grades 1..3 split the toxic sample
+rows by how many words bear a feature that is significantly toxic (tertiles of the hits).
+
+Defined cases: a null or wordless text has severity of the bare thresholds and is not rejected; a
+text of any length is scored whole; a tie, P(toxic) = 0.5, is toxic; without usable labels of two
+kinds every text has severity 0; rows of `labels` with a null are ignored, of several rows for an id
+the worst counts; repeated rows are scored each; an empty table gives no rows; extra columns, whatever
+their names, are ignored, or kept by `reject_toxic`.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import kernel as K
-from .common import slim, stored
+from .common import quoted, slim, stored
 
 GRADES = 4
 PREFIXES = (4, 5, 6)
@@ -141,21 +144,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_rows:
     spark = docs.sparkSession
     worst = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = worst.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()
-    if len({r.toxic for r in ids}) < 2:
-        return None
+    clean = min((r.toxic for r in ids), default=0)
     chosen = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")  # at most sample_rows rows
     sample = stored(docs.join(F.broadcast(chosen), "doc_id"))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    n0 = sizes.get(clean, 0)
+    n1 = sum(sizes.values()) - n0
     if not n1 or not n0:
         return None
-    counts = sample.mapInArrow(_document_frequencies, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= min_rows)
+    binary = sample.withColumn("toxic", (F.col("toxic") > clean).cast("int"))
+    counts = binary.mapInArrow(_document_frequencies, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= min_rows)
     xlogx = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     tot = F.col("n1") + F.col("n0")
     e1, e0 = tot * (n1 / (n1 + n0)), tot * (n0 / (n1 + n0))
     g2 = 2 * (xlogx(F.col("n1"), e1) + xlogx(F.col("n0"), e0))
-    # the rows of the sample bound how many features can be significant; the best are taken
-    picked = counts.withColumn("g2", g2).where(F.col("g2") >= min_g2).orderBy(F.desc("g2"), "feature").limit(1 << 16).select("feature").toPandas()
+    # the words of at most sample_rows rows bound how many features there are
+    picked = counts.withColumn("g2", g2).where(F.col("g2") >= min_g2).select("feature").toPandas()
     lex = Lexicon(picked["feature"].to_numpy(np.int64).view(U64))
     if not len(lex.keys):
         return None
@@ -163,12 +167,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_rows:
     lens = np.array([len(x) for x in got.column("keys").to_pylist()])
     key = np.concatenate([np.asarray(x, np.int64) for x in got.column("keys").to_pylist()] or [np.zeros(0, np.int64)])
     cnt = np.concatenate([np.asarray(x, np.int64) for x in got.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
-    tox = got.column("toxic").to_numpy() > 0
+    label = got.column("toxic").to_numpy()
+    levels = np.unique(label)
+    tox = label > clean
     row = np.repeat(np.arange(len(lens)), lens)
-    hits = np.bincount(row, cnt, minlength=len(lens))
-    cuts = np.quantile(hits[tox], [1 / 3, 2 / 3])
-    grade = np.where(tox, 1 + (hits[:, None] > cuts).sum(axis=1), 0)
-    w, theta = fit_ordinal(row, key, 1 + np.log(np.maximum(cnt, 1)), grade, len(lex.keys), GRADES)
+    if len(levels) > 2:
+        grade, grades = np.searchsorted(levels, label), len(levels)
+    else:
+        hits = np.bincount(row, cnt, minlength=len(lens))
+        cuts = np.quantile(hits[tox], [1 / 3, 2 / 3])
+        grade, grades = np.where(tox, 1 + (hits[:, None] > cuts).sum(axis=1), 0), GRADES
+    w, theta = fit_ordinal(row, key, 1 + np.log(np.maximum(cnt, 1)), grade, len(lex.keys), grades)
     return lex, w, theta
 
 
@@ -212,12 +221,15 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192) ->
 
     def run(batches):
         for b in batches:
-            text = b.column("__text")
+            text = b.column("text")
             data, off = K.buffers(text)
             keep = [np.zeros(0, bool)]
             for i, j in K.row_slices(off):
                 r, k, c = sparse_counts(lex, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 keep.append(severity(np.bincount(r, (1 + np.log(np.maximum(c, 1))) * w[k], minlength=j - i), theta)[2] < 0.5)
-            yield b.drop_columns(["__text"]).filter(pa.array(np.concatenate(keep)))
+            yield b.drop_columns(["text"]).filter(pa.array(np.concatenate(keep)))
 
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    # columns go by their places, whatever their names
+    kinds = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(docs.schema)])
+    placed = docs.select([F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)] + [F.col("text").cast("string").alias("text")])
+    return placed.mapInArrow(run, kinds).toDF(*docs.columns)
