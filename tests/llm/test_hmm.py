@@ -28,11 +28,10 @@ def test_forward_is_exact():
     assert np.allclose(got, [brute(model, sym[a:b]) for a, b in zip(off, off[1:])])
 
 
-def step(model, sym, off, segment=10**6, prior=0.0):
+def step(model, sym, off, prior=0.0, **more):
     k, v = len(model[0]), len(model[2])
     t = [np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), np.zeros(k)]
-    at, size = H.cut(off, segment)
-    H.expect(model, sym, at, size, t)
+    H.expect(model, sym, *H.sequences(off), t, **more)
     return t, H.maximise(t, np.full(v, 1 / v), prior)
 
 
@@ -48,10 +47,50 @@ def test_baum_welch_never_loses_likelihood():
     assert np.all(np.diff(logs) >= -1e-9) and logs[-1] > logs[0]
 
 
-def test_segments_cover_everything():
-    off = np.array([0, 0, 7, 10, 300])
-    at, size = H.cut(off, 128)
-    assert size.sum() == 300 and sorted(x for a, n in zip(at, size) for x in range(a, a + n)) == list(range(300)) and np.all(np.diff(size) <= 0)
+def brute_counts(model, s):
+    """Expected counts of one sequence over all paths."""
+    pi, move, emit = model
+    t = [np.zeros(len(pi)), np.zeros(move.shape), np.zeros(emit.shape)]
+    total = math.exp(brute(model, s))
+    for path in itertools.product(range(len(pi)), repeat=len(s)):
+        p = pi[path[0]] * emit[s[0], path[0]]
+        for a, b, x in zip(path, path[1:], s[1:]):
+            p *= move[a, b] * emit[x, b]
+        t[0][path[0]] += p / total
+        for a, b in zip(path, path[1:]):
+            t[1][a, b] += p / total
+        for x, a in zip(s, path):
+            t[2][x, a] += p / total
+    return t
+
+
+def test_expected_counts_match_all_paths():
+    sym, off = np.random.default_rng(4).integers(0, 4, 20), np.array([0, 7, 7, 8, 13, 20])
+    model = H.start(np.bincount(sym, minlength=4).astype(float), 3)
+    got, _ = step(model, sym, off)
+    want = [brute_counts(model, sym[a:b]) for a, b in zip(off, off[1:]) if b > a]
+    for i in range(3):
+        assert np.allclose(got[i], sum(w[i] for w in want))
+
+
+def test_long_sequences_are_whole_however_they_are_passed():
+    rng = np.random.default_rng(5)
+    sym, off = rng.integers(0, 9, 3000), np.array([0, 2000, 2001, 2950, 3000])
+    model = H.start(np.bincount(sym, minlength=9).astype(float), 4)
+    whole, _ = step(model, sym, off)
+    for cells in (1, 64, 999, 4000):
+        parts, _ = step(model, sym, off, cells=cells)
+        assert all(np.allclose(a, b) for a, b in zip(whole, parts))
+    assert math.isclose(whole[0].sum(), 4) and math.isclose(whole[1].sum(), 2996) and math.isclose(whole[3][0], H.log_likelihoods(model, sym, off).sum())
+
+
+def test_rounds_end_when_little_is_gained(spark):
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{(i + k) % 5}" for k in range(30))) for i in range(40)]
+    counts = np.ones(10)
+    d = spark.createDataFrame([(len(t.split()), np.array([5 * (w[0] == "b") + int(w[1]) for w in t.split()], "<u4").tobytes()) for _, t in rows], "words long, symbols binary")
+    _, many = H.train(d, counts, 2, 30, 0.01, 0.0)
+    _, few = H.train(d, counts, 2, 30, 0.01, 1.0)
+    assert len(few) < len(many) and np.allclose(few, many[: len(few)]) and np.all(np.diff(many) > -1)
 
 
 def test_scores(spark):

@@ -4,13 +4,14 @@ Every word of the corpus is counted and has its own emission probability: that o
 state, times the word's exact share of the class's occurrences.  The `vocabulary` most frequent
 words are a class (symbol) each; all other words fall into `shared` classes by their hash, and their
 counts stay partitioned by word and are joined to the texts.  Words of one class thus share how they
-depend on the state, but not their probability.  Baum-Welch trains `states` latent states
-on every word of the corpus: each task adds up expected counts over its texts, cut into sequences
-of `segment` words so that thousands advance together, and one grouped sum by symbol aggregates
-them.  Scores are of whole texts: the scaled forward recursion multiplies by one transition matrix
-a word, and the logs of its scale factors add up to the exact likelihood of the classes; the logs of
-the words' shares, added in steps of 1 / SHARE_STEPS so that their order can't matter, make it that
-of the words.
+depend on the state, but not their probability.  Baum-Welch trains `states` latent states on every
+word of the corpus: each task adds up the expected counts of its texts, every text as one sequence
+from its first word to its last, and one grouped sum by symbol aggregates them.  Texts of like length
+advance side by side.  Rounds end when a word's mean log-likelihood gains less than `tolerance`, after
+`rounds` at the latest.  Scores are of whole texts: the scaled forward recursion multiplies by one
+transition matrix a word, and the logs of its scale factors add up to the exact likelihood of the
+classes; the logs of the words' shares, added in steps of 1 / SHARE_STEPS so that their order can't
+matter, make it that of the words.
 
 Defined cases: words are folded runs of letters and digits; a null text has null results; a text
 without words has likelihood 1 (log 0.0) and no perplexity (null); equally frequent words rank by
@@ -30,8 +31,10 @@ from . import kernel as K
 from .common import slim, stored
 
 U64 = K.U64
-GROUP = 2048  # sequences that advance together
+CELLS = 1 << 18  # words whose forward variables are held at once; a longer text is passed twice
+GATHER_WORDS = 1 << 20  # texts of about so many words are ordered by length
 SCORE_WORDS = 1 << 22
+RESCALE = 16  # steps between scale factors
 SHARE_STEPS = 1 << 36
 
 
@@ -90,63 +93,143 @@ def start(counts: np.ndarray, states: int):
     return np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
 
 
-def cut(off: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of sequences of at most `segment` words, longest first."""
-    cnt = -(-np.diff(off) // segment)
-    row = np.repeat(np.arange(len(cnt)), cnt)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    at = off[:-1][row] + k * segment
-    size = np.minimum(segment, off[1:][row] - at)
+def sequences(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the rows that have words, longest first."""
+    size = np.diff(off)
     order = np.argsort(-size, kind="stable")
-    return at[order], size[order]
-
-
-def expect(model, sym: np.ndarray, at: np.ndarray, size: np.ndarray, totals) -> None:
+    order = order[: np.count_nonzero(size)]
+    return off[:-1][order], size[order]
+
+
+class _Lattice:
+    """Forward and backward variables of sequences (longest first) from place t0 up to t1.
+
+    a[t] is the forward variable over the product of the scale factors so far, b[t] the backward one
+    times the same product over the likelihood, so that a * b are posteriors as they are."""
+
+    def __init__(self, model, sym, at, size, t0: int, t1: int):
+        self.pi, self.move, emit = model
+        self.t0, self.t1, self.n = t0, t1, len(at)
+        self.live = np.searchsorted(-size, -np.arange(t0, t1 + 1), "left").tolist()  # sequences longer than t
+        t = np.arange(t0, t1)[:, None]
+        self.valid = t < size[None, :]
+        self.seen = sym[np.minimum(at[None, :] + t, (at + size - 1)[None, :])]
+        self.w = emit[self.seen]
+        self.w[~self.valid] = 0
+        self.a = np.zeros(self.w.shape)
+        self.scale: dict[int, np.ndarray] = {}
+        self.norm = np.ones(self.n)
+
+    def forward(self, prev: np.ndarray | None) -> tuple[np.ndarray, float]:
+        """(a at the last place, sum of the logs of scale factors and of likelihoods that end here)."""
+        logs = 0.0
+        for r in range(self.t1 - self.t0):
+            m, nxt = self.live[r], self.live[r + 1]
+            a = self.a[r, :m]
+            if prev is None:
+                np.multiply(self.pi, self.w[r, :m], out=a)
+            else:
+                np.matmul(prev[:m], self.move, out=a)
+                a *= self.w[r, :m]
+            if (self.t0 + r) % RESCALE == RESCALE - 1:
+                self.scale[r] = c = a.sum(axis=1, keepdims=True)
+                a /= c
+                logs += float(np.log(c).sum())
+            if nxt < m:
+                self.norm[nxt:m] = a[nxt:].sum(axis=1)
+                logs += float(np.log(self.norm[nxt:m]).sum())
+            prev = a
+        return prev, logs
+
+    def backward(self, after: np.ndarray | None) -> np.ndarray:
+        """Turns w into the weights of the steps into each place; gives b of the place before t0."""
+        back = np.ascontiguousarray(self.move.T)
+        self.b = np.zeros(self.a.shape)
+        if after is not None:
+            self.b[-1, : len(after)] = after
+        out = None
+        for r in range(self.t1 - self.t0 - 1, -1, -1):
+            m, nxt = self.live[r], self.live[r + 1]
+            b, w = self.b[r, :m], self.w[r, :m]
+            if nxt < m:
+                b[nxt:] = 1 / self.norm[nxt:m, None]
+            w *= b
+            if r in self.scale:
+                w /= self.scale[r]
+            if r:
+                np.matmul(w, back, out=self.b[r - 1, :m])
+            else:
+                out = w @ back
+        return out
+
+    def add(self, before: np.ndarray | None, totals) -> None:
+        k = len(self.pi)
+        pairs = self.a[:-1].reshape(-1, k).T @ self.w[1:].reshape(-1, k)
+        gamma = np.multiply(self.a, self.b, out=self.b)
+        if before is None:
+            totals[0] += gamma[0].sum(axis=0)
+        else:
+            m = self.live[0]
+            pairs += before[:m].T @ self.w[0, :m]
+        totals[1] += self.move * pairs
+        flat, g = self.seen[self.valid], gamma[self.valid]
+        for i in range(k):
+            totals[2][:, i] += np.bincount(flat, g[:, i], minlength=len(totals[2]))
+
+
+def expect(model, sym: np.ndarray, at: np.ndarray, size: np.ndarray, totals, cells: int = CELLS) -> None:
     """Adds the expected counts of sequences (longest first) to totals: initial, transitions,
-    emissions and [log-likelihood]."""
-    pi, move, emit = model
-    k, n, t_max = len(pi), len(at), int(size[0])
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(t_max)]  # sequences longer than t
-    alpha, back, scaled = np.zeros((t_max, n, k)), np.ones((t_max, n, k)), np.zeros((t_max, n, k))
-    seen = np.zeros((t_max, n), np.int64)
-    logs = 0.0
-    for t in range(t_max):
-        m = live[t]
-        s = sym[at[:m] + t]
-        seen[t, :m] = s
-        e = emit[s]
-        a = pi * e if t == 0 else (alpha[t - 1, :m] @ move) * e
-        c = a.sum(axis=1, keepdims=True)
-        alpha[t, :m] = a / c
-        scaled[t, :m] = e / c
-        logs += float(np.log(c).sum())
-    for t in range(t_max - 1, 0, -1):
-        m = live[t]
-        step = scaled[t, :m] * back[t, :m]
-        back[t - 1, :m] = step @ move.T
-        totals[1] += move * (alpha[t - 1, :m].T @ step)
-    gamma = alpha * back
-    totals[0] += gamma[0].sum(axis=0)
-    valid = np.arange(t_max)[:, None] < size[None, :]
-    flat, g = seen[valid], gamma[valid]
-    for i in range(k):
-        totals[2][:, i] += np.bincount(flat, g[:, i], minlength=len(emit))
-    totals[3][0] += logs
-
-
-def _expectations(model, segment: int):
+    emissions and [log-likelihood].
+
+    Where the sequences have more than `cells` places, only the forward variables at some are kept,
+    and those between are computed again on the way back."""
+    step = max(1, cells // len(at))
+    edges = [*range(0, int(size[0]), step), int(size[0])]
+    enter: list[np.ndarray | None] = [None]
+    for t0, t1 in zip(edges[:-2], edges[1:]):
+        last, logs = _Lattice(model, sym, at, size, t0, t1).forward(enter[-1])
+        enter.append(last.copy())
+        totals[3][0] += logs
+    after = None
+    for k in reversed(range(len(edges) - 1)):
+        part = _Lattice(model, sym, at, size, edges[k], edges[k + 1])
+        _, logs = part.forward(enter[k])
+        totals[3][0] += logs if k == len(edges) - 2 else 0.0
+        after = part.backward(after)
+        part.add(enter[k], totals)
+
+
+def _expectations(model):
     def run(batches):
         pi, _, emit = model
         k = len(pi)
-        totals = [np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k)), np.zeros(k)]
-        some = False
+        totals = [np.zeros(k), np.zeros((k, k)), np.zeros((len(emit), k), order="F"), np.zeros(k)]
+        some, held, words = False, [], 0
+
+        def flush():
+            sym = np.concatenate([x for x, _ in held])
+            base = np.cumsum([0, *(len(x) for x, _ in held[:-1])])
+            off = np.concatenate([[0], *(o[1:] + x for (_, o), x in zip(held, base))])
+            at, size = sequences(off)
+            lo = 0
+            while lo < len(at):
+                hi = lo + max(1, CELLS // int(size[lo]))
+                expect(model, sym, at[lo:hi], size[lo:hi], totals)
+                lo = hi
+
         for b in batches:
             raw, off = K.buffers(b.column("symbols"))
-            sym, off = raw.view("<u4").astype(np.int64) if len(raw) else np.zeros(0, np.int64), off // 4
-            at, size = cut(off, segment)
-            for lo in range(0, len(at), GROUP):
-                expect(model, sym, at[lo : lo + GROUP], size[lo : lo + GROUP], totals)
-                some = True
+            if not len(raw):
+                continue
+            held.append((raw.view("<u4").astype(np.int64), off // 4))
+            words += len(raw) // 4
+            some = True
+            if words >= GATHER_WORDS:
+                flush()
+                held.clear()
+                words = 0
+        if held:
+            flush()
         if some:
             used = np.flatnonzero(totals[2].any(axis=1))
             keys = np.concatenate([used, len(emit) + np.arange(k + 2)])
@@ -169,14 +252,19 @@ def log_likelihoods(model, sym: np.ndarray, off: np.ndarray) -> np.ndarray:
     order = np.argsort(-np.diff(off), kind="stable")
     at, size = off[:-1][order], np.diff(off)[order]
     out = np.zeros(len(order))
+    live = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if len(size) else 1), "left").tolist()
     alpha = None
-    for t in range(int(size[0]) if len(size) else 0):
-        m = int(np.searchsorted(-size, -t, "left"))
+    for t in range(len(live) - 1):
+        m, nxt = live[t], live[t + 1]
         e = emit[sym[at[:m] + t]]
         a = pi * e if t == 0 else (alpha[:m] @ move) * e
-        c = a.sum(axis=1)
-        alpha = a / c[:, None]
-        out[:m] += np.log(c)
+        if t % RESCALE == RESCALE - 1:
+            c = a.sum(axis=1)
+            a /= c[:, None]
+            out[:m] += np.log(c)
+        if nxt < m:
+            out[nxt:m] += np.log(a[nxt:].sum(axis=1))
+        alpha = a
     res = np.empty(len(order))
     res[order] = out
     return res
@@ -208,7 +296,7 @@ def _score(model, counts: np.ndarray, own: int):
     return run
 
 
-def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, segment: int, prior: float):
+def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, prior: float, tolerance: float = 0.0):
     """(model, log-likelihood before each round)."""
     (pi, move, emit), logs = start(counts, states), []
     some = counts > 0 if counts.any() else np.ones(len(counts), bool)  # a symbol of no word takes no probability
@@ -217,7 +305,7 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, segm
     unigram = (counts + 0.5) * some / ((counts + 0.5) * some).sum()
     v, cols = len(counts), [f"c{i}" for i in range(states)]
     for _ in range(rounds):
-        got = symbols.where("words > 0").mapInArrow(_expectations(model, segment), "key long, " + ", ".join(f"{c} double" for c in cols))
+        got = symbols.where("words > 0").mapInArrow(_expectations(model), "key long, " + ", ".join(f"{c} double" for c in cols))
         got = got.groupBy("key").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most v + states + 2 rows
         if not len(got):
             break
@@ -225,10 +313,12 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, segm
         full[got["key"].to_numpy()] = got[cols].to_numpy()
         logs.append(float(full[v + states + 1, 0]))
         model = maximise([full[v + states], full[v : v + states], full[:v]], unigram, prior)
+        if len(logs) > 1 and logs[-1] - logs[-2] < tolerance * counts.sum():
+            break
     return model, logs
 
 
-def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 6, segment: int = 128, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 8, tolerance: float = 0.002, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, log_likelihood, perplexity), one row for each input row."""
     d = slim(docs, id_col, text_col)
     words = stored(d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -248,7 +338,7 @@ def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, sta
     seen = symbols.select("symbols").mapInArrow(tally, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()  # one row for each symbol
     counts = np.zeros(len(keys) + shared)
     counts[seen["symbol"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
-    model, _ = train(symbols, counts, states, rounds, segment, prior)
+    model, _ = train(symbols, counts, states, rounds, prior, tolerance)
     # exact counts of rare words, by word to their occurrences; no word among them is frequent, so no key is heavy
     steps = F.round(F.log("n") * SHARE_STEPS).cast("long")
     shares = symbols.select("nr", F.explode("rare").alias("word")).join(words.select("word", steps.alias("steps")), "word").groupBy("nr").agg(F.sum("steps").alias("steps"))

@@ -36,7 +36,7 @@ from .common import may_hold, member_filter, quoted, slim, stored
 
 U64 = K.U64
 GRAM = 8
-GROUP_WORDS = 1 << 19  # anchors of about so many words share one array
+GROUP_WORDS = 1 << 18  # anchors of about so many words share one array
 HOT_KINDS = 4096  # an anchor of more kinds of rows has no array
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
