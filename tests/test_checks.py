@@ -172,12 +172,11 @@ def test_projection_counts_what_can_be_saved(spark, tmp_path):
     system = "You answer questions of customers about parcels, customs and invoices. " * 12
     rows = [(c, k, r, x) for c in range(12) for k, (r, x) in enumerate([("system", system + f"Case {c}" * (c == 0)), ("user", f"Where is   parcel {c}?  \n\n\n\n\nThanks"), ("assistant", "On its way.")])]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    calls = Q.tables.from_conversations(spark.read.parquet(str(tmp_path / "conversations.parquet")))
-    for name, settings in (("projection", {}), ("projected_saving", Q.SETTINGS)):
-        want = Audit(calls, settings=settings).run()
-        r = Q.QUERIES[name](spark, str(tmp_path)).first()
-        assert want.measured["saved"] > 0 and want.total("high") > 0 and r["safe_tokens"] == want.measured["saved"] + want.total("high")
-    assert math.isclose(r["monthly_saving"], want.safe * 1e6 / 12 / 1e6, abs_tol=1e-6) and math.isclose(r["annual_saving"], 12 * r["monthly_saving"], abs_tol=1e-5) and math.isclose(r["safe_pct"], want.pct)
+    want = Audit(Q._padded_calls(spark, str(tmp_path)), settings=Q.SETTINGS).run()
+    r = Q.QUERIES["projection"](spark, str(tmp_path)).first()
+    calls = want.summary["calls"]
+    assert want.measured["saved"] > 0 and want.total("high") > 0 and calls == 24 and r["safe_tokens"] == want.measured["saved"] + want.total("high")
+    assert r["monthly_tokens"] == int(want.safe * (1e6 / calls)) and r["annual_tokens"] == int(want.safe * (1e6 / calls) * 12) and math.isclose(r["safe_pct"], want.pct, abs_tol=1e-5)
 
 
 def test_tools_of_all_parts_are_declared(spark):

@@ -1,7 +1,11 @@
+import base64
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from tokenwright.functions import tokens as T
 from tokenwright.plans import report
 from tokenwright.plans.cli import main
 
@@ -62,3 +66,62 @@ def test_colour(monkeypatch):
     assert report.coloured(object())
     monkeypatch.setenv("NO_COLOR", "1")
     assert not report.coloured(Tty())
+
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary at hand")
+def test_exact_counts(spark, log, tmp_path, capsys):
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    enc = tiktoken.Encoding("own", pat_str=T._encoding(RANKS)._pat_str, mergeable_ranks=ranks, special_tokens={})
+    got = {}
+    for more in ([], ["--vocabulary", RANKS], ["--vocabulary", RANKS, "--approx"]):
+        out = tmp_path / "r.json"
+        assert main([str(log), "-f", "json", "-o", str(out), *more], spark) == 0
+        got[len(more)] = json.loads(out.read_text())
+    system = "Weigh every parcel before you quote a price. " * 200
+    n = lambda t: len(enc.encode_ordinary(t))
+    assert got[2]["corpus"]["input_tokens"] == sum(3 + 4 + n(system) + 4 + n(f"q{i}") for i in range(5)) and got[2]["corpus"]["output_tokens"] == 5 * n("ok")
+    assert got[2]["counting"] == {"backend": "byte-pair/byte_bpe_50k", "exact": True}
+    assert got[3] == got[0] and not got[0]["counting"]["exact"]
+    kinds = {f["check"]: f for f in got[2]["findings"]}
+    assert kinds["restated-instructions"]["tokens_saved"] == 5 * 199 * n("weigh every parcel before you quote a price.")
+    assert main([str(log), "--vocabulary", str(tmp_path / "none")], spark) == 2
+
+
+def test_texts_that_can_t_be_encoded_are_approximated(spark, monkeypatch):
+    rows = spark.createDataFrame([("some words here",), ("",), (None,)], "t string")
+    with T.counted_by(RANKS):
+        count = T.token_count("t")
+        many = T.token_counts(F.array("t", "t"))
+    assert T._exact(None, "x") is None and T._exact(None, "") == 0
+    if os.path.exists(RANKS):
+        assert [r.n for r in rows.select(count.alias("n")).collect()] == [3, 0, 0]
+        assert [r.n for r in rows.select(many.alias("n")).collect()] == [[3, 3], [0, 0], [0, 0]]
+
+
+def test_reports_say_that_findings_are_not_summed(spark, log, capsys):
+    for more in ([], ["-f", "markdown"]):
+        main([str(log), *more], spark)
+        assert "is not a sum of findings" in " ".join(capsys.readouterr().out.split())
+
+
+def test_files_left_out_are_named(spark, tmp_path, capsys, monkeypatch):
+    from tokenwright.plans import cli
+
+    (tmp_path / "a.txt").write_text("prompt")
+    (tmp_path / "large.txt").write_text("x" * (cli.files.MOST_BYTES + 1))
+    assert main([str(tmp_path)], spark) == 0
+    assert "1 file(s) of more than 8,388,608 bytes left out" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("raw, tokens", [
+    ('[{"role":"user","content":"hi"}]', 3 + 4 + 1), ('[{"content":"hi","name":"bob"}]', 3 + 4 + 1 + 1), ('[{"content":[{"type":"text","text":"hi"},{"type":"image"},{"text":"ok"},"loose"]}]', 3 + 4 + 2),
+    ('["bare",5,null,{"content":null},{"content":["x"],"name":7}]', 3 + 8), ("[]", 3), ("not json", 3), (None, 3), ('[{"content":"[1]"}]', 3 + 4 + 3),
+])
+def test_framing_of_raw_messages(spark, raw, tokens):
+    assert spark.createDataFrame([(raw,)], "j string").select(T.framed_json(F.col("j")).alias("n")).first().n == tokens

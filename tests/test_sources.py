@@ -1,6 +1,8 @@
 import io
 import json
 
+import pytest
+
 from tokenwright.sources import files, records, tables
 
 
@@ -86,3 +88,28 @@ def test_table_adapters(spark):
     assert [(r.request_id, [m.content for m in r.messages], r.completion) for r in got] == [(100002, ["s", "q"], "a"), (100004, ["s", "q", "a"], None)]
     d = spark.createDataFrame([(1, "t", "src"), (2, " \n", "src"), (3, None, "src")], "doc_id long, text string, source string")
     assert [r.request_id for r in tables.from_documents(d).collect()] == [1]
+
+
+def test_sizes_are_a_parameter_and_reported(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x" * 20)
+    (tmp_path / "b.txt").write_text("y" * 10)
+    assert [r["messages"][0]["content"] for r in loaded(spark, [str(tmp_path)], most_bytes=10)] == ["y" * 10]
+    assert files.too_large([str(tmp_path), "-"], 10) == [f"{tmp_path}/a.txt"] and files.too_large([str(tmp_path)]) == []
+
+
+def test_a_file_that_vanished_is_an_error(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.read_text(str(tmp_path / "none.txt"))
+
+
+def test_uris_are_read_by_spark(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "sub" / "log.jsonl").write_bytes(b'{"prompt": "a"}\r\n{"prompt": "b"}')
+    (tmp_path / "t.md").write_bytes(b"one\rtwo \xff")
+    (tmp_path / "node_modules" / "t.md").write_text("pruned")
+    (tmp_path / "x.bin").write_text("unknown")
+    (tmp_path / "big.txt").write_text("z" * 100)
+    got = loaded(spark, [f"file://{tmp_path}", "-"], stdin=io.StringIO("last"), most_bytes=99)
+    assert sorted(r["messages"][0]["content"] for r in got) == ["a", "b", "last", "one\ntwo �"] and got[-1]["source"] == "<stdin>"
+    assert loaded(spark, [f"file://{tmp_path}/x.bin"])[0]["messages"][0]["role"] == "system"

@@ -6,6 +6,8 @@ character classes are spelled out so that Java, Python and RE2 read them alike.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pandas as pd
@@ -37,13 +39,43 @@ def _cost(c: Column) -> Column:
     ).cast("long")
 
 
-def token_count(text: Column | str) -> Column:
-    """Approximate tokens of a string column; null counts 0."""
-    text = F.col(text) if isinstance(text, str) else text
+_vocabulary: ContextVar[str | None] = ContextVar("vocabulary", default=None)
+
+
+@contextmanager
+def counted_by(vocabulary: str | None):
+    """Plans made inside count exactly, with a byte-pair vocabulary file; None keeps the model."""
+    token = _vocabulary.set(vocabulary)
+    try:
+        yield
+    finally:
+        _vocabulary.reset(token)
+
+
+def _approximate(text: Column) -> Column:
     chunks = F.regexp_extract_all(text, F.lit(CHUNKS), F.lit(0))
     return F.coalesce(F.aggregate(chunks, F.lit(0).cast("long"), lambda acc, c: acc + _cost(c)), F.lit(0).cast("long"))
 
 
+def token_count(text: Column | str) -> Column:
+    """Tokens of a string column; null counts 0.  A text that the exact count can't take is approximated."""
+    text = F.col(text) if isinstance(text, str) else text
+    ranks = _vocabulary.get()
+    return F.coalesce(exact_count(text, ranks), _approximate(text)) if ranks else _approximate(text)
+
+
+def token_counts(texts: Column) -> Column:
+    """Tokens of each string of an array."""
+    ranks = _vocabulary.get()
+    if not ranks:
+        return F.transform(texts, _approximate)
+    return F.zip_with(_exact_counts(texts, ranks), texts, lambda n, t: F.coalesce(n, _approximate(t)))
+
+
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+
 @lru_cache(maxsize=4)
 def _encoding(path: str):
     import base64
@@ -56,15 +88,45 @@ def _encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _exact(enc, text: str | None) -> int | None:
+    try:
+        return len(enc.encode_ordinary(text)) if text else 0
+    except Exception:  # noqa: BLE001 - counted by the model then
+        return None
+
+
 def exact_count(text: Column | str, ranks: str) -> Column:
-    """Exact byte-pair tokens with the vocabulary file `ranks`; special tokens are ordinary text."""
+    """Exact byte-pair tokens with the vocabulary file `ranks`; special tokens are ordinary text, and
+    null is a text that can't be encoded."""
     def count(batch: pd.Series) -> pd.Series:
         enc = _encoding(ranks)
-        return batch.map(lambda t: len(enc.encode_ordinary(t)) if t else 0).astype("int64")
+        return pd.Series([_exact(enc, t) for t in batch], dtype="Int64")
 
     return F.pandas_udf(count, "long")(text)
 
 
+def _exact_counts(texts: Column, ranks: str) -> Column:
+    def count(batch: pd.Series) -> pd.Series:
+        enc = _encoding(ranks)
+        return batch.map(lambda many: None if many is None else [_exact(enc, t) for t in many])
+
+    return F.pandas_udf(count, "array<long>")(texts)
+
+
 def framed(messages: Column) -> Column:
     """Tokens of a chat request: its messages' and the framing."""
-    return F.aggregate(messages, F.lit(PER_REQUEST).cast("long"), lambda acc, m: acc + PER_MESSAGE + token_count(m["content"]))
+    each = token_counts(F.transform(messages, lambda m: m["content"]))
+    return F.lit(PER_REQUEST).cast("long") + F.size(messages) * PER_MESSAGE + total(each)
+
+
+def framed_json(messages: Column) -> Column:
+    """Tokens of a raw chat request, a JSON array of messages: content as a string or as parts with
+    `text`, and the name of who speaks.  What is no object isn't counted."""
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    at = lambda v, key, as_: F.try_variant_get(v, f"$.{key}", as_)
+    text = lambda v, key: F.when(kind(at(v, key, "variant")) == "STRING", at(v, key, "string"))
+    many = lambda v: F.coalesce(v, F.array().cast("array<variant>"))
+    objects = F.filter(many(F.try_variant_get(F.try_parse_json(messages), "$", "array<variant>")), lambda m: kind(m).startswith("OBJECT"))
+    parts = lambda m: F.transform(F.when(kind(at(m, "content", "variant")).startswith("ARRAY"), many(at(m, "content", "array<variant>"))).otherwise(F.array().cast("array<variant>")), lambda x: F.when(kind(x).startswith("OBJECT"), text(x, "text")))
+    texts = F.flatten(F.transform(objects, lambda m: F.concat(F.array(text(m, "content"), text(m, "name")), parts(m))))
+    return F.lit(PER_REQUEST).cast("long") + F.size(objects) * PER_MESSAGE + total(token_counts(F.filter(texts, lambda t: t.isNotNull())))

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tokens import WS, framed, token_count
+from ..functions.tokens import WS, framed, token_count, token_counts, total
 from .rewrite import json_blobs
-from .summary import tool_tokens
 
 RANK = {"certain": 0, "high": 1, "judgement": 2}
 FINDINGS = "check string, title string, confidence string, conf_rank int, tokens_saved bigint, calls_affected bigint, detail string, fix string, evidence array<string>, check_ord int, emit_ord bigint"
@@ -42,13 +43,13 @@ def _found(df: DataFrame, check: str, confidence: str, saved, affected, title: C
 
 
 def _top(k: int, order: list[Column], line: Column) -> Column:
-    """The first k lines by `order`, as an aggregate of bounded size for each task."""
+    """The first k lines by `order`, as an aggregate over rows that a limit has made few before."""
     ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))
     return F.transform(F.slice(F.sort_array(F.collect_list(ranked)), 1, k), lambda x: x["line"])
 
 
 def _first_lines(df: DataFrame, k: int, order: list[Column], line: Column) -> DataFrame:
-    """One row: the first k lines of df by order (a top-k, then an aggregate of k rows)."""
+    """One row: the first k lines of df by order (a top-k, then an aggregate of those k rows)."""
     at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     few = df.select(at.alias("at"), line.alias("line")).orderBy("at").limit(k)
     return few.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("evidence"))
@@ -97,10 +98,13 @@ def repeated_system(p: DataFrame, min_tokens: int = 50, min_redundant: int = 200
 
 def duplicate_blocks(p: DataFrame, min_chars: int = 80, top: int = 40, min_tokens: int = 24, min_wasted: int = 40, min_total: int = 100) -> DataFrame:
     """Paragraphs outside the system prompt that several requests hold."""
-    b = p.select("request_id", "ingest_seq", "weight", F.posexplode(X.blocks(F.col("other_text"))).alias("i", "block")).withColumn("key", X.norm(F.col("block"))).where(F.length("key") >= min_chars)
-    one = b.groupBy("key", "request_id").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("w"), F.min(F.struct("ingest_seq", "i")).alias("at"))
-    g = one.groupBy("key").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("at").alias("at")).orderBy(F.desc("n"), "at").limit(top)
-    g = g.where("n >= 2").withColumn("t", token_count("key")).withColumn("wasted", F.col("t") * (F.col("w") - 1)).where((F.col("t") >= min_tokens) & (F.col("wasted") >= min_wasted))
+    b = p.select("request_id", "ingest_seq", "weight", F.posexplode(X.blocks(F.col("other_text"))).alias("i", "block")).select("request_id", "ingest_seq", "weight", "i", X.norm(F.col("block")).alias("key")).where(F.length("key") >= min_chars)
+    b = b.withColumn("hash", F.md5("key"))
+    # digests are grouped, not texts; of the top ones, the text is fetched by a second look
+    one = b.groupBy("hash", "request_id").agg(F.count(F.lit(1)).alias("n"), F.first("weight").alias("w"), F.min(F.struct("ingest_seq", "i")).alias("at"))
+    g = one.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.min("at").alias("at")).orderBy(F.desc("n"), "at").limit(top)
+    texts = b.join(F.broadcast(g.select("hash")), "hash").groupBy("hash").agg(F.min("key").alias("key"))  # at most `top` rows
+    g = g.where("n >= 2").join(texts, "hash").withColumn("t", token_count("key")).withColumn("wasted", F.col("t") * (F.col("w") - 1)).where((F.col("t") >= min_tokens) & (F.col("wasted") >= min_wasted))
     line = F.concat(F.lit("x"), F.col("w"), F.lit(" ("), F.col("t"), F.lit(" tok): "), X.truncate(F.col("key")))
     out = g.agg(F.sum("wasted").alias("saved"), F.max("w").alias("w"), _top(4, [-F.col("n"), F.col("at")], line).alias("evidence")).where(F.col("saved") >= min_total)
     return _found(
@@ -111,11 +115,37 @@ def duplicate_blocks(p: DataFrame, min_chars: int = 80, top: int = 40, min_token
     )
 
 
+def _partial(k: int):
+    """Sums and first k lines of a partition, one row."""
+
+    def run(batches):
+        saved = w = 0
+        few: list[tuple[int, str]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seq, weight = b.column("ingest_seq").to_numpy(), b.column("weight").to_numpy()
+            saved += int((b.column("delta").to_numpy() * weight).sum())
+            w += int(weight.sum())
+            near = np.flatnonzero(seq <= np.partition(seq, min(k, len(seq)) - 1)[min(k, len(seq)) - 1])
+            lines = b.column("line").take(pa.array(near)).to_pylist()
+            few = sorted([*few, *zip(seq[near].tolist(), lines)], key=lambda x: (x[0], x[1] or ""))[:k]
+        if w:
+            kind = pa.list_(pa.struct([("at", pa.int64()), ("line", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array([saved], pa.int64()), pa.array([w], pa.int64()), pa.array([[{"at": a, "line": x} for a, x in few]], kind)], names=["saved", "w", "few"])
+
+    return run
+
+
 def _per_request(rows: DataFrame, min_total: int, line: Column, k: int = 3) -> DataFrame:
-    """One row (saved, w, evidence) of rows with `delta` and `weight`, above the floor."""
-    total = rows.agg(F.sum(F.col("delta") * F.col("weight")).alias("saved"), F.sum("weight").alias("w"))
-    few = _first_lines(rows, k, [F.col("ingest_seq")], line)
-    return total.crossJoin(few).where(F.col("saved") >= min_total)  # single rows
+    """One row (saved, w, evidence) of rows with `delta` and `weight`, above the floor.
+
+    Rows are counted once: a partition gives its sums and its first k lines in one row."""
+    small = rows.select("ingest_seq", F.col("delta").cast("long").alias("delta"), F.col("weight").cast("long").alias("weight"), line.alias("line"))
+    parts = small.mapInArrow(_partial(k), "saved long, w long, few array<struct<at:long,line:string>>")
+    lines = F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, k)  # k of each partition
+    out = parts.agg(F.sum("saved").alias("saved"), F.sum("w").alias("w"), F.transform(lines, lambda x: x["line"]).alias("evidence"))
+    return out.where(F.col("saved") >= min_total)
 
 
 def slack_free(text: Column) -> Column:
@@ -139,8 +169,9 @@ def whitespace_bloat(p: DataFrame, min_total: int = 25) -> DataFrame:
 def pretty_json(p: DataFrame, min_gain: int = 8, min_total: int = 25) -> DataFrame:
     """Indented JSON that could be compact."""
     r = p.where(F.col("full_text").contains("\n")).select("ingest_seq", "source", "weight", json_blobs("full_text").alias("b"))
-    gain = F.transform("b", lambda x: token_count(x["blob"]) - token_count(x["small"]))
-    r = r.select("ingest_seq", "source", "weight", F.aggregate(gain, F.lit(0).cast("long"), lambda acc, g: acc + F.when(g > min_gain, g).otherwise(F.lit(0).cast("long"))).alias("delta")).where("delta > 0")
+    part = lambda name: token_counts(F.transform("b", lambda x: x[name]))
+    gain = F.zip_with(part("blob"), part("small"), lambda x, y: F.when(x - y > min_gain, x - y).otherwise(F.lit(0).cast("long")))
+    r = r.where(F.size("b") > 0).select("ingest_seq", "source", "weight", total(gain).alias("delta")).where("delta > 0")
     out = _per_request(r, min_total, F.concat(F.col("source"), F.lit(": "), F.col("delta"), F.lit(" tok/call")))
     return _found(
         out, "pretty-printed-json", "certain", "saved", "w", F.lit("JSON is sent with indentation"),
@@ -203,9 +234,19 @@ def filler_phrases(p: DataFrame, min_total: int = 15) -> DataFrame:
 
 def restated(p: DataFrame, min_chars: int = 40, more_than: int = 10, min_total: int = 25) -> DataFrame:
     """Sentences that one request holds more than once."""
-    s = p.select("request_id", "ingest_seq", "source", "weight", F.posexplode(X.sentences(F.col("full_text"))).alias("i", "s")).withColumn("key", X.norm(F.col("s"))).where(F.length("key") >= min_chars)
-    g = s.groupBy("request_id", "ingest_seq", "source", "key").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"), F.first("weight").alias("weight")).where("n > 1")
-    r = g.withColumn("cost", (F.col("n") - 1) * token_count("key")).groupBy("request_id", "ingest_seq", "source").agg(F.sum("cost").alias("delta"), F.first("weight").alias("weight"), F.min_by("key", "i").alias("key")).where(F.col("delta") > more_than)
+    parts = F.transform(X.sentences(F.col("full_text")), lambda s, i: F.struct(X.norm(s).alias("key"), i.alias("i")))
+    in_order = F.sort_array(F.filter(parts, lambda x: F.length(x["key"]) >= min_chars))
+
+    def repeats(s: Column) -> Column:
+        """In the order of keys a copy follows the one before it: no row leaves its place."""
+        same = lambda x, i, step: F.coalesce(x["key"] == F.get(s, i + step)["key"], F.lit(False))
+        copies = F.transform(F.filter(s, lambda x, i: same(x, i, -1)), lambda x: x["key"])
+        first = F.array_min(F.transform(F.filter(s, lambda x, i: same(x, i, 1)), lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"))))
+        return F.struct(copies.alias("copies"), first["key"].alias("key"))
+
+    # explode of one element computes it once, where a plain column would be computed for each use
+    r = p.select("ingest_seq", "source", "weight", F.explode(F.transform(F.array(in_order), repeats)).alias("r")).where(F.size("r.copies") > 0)
+    r = r.select("ingest_seq", "source", "weight", "r.key", total(token_counts(F.col("r.copies"))).alias("delta")).where(F.col("delta") > more_than)
     out = _per_request(r, min_total, F.concat(F.col("source"), F.lit(": "), X.truncate(F.col("key"))))
     return _found(
         out, "restated-instructions", "certain", "saved", "w", F.lit("A prompt says the same sentence more than once"),
@@ -239,12 +280,12 @@ def io_ratios(p: DataFrame) -> DataFrame:
 def io_imbalance(p: DataFrame, ratio: float = 50, min_calls: int = 3) -> DataFrame:
     """Large inputs for small outputs; the median is the upper one of an even number."""
     r = io_ratios(p)
-    said = p.where("completion <> ''").agg(F.count(F.lit(1)).alias("pairs"))
-    counts = r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ratio") >= ratio).alias("bad"))
     # place n // 2 from the top is the smallest ratio that half of the calls don't exceed
-    median = r.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ratio)").alias("median"))
-    few = _first_lines(r.where(F.col("ratio") >= ratio), 3, [-F.col("ratio"), -F.col("inp"), -F.col("out")], F.concat(F.col("source"), F.lit(": "), _n("inp"), F.lit(" in -> "), _n("out"), F.lit(" out ("), F.bround("ratio", 0).cast("int"), F.lit("x)")))
-    out = counts.crossJoin(said).crossJoin(median).crossJoin(few).where((F.col("pairs") >= min_calls) & (F.col("n") > 0) & (F.col("bad") >= F.greatest(F.lit(2), F.floor(F.col("n") / 10))))  # single rows
+    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ratio)")
+    some = r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ratio") >= ratio).alias("bad"), median.alias("median"))
+    said = p.where("completion <> ''").agg(F.count(F.lit(1)).alias("pairs"))
+    few = _first_lines(r.where(F.col("ratio") >= ratio), 3, [-F.col("ratio"), -F.col("inp"), -F.col("out"), F.col("source")], F.concat(F.col("source"), F.lit(": "), _n("inp"), F.lit(" in -> "), _n("out"), F.lit(" out ("), F.bround("ratio", 0).cast("int"), F.lit("x)")))
+    out = some.crossJoin(said).crossJoin(few).where((F.col("pairs") >= min_calls) & (F.col("n") > 0) & (F.col("bad") >= F.greatest(F.lit(2), F.floor(F.col("n") / 10))))  # single rows
     return _found(
         out, "io-imbalance", "judgement", F.lit(0), "bad", F.lit("Much is sent for very short answers"),
         F.concat(_n("bad"), F.lit(" of "), _n("n"), F.lit(f" logged calls send at least {ratio:g} times what they get back (median "), F.bround("median", 0).cast("int"), F.lit("x), which points to retrieving too much.")),
@@ -255,10 +296,12 @@ def io_imbalance(p: DataFrame, ratio: float = 50, min_calls: int = 3) -> DataFra
 def _tools(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per tool: name, cost first seen, declared, first; one row: weight, total)."""
     with_tools = p.where(F.size("tools") > 0)
-    t = with_tools.select("ingest_seq", "weight", F.explode("tools").alias("t")).select("ingest_seq", "weight", "t.pos", "t.name", token_count("t.schema_json").alias("cost"))
-    at = F.struct("ingest_seq", "pos")
-    per = t.groupBy("name").agg(F.min_by("cost", at).alias("cost"), F.sum("weight").alias("declared"), F.min(at).alias("at"))
-    totals = with_tools.agg(F.sum("weight").alias("w"), F.sum(tool_tokens(F.col("tools")) * F.col("weight")).alias("total"))
+    t = with_tools.select("ingest_seq", "weight", F.explode("tools").alias("t")).select("ingest_seq", "weight", "t.pos", "t.name", "t.schema_json")
+    # each distinct schema is counted once, not in every call
+    schemas = t.groupBy("name", "schema_json").agg(F.sum("weight").alias("declared"), F.min(F.struct("ingest_seq", "pos")).alias("at")).withColumn("cost", token_count("schema_json")).drop("schema_json")
+    per = schemas.groupBy("name").agg(F.min_by("cost", "at").alias("cost"), F.sum("declared").alias("declared"), F.min("at").alias("at"))
+    w = with_tools.agg(F.sum("weight").alias("w"))
+    totals = w.crossJoin(schemas.agg(F.sum(F.col("cost") * F.col("declared")).alias("total")))  # single rows
     return per, totals
 
 
@@ -295,10 +338,9 @@ def unused_tools(p: DataFrame, min_wasted: int = 200, min_share: float = 0.5) ->
 def long_history(p: DataFrame, min_turns: int = 10, min_tokens: int = 500, window: int = 6, min_total: int = 200) -> DataFrame:
     """Conversations that are sent again as a whole."""
     turns = F.filter("messages", lambda m: m["role"].isin("user", "assistant"))
-    r = p.select("ingest_seq", "source", "weight", F.transform(turns, lambda m: token_count(m["content"])).alias("t")).withColumn("turns", F.size("t")).where(F.col("turns") >= min_turns)
-    sum_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    r = r.withColumn("past", sum_of(F.slice("t", F.lit(1), F.greatest(F.col("turns") - 1, F.lit(0))))).where(F.col("past") >= min_tokens)
-    r = r.withColumn("delta", sum_of(F.slice("t", F.lit(1), F.greatest(F.col("turns") - window, F.lit(0))))).drop("t")
+    r = p.select("ingest_seq", "source", "weight", token_counts(F.transform(turns, lambda m: m["content"])).alias("t")).withColumn("turns", F.size("t")).where(F.col("turns") >= min_turns)
+    r = r.withColumn("past", total(F.slice("t", F.lit(1), F.greatest(F.col("turns") - 1, F.lit(0))))).where(F.col("past") >= min_tokens)
+    r = r.withColumn("delta", total(F.slice("t", F.lit(1), F.greatest(F.col("turns") - window, F.lit(0))))).drop("t")
     few = _first_lines(r, 3, [-F.col("past"), F.col("ingest_seq")], F.concat(F.col("source"), F.lit(": "), F.col("turns"), F.lit(" turns, "), _n("past"), F.lit(" tok of history")))
     out = r.agg(F.sum(F.col("delta") * F.col("weight")).alias("saved"), F.sum("weight").alias("w"), F.max("past").alias("most")).where(F.col("saved") >= min_total).crossJoin(few)  # single rows
     return _found(

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tokens import WS, token_count
+from ..functions.tokens import WS, token_count, token_counts
 from ..sources.records import compact
 
 MIN_BLOB, MIN_SENTENCE = 40, 40
-_TOKENS = {o: re.compile(r'"(?:[^"\\]|\\[\s\S])*"|"|[' + re.escape(o + c) + "]") for o, c in ("{}", "[]")}
 _FENCED = re.compile(r"(`{3}|~{3})[\s\S]*?\1")
 _LINE_ENDS, _BLANK_LINES = re.compile(r"(?m)[ \t]+$"), re.compile("\n{3,}")
 _UNIT = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
@@ -29,7 +29,7 @@ def tighten(text: Column) -> Column:
     return F.regexp_replace(out, r"^\n+|\n+\z", "")
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """Binds a value to a variable, which a lambda then reads without computing it again."""
     return F.transform(F.array(value), body)[0]
 
@@ -42,7 +42,7 @@ def drop_repeats(text: Column, min_chars: int = MIN_SENTENCE) -> Column:
         kept = F.filter(parts, lambda p, i: (F.length(p["k"]) < min_chars) | (F.array_position(keys, p["k"]) == i + 1))
         return F.array_join(F.transform(kept, lambda p: p["u"]), "")
 
-    joined = _let(parts, lambda v: _let(F.transform(v, lambda p: p["k"]), lambda keys: first_only(v, keys)))
+    joined = let(parts, lambda v: let(F.transform(v, lambda p: p["k"]), lambda keys: first_only(v, keys)))
     return F.regexp_replace(joined, "[ \t]{2,}", " ")
 
 
@@ -60,22 +60,52 @@ def _single(text: str) -> str:
     return re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", text)
 
 
+class _Brackets:
+    """Where each bracket of one kind closes, strings skipped from wherever reading began.
+
+    skip[k] is the place among the marks (brackets of the kind, quotes) of the first closing bracket
+    that nothing from mark k on opens.  It follows from later marks alone, so one pass from the end
+    finds all of them, whatever opens without a close."""
+
+    def __init__(self, text: str, kind: str):
+        shut = "}" if kind == "{" else "]"
+        self.at = [m.start() for m in re.finditer(f'["{re.escape(kind + shut)}]', text)]
+        n = len(self.at)
+        self.skip: list[int | None] = [None] * (n + 1)
+        quote = [text[p] == '"' for p in self.at]
+        end: int | None = None  # the nearest quote behind that no backslash escapes
+        for k in range(n - 1, -1, -1):
+            p = self.at[k]
+            if quote[k]:
+                self.skip[k] = None if end is None else self.skip[end + 1]
+                back = p
+                while back and text[back - 1] == "\\":
+                    back -= 1
+                if not (p - back) % 2:
+                    end = k
+            elif text[p] == kind:
+                inner = self.skip[k + 1]
+                self.skip[k] = None if inner is None else self.skip[inner + 1]
+            else:
+                self.skip[k] = k
+
+    def close(self, opening: int) -> int | None:
+        """The end of the stretch that begins at an opening bracket."""
+        k = self.skip[bisect_left(self.at, opening) + 1]
+        return None if k is None else self.at[k] + 1
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Balanced {...} and [...] stretches, outermost first; strings are skipped, and only the
-    bracket kind that opens a stretch counts in it."""
+    bracket kind that opens a stretch counts in it.  Takes time in proportion to the text."""
+    kinds: dict[str, _Brackets] = {}
     out, at = [], 0
     opener = re.compile(r"[\[{]")
     while m := opener.search(text, at):
-        kind, depth, end = m.group(), 0, None
-        for tok in _TOKENS[kind].finditer(text, m.start()):
-            t = tok.group()
-            if t == '"':
-                break  # a string without an end
-            if len(t) == 1:
-                depth += 1 if t == kind else -1
-                if not depth:
-                    end = tok.end()
-                    break
+        kind = m.group()
+        if kind not in kinds:
+            kinds[kind] = _Brackets(text, kind)
+        end = kinds[kind].close(m.start())
         if end:
             out.append((m.start(), end))
         at = end or m.start() + 1
@@ -115,21 +145,36 @@ def unrepeat_text(text: str, min_chars: int = MIN_SENTENCE) -> str:
     return re.sub(r"[ \t]{2,}", " ", "".join(kept))
 
 
-def fixed_text(text: str) -> str:
-    return tight_text(unrepeat_text(minify(text)))
-
-
-def _fix_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: fixed_text(t) if t else t)
+def fixed_text(text: str, preserve_fences: bool = False) -> str:
+    """All three rewrites; with `preserve_fences` code fences stay as they are, to the letter."""
+    if not preserve_fences:
+        return tight_text(unrepeat_text(minify(text)))
+    out, at = [], 0
+    for fence in _FENCED.finditer(text):
+        out += [tight_text(unrepeat_text(minify(text[at : fence.start()]))), "\n" if out or text[at : fence.start()].strip("\n") else "", fence.group(), "\n"]
+        at = fence.end()
+    tail = tight_text(unrepeat_text(minify(text[at:])))
+    return "".join([*out, tail] if tail or not out else out[:-1])
 
 
 def _blob_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"blob": t[a:b], "small": s} for a, b, s in blobs(t)] if t and "\n" in t else [])
 
 
-def safe_fix(text: Column | str) -> Column:
+def safe_fix(text: Column | str, preserve_fences: bool = False) -> Column:
     """All three rewrites, in Arrow batches."""
-    return F.pandas_udf(_fix_batch, "string")(text)
+    def fix(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fixed_text(t, preserve_fences) if t else t)
+
+    return F.pandas_udf(fix, "string")(text)
+
+
+def safe_fixes(texts: Column, preserve_fences: bool = False) -> Column:
+    """The rewrites of each string of an array."""
+    def fix(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda many: None if many is None else [fixed_text(t, preserve_fences) if t else t for t in many])
+
+    return F.pandas_udf(fix, "array<string>")(texts)
 
 
 def json_blobs(text: Column | str) -> Column:
@@ -158,10 +203,17 @@ def measure(requests: DataFrame) -> DataFrame:
     return m.crossJoin(calls).select("before_tokens", "after_tokens", "calls", saved.alias("saved"), pct.alias("pct"))  # two single rows
 
 
-def rewrite_requests(requests: DataFrame) -> DataFrame:
-    """The requests with the rewrites that don't cost more."""
-    m = rewritten(requests).groupBy("request_id", "ingest_seq").agg(F.sort_array(F.collect_list(F.struct("pos", "role", F.col("fixed").alias("content")))).alias("messages"))
-    return requests.drop("messages").join(m, ["request_id", "ingest_seq"]).select(requests.columns)
+def rewrite_requests(requests: DataFrame, preserve_fences: bool = False) -> DataFrame:
+    """The requests with the rewrites that don't cost more, row by row."""
+    held = F.transform("messages", lambda m: m["content"])
+    r = requests.withColumn("new", safe_fixes(held, preserve_fences))
+    each = F.arrays_zip(F.col("messages").alias("m"), F.col("new").alias("new"), token_counts(held).alias("tok"), token_counts(F.col("new")).alias("new_tok"))
+
+    def one(x: Column) -> Column:
+        m = x["m"]
+        return F.struct(m["pos"].alias("pos"), m["role"].alias("role"), F.when(x["new_tok"] > x["tok"], m["content"]).otherwise(x["new"]).alias("content"))
+
+    return r.withColumn("messages", F.transform(each, one)).select(requests.columns)
 
 
-__all__ = ["WS", "blobs", "drop_repeats", "fixed_text", "json_blobs", "measure", "messages_of", "minify", "rewrite_requests", "rewritten", "safe_fix", "spans", "tight_text", "tighten", "unrepeat_text"]
+__all__ = ["WS", "blobs", "drop_repeats", "fixed_text", "json_blobs", "let", "measure", "messages_of", "minify", "rewrite_requests", "rewritten", "safe_fix", "safe_fixes", "spans", "tight_text", "tighten", "unrepeat_text"]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import framed, token_count
+from ..functions.tokens import framed, token_count, token_counts, total
 
 PRICE_IN, PRICE_OUT = 3.00, 15.00
 
 
 def tool_tokens(tools: Column) -> Column:
-    return F.aggregate(tools, F.lit(0).cast("long"), lambda acc, t: acc + token_count(t["schema_json"]))
+    return total(token_counts(F.transform(tools, lambda t: t["schema_json"])))
 
 
 def summary(requests: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def summary(requests: DataFrame) -> DataFrame:
         token_count("completion").alias("o"),
         F.substring_index("source", ":", 1).alias("s"),
     )
-    total = lambda c: F.coalesce(F.sum(F.col(c) * w), F.lit(0))
-    out = r.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(w), F.lit(0)).alias("calls"), total("m").alias("message_tokens"), total("t").alias("tool_tokens"), total("o").alias("output_tokens"), F.count_distinct("s").alias("n_sources"))
+    whole = lambda c: F.coalesce(F.sum(F.col(c) * w), F.lit(0))
+    out = r.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(w), F.lit(0)).alias("calls"), whole("m").alias("message_tokens"), whole("t").alias("tool_tokens"), whole("o").alias("output_tokens"), F.count_distinct("s").alias("n_sources"))
     out = out.withColumn("input_tokens", F.col("message_tokens") + F.col("tool_tokens"))
     avg = F.when(F.col("calls") > 0, F.floor(F.col("input_tokens") / F.col("calls"))).otherwise(0).cast("long")
     return out.select("records", "calls", "message_tokens", "tool_tokens", "output_tokens", "input_tokens", avg.alias("avg_input"), "n_sources")

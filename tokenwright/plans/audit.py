@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import counted_by
 from ..operators import checks as C
 from ..operators.rewrite import measure
 from ..operators.summary import summary
@@ -42,9 +45,11 @@ class Result:
 
 
 class Audit:
-    """Lazy frames over `requests`, and `run()` for the collected result."""
+    """Lazy frames over `requests`, and `run()` for the collected result.  `vocabulary` is a byte-pair
+    vocabulary file for exact counts; without it counts are approximate."""
 
-    def __init__(self, requests: DataFrame, weight: int = 1, settings: dict[str, dict] | None = None):
+    def __init__(self, requests: DataFrame, weight: int = 1, settings: dict[str, dict] | None = None, vocabulary: str | None = None):
+        self.vocabulary = vocabulary
         self.requests = requests.withColumn("weight", F.lit(weight).cast("long")) if weight > 1 else requests
         self.settings = settings or {}
 
@@ -62,18 +67,21 @@ class Audit:
         return cls(tables.as_requests(df), **more)
 
     def findings(self) -> DataFrame:
-        return C.findings(self.requests, self.settings)
+        with counted_by(self.vocabulary):
+            return C.findings(self.requests, self.settings)
 
     def summary(self) -> DataFrame:
-        return summary(self.requests)
+        with counted_by(self.vocabulary):
+            return summary(self.requests)
 
     def measured(self) -> DataFrame:
-        return measure(self.requests)
+        with counted_by(self.vocabulary):
+            return measure(self.requests)
 
     def run(self) -> Result | None:
         """The collected result; None without requests.  A check that fails becomes a finding."""
         held = self.requests.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with counted_by(self.vocabulary), _released(held):
             if held.isEmpty():
                 return None
             p = C.prepare(held)
@@ -84,9 +92,19 @@ class Audit:
                 except Exception as why:  # noqa: BLE001
                     found.append(_failed(name, k, why))
             found.sort(key=lambda f: (f["conf_rank"], -f["tokens_saved"], f["check_ord"], f["emit_ord"]))
-            return Result(summary(held).first(), measure(held).first(), found)
-        finally:
-            held.unpersist()
+            return Result(summary(held).first(), measure(held).first(), found, backend_of(self.vocabulary), bool(self.vocabulary))
+
+
+@contextmanager
+def _released(held: DataFrame):
+    try:
+        yield
+    finally:
+        held.unpersist()
+
+
+def backend_of(vocabulary: str | None) -> str:
+    return f"byte-pair/{os.path.splitext(os.path.basename(vocabulary))[0]}" if vocabulary else "approximate"
 
 
 def _failed(name: str, k: int, why: Exception) -> dict:

@@ -4,18 +4,28 @@ The generated tables hold little waste, so some queries read enriched rows, made
 
 from __future__ import annotations
 
+import atexit
+import io
+import json
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.tokens import SPACE, WS, framed, token_count
+from ..functions.tokens import SPACE, WS, framed, framed_json, token_count, token_counts, total
 from ..operators import checks as C
 from ..operators import rewrite as R
 from ..operators import summary as S
-from ..sources import records, tables
+from ..sources import files, records, tables
+from . import cli, report
 from . import sql as Q
+from .audit import Audit, Result
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -76,22 +86,6 @@ _PRETTY = """pretty AS (
            '{"id":' || event_id || ',"kind":"' || event_type || '","props":' || replace(props, ' ', '') || '}' AS small FROM events)"""
 
 
-def _tool_requests(spark, d) -> DataFrame:
-    """Each order as an agent call that declares three tools made from parts, and calls one or none."""
-    part = _table(spark, d, "part")
-    json = F.concat(F.lit('{"name":"tool_'), F.col("p_partkey"), F.lit('","description":"'), F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit('","parameters":{"type":"object","size":'), F.col("p_size"), F.lit("}}"))
-    t = part.where("p_partkey <= 3").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("tool_"), F.col("p_partkey")).alias("name"), json.alias("schema_json"))
-    tools = t.agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "name", "schema_json"))).alias("tools"))  # one row
-    orders = _table(spark, d, "orders").select(F.col("o_orderkey").alias("ingest_seq"), F.array(F.struct(F.lit(0).alias("pos"), F.lit("user").alias("role"), F.lit("go").alias("content"))).alias("messages"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("tool_1"))).otherwise(F.array().cast("array<string>")).alias("tools_called"))
-    return tables.as_requests(orders.crossJoin(F.broadcast(tools)))  # tools: one row
-
-
-_TOOLS = f"""tool AS (
-    SELECT p_partkey, 'tool_' || p_partkey AS name, {Q.tokens('''('{"name":"tool_' || p_partkey || '","description":"' || p_type || ' ' || p_name || '","parameters":{"type":"object","size":' || p_size || '}}')''')} AS cost
-    FROM part WHERE p_partkey <= 3),
-    n AS (SELECT count(*)::BIGINT AS w, count_if(o_orderkey % 2 = 0) AS called FROM orders)"""
-
-
 def _part_tool_requests(spark, d) -> DataFrame:
     """Each order as an agent call that declares a tool for each of its parts; even orders call those
     with numbers that three divides."""
@@ -298,30 +292,17 @@ def unbounded_history(spark, d):
 
 @_register(
     "tool_schema_cost",
-    f"WITH {_TOOLS}, s AS (SELECT w, (sum(cost) * w)::BIGINT AS total FROM tool, n GROUP BY w) SELECT 'tool-schema-cost' AS check, 'high' AS confidence, ((total - total // w) // 2)::BIGINT AS tokens_saved, w AS calls_affected, (SELECT string_agg(name || ': ' || cost || ' tok', ' | ' ORDER BY cost DESC, p_partkey) FROM tool) AS evidence FROM s WHERE total // w >= 50",
-)
-def tool_schema_cost(spark, d):
-    return _core(C.tool_schema_cost(C.prepare(_tool_requests(spark, d)), min_average=50), F.array_join("evidence", " | ").alias("evidence"))
-
-
-@_register("unused_tools", f"WITH {_TOOLS} SELECT 'unused-tool-schemas' AS check, 'judgement' AS confidence, (sum(cost) * w)::BIGINT AS tokens_saved, w AS calls_affected FROM tool, n WHERE name <> 'tool_1' AND called > 0 GROUP BY w")
-def unused_tools(spark, d):
-    return _core(C.unused_tools(C.prepare(_tool_requests(spark, d))))
-
-
-@_register(
-    "tool_schema_cost_parts",
     f"WITH {_PART_TOOLS}, few AS (SELECT * FROM per ORDER BY cost DESC, first, p_partkey LIMIT 5) SELECT 'tool-schema-cost' AS check, 'high' AS confidence, ((total - total // w) // 2)::BIGINT AS tokens_saved, w AS calls_affected, (SELECT string_agg(name || ': ' || cost || ' tok', ' | ' ORDER BY cost DESC, first, p_partkey) FROM few) AS evidence FROM n WHERE total // w >= 50",
 )
-def tool_schema_cost_parts(spark, d):
+def tool_schema_cost(spark, d):
     return _core(C.tool_schema_cost(C.prepare(_part_tool_requests(spark, d)), min_average=50), F.array_join("evidence", " | ").alias("evidence"))
 
 
 @_register(
-    "unused_tools_parts",
+    "unused_tools",
     f"WITH {_PART_TOOLS}, few AS (SELECT * FROM per WHERE NOT called AND declared >= 2 ORDER BY cost DESC, first, p_partkey LIMIT 5) SELECT 'unused-tool-schemas' AS check, 'judgement' AS confidence, sum(cost * declared)::BIGINT AS tokens_saved, max(w) AS calls_affected, (SELECT string_agg(name || ': ' || cost || ' tok, never called', ' | ' ORDER BY cost DESC, first, p_partkey) FROM few) AS evidence FROM per, n WHERE NOT called AND declared >= 2 AND (SELECT bool_or(called) FROM per) HAVING sum(cost * declared) >= 200",
 )
-def unused_tools_parts(spark, d):
+def unused_tools(spark, d):
     return _core(C.unused_tools(C.prepare(_part_tool_requests(spark, d)), min_share=0), F.array_join("evidence", " | ").alias("evidence"))
 
 
@@ -354,10 +335,35 @@ def safe_fix_measured(spark, d):
     return R.measure(tables.from_documents(_padded(spark, d), "user")).drop("pct")
 
 
-@_register("rewritten_requests", f"WITH {Q.RESENT} SELECT seq AS request_id, len(texts)::INT AS n_messages, list_sum(list_transform(texts, lambda t: {Q.tokens('t')}))::BIGINT AS before_tokens FROM calls")
+# a resent log with slack and repeats, for what ordinary turns don't show
+PAD = "  \t\n\n\n\nend   of    turn  "
+
+
+def _padded_calls(spark, d) -> DataFrame:
+    """The resent log, of which every third turn ends in slack and every fourth says a sentence twice;
+    a call stands for one to three others."""
+    n = F.col("turn") + F.col("conv_id")
+    extra = F.concat(F.when(n % 3 == 0, F.lit(PAD)).otherwise(""), F.when(n % 4 == 0, F.lit(f"\n{REPEATED} {REPEATED} {FILLER_LINE}")).otherwise(""))
+    calls = tables.from_conversations(_table(spark, d, "conversations").withColumn("text", F.when(F.col("text") != "", F.concat("text", extra)).otherwise(F.col("text"))))
+    return calls.withColumn("weight", 1 + F.floor(F.col("ingest_seq") / 100000) % 3)
+
+
+_PAD_SQL = "'  ' || chr(9) || repeat(chr(10), 4) || 'end   of    turn  '"
+_PADDED_CALLS = f"""padded_turns AS (
+        SELECT conv_id, turn, role, CASE WHEN text <> '' THEN text
+            || CASE WHEN (turn + conv_id) % 3 = 0 THEN {_PAD_SQL} ELSE '' END
+            || CASE WHEN (turn + conv_id) % 4 = 0 THEN chr(10) || '{REPEATED} {REPEATED} {FILLER_LINE}' ELSE '' END ELSE text END AS text FROM conversations),
+    {Q.RESENT.replace("conversations", "padded_turns")}"""
+_FIXED = f"(CASE WHEN {Q.tokens(_tight('(' + _unrepeat('t') + ')'))} > {Q.tokens('t')} THEN t ELSE {_tight('(' + _unrepeat('t') + ')')} END)"
+
+
+@_register("rewritten_requests", f"""WITH {_PADDED_CALLS}, m AS (SELECT seq, unnest(texts) AS t, unnest(range(len(texts))) AS i FROM calls), f AS (SELECT seq, i, t, {_FIXED} AS new FROM m)
+    SELECT seq AS request_id, count(*)::INT AS n_messages, string_agg(new, chr(10) ORDER BY i) AS full_text, sum({Q.tokens('t')})::BIGINT AS before_tokens, sum({Q.tokens('new')})::BIGINT AS after_tokens FROM f GROUP BY seq""")
 def rewritten_requests(spark, d):
-    tok = F.aggregate("messages", F.lit(0).cast("long"), lambda acc, m: acc + token_count(m["content"]))
-    return R.rewrite_requests(_calls(spark, d)).select("request_id", F.size("messages").alias("n_messages"), tok.alias("before_tokens"))
+    tok = lambda name: total(token_counts(F.transform(name, lambda m: m["content"])))
+    calls = _padded_calls(spark, d).withColumn("raw", F.col("messages"))
+    new = R.rewrite_requests(calls)
+    return new.select("request_id", F.size("messages").alias("n_messages"), X.full_text(F.col("messages")).alias("full_text"), tok("raw").alias("before_tokens"), tok("messages").alias("after_tokens"))
 
 
 @_register("record_normalise", """SELECT conv_id * 100 + turn AS ingest_seq, 'log' AS source, 'm' AS model, len(text)::INT AS chars, CASE WHEN turn % 2 = 0 THEN 'ok' END AS completion, lower(role) AS role, 't' || turn AS tool FROM conversations WHERE text <> ''""")
@@ -374,29 +380,231 @@ def record_normalise(spark, d):
 SETTINGS = {"shared_prefix": {"min_chars": 16, "cache_floor": 64, "min_tokens": 8}, "repeated_system": {"min_tokens": 20, "min_redundant": 50}, "io_imbalance": {"ratio": 5}, "long_history": {"min_turns": 5, "min_tokens": 50, "window": 2, "min_total": 20}}
 
 
-@_register("findings_report")
-def findings_report(spark, d):
-    """All checks over the resent log, in report order."""
-    return C.findings(_calls(spark, d), SETTINGS)
+def _findings_sql() -> str:
+    """All checks over `req` (seq, w, model, full_text, system_text, other_text, roles, texts, completion)."""
+    per = lambda check, confidence, rows, least: f"SELECT '{check}' AS check, '{confidence}' AS confidence, sum(delta * w)::BIGINT AS tokens_saved, sum(w)::BIGINT AS calls_affected FROM ({rows}) HAVING sum(delta * w) >= {least}"
+    hits = " UNION ALL ".join(f"SELECT seq, w, unnest(regexp_extract_all(full_text, {Q.quoted('(?i)' + rx)})) AS phrase FROM req" for rx, _ in C.FILLERS)
+    first_mark = f"regexp_extract(full_text, {Q.quoted('(?im)' + _MARK)})"
+    return f"""
+    SELECT CASE WHEN t >= 64 THEN 'cacheable-prefix' ELSE 'stable-prefix-below-cache-floor' END AS check, CASE WHEN t >= 64 THEN 'high' ELSE 'judgement' END AS confidence,
+           CASE WHEN t >= 64 THEN (t * (w - 1)) // 2 ELSE t * (w - 1) END::BIGINT AS tokens_saved, w AS calls_affected
+    FROM (SELECT w, {Q.tokens('prefix')} AS t FROM (SELECT w, left(a, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i)))) AS prefix
+          FROM (SELECT sum(w)::BIGINT AS w, min(full_text) AS a, max(full_text) AS b FROM req GROUP BY model HAVING count(*) >= 2)) WHERE length(prefix) >= 16) WHERE t >= 64 OR (t >= 8 AND w >= 3)
+    UNION ALL SELECT * FROM (SELECT 'repeated-system-prompt', 'high', ((t * (w - 1)) // 2)::BIGINT, w FROM (SELECT sum(w)::BIGINT AS w, min(seq) AS first, {Q.tokens("arg_min(s, seq)")} AS t
+          FROM (SELECT seq, w, regexp_replace(system_text, '^{WS}+|{WS}+$', '', 'g') AS s FROM req) WHERE s <> '' GROUP BY {Q.norm('s')}) WHERE w >= 2 AND t >= 20 AND t * (w - 1) >= 50 ORDER BY w DESC, first LIMIT 1)
+    UNION ALL SELECT * FROM (SELECT 'duplicate-blocks', 'certain', sum(t * (w - 1))::BIGINT, max(w)::BIGINT FROM (SELECT n, w, {Q.tokens('key')} AS t FROM (SELECT key, sum(n) AS n, sum(w) AS w, min(first) AS first
+          FROM (SELECT key, seq, count(*) AS n, any_value(w) AS w, min(seq * 10000 + i) AS first FROM (SELECT seq, w, i, {Q.norm('block')} AS key FROM (SELECT seq, w, unnest(x) AS block, unnest(range(len(x))) AS i FROM (SELECT seq, w, {Q.blocks('other_text')} AS x FROM req)))
+                WHERE length(key) >= 80 GROUP BY key, seq) GROUP BY key ORDER BY n DESC, first LIMIT 40) WHERE n >= 2) WHERE t >= 24 AND t * (w - 1) >= 40 HAVING sum(t * (w - 1)) >= 100)
+    UNION ALL {per('whitespace-bloat', 'certain', f"SELECT * FROM (SELECT w, {Q.tokens('full_text')} - {Q.tokens(_slack_free('full_text'))} AS delta FROM req) WHERE delta > 0", 25)}
+    UNION ALL SELECT * FROM (SELECT 'filler-phrases', 'judgement', sum(delta * w)::BIGINT, sum(w)::BIGINT FROM (SELECT seq, any_value(w) AS w, sum({Q.tokens('phrase')}) AS delta FROM ({hits}) GROUP BY seq) HAVING sum(delta * w) >= 15)
+    UNION ALL {per('restated-instructions', 'certain', f"SELECT seq, any_value(w) AS w, sum((n - 1) * {Q.tokens('key')}) AS delta FROM (SELECT seq, any_value(w) AS w, key, count(*) AS n FROM (SELECT seq, w, {Q.norm('s')} AS key FROM (SELECT seq, w, unnest({Q.sentences('full_text')}) AS s FROM req)) WHERE length(key) >= 40 GROUP BY seq, key HAVING count(*) > 1) GROUP BY seq HAVING sum((n - 1) * {Q.tokens('key')}) > 10", 25)}
+    UNION ALL {per('fewshot-weight', 'judgement', f"SELECT w, t // 2 AS delta FROM (SELECT w, {Q.tokens('span')} AS t FROM (SELECT w, substr(full_text, instr(full_text, {first_mark})) AS span FROM req WHERE len(regexp_extract_all(full_text, {Q.quoted('(?im)' + _MARK)})) >= 6)) WHERE t >= 200", 100)}
+    UNION ALL SELECT * FROM (SELECT 'io-imbalance', 'judgement', 0::BIGINT, count_if(inp / out >= 5)::BIGINT FROM (SELECT ({_FRAMED})::BIGINT AS inp, {Q.tokens('completion')} AS out FROM req WHERE completion <> '') WHERE out > 0 HAVING count(*) >= 3 AND count_if(inp / out >= 5) >= greatest(2, count(*) // 10))
+    UNION ALL {per('unbounded-history', 'judgement', f"SELECT w, delta FROM (SELECT w, list_sum(t[1:len(t) - 1]) AS past, coalesce(list_sum(t[1:greatest(len(t) - 2, 0)]), 0) AS delta FROM (SELECT w, list_transform(list_filter(list_zip(roles, texts), lambda z: z[1] IN ('user', 'assistant')), lambda z: {Q.tokens('z[2]')}) AS t FROM req) WHERE len(t) >= 5) WHERE past >= 50", 20)}"""
 
 
-def _projected(calls: DataFrame, settings: dict[str, dict] | None = None) -> DataFrame:
-    """Safe savings are those of the measured rewrite and all HIGH findings of the log."""
-    high = C.findings(calls, settings).where("confidence = 'high'").agg(F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("high_tokens"))
-    return S.projection(S.summary(calls), R.measure(calls), high, 1_000_000, 1.0)
+SETTINGS = {"shared_prefix": {"min_chars": 16, "cache_floor": 64, "min_tokens": 8}, "repeated_system": {"min_tokens": 20, "min_redundant": 50}, "io_imbalance": {"ratio": 5}, "long_history": {"min_turns": 5, "min_tokens": 50, "window": 2, "min_total": 20}}
+_SAY = "list_transform(list_filter(list_zip(roles, texts), lambda z: z[1] {0} 'system'), lambda z: z[2])"
+_REQ = f"""{_PADDED_CALLS}, req AS (SELECT seq, 1 + conv_id % 3 AS w, conv_id AS model, roles, texts, completion, array_to_string(texts, chr(10)) AS full_text,
+    array_to_string({_SAY.format('=')}, chr(10)) AS system_text, array_to_string({_SAY.format('<>')}, chr(10)) AS other_text FROM calls), found AS ({_findings_sql()})"""
 
 
-_PROJECTED = f"""WITH {Q.RESENT}, s AS ({_SUMMARY})
-    SELECT 0::BIGINT AS safe_tokens, trunc(input_tokens * (1000000 / calls))::BIGINT AS projected_tokens FROM s"""
+@_register("findings_report", f"WITH {_REQ} SELECT * FROM found")
+def findings_report(spark, d):
+    """All checks over the padded, weighted log."""
+    return _core(C.findings(_padded_calls(spark, d), SETTINGS))
 
 
-@_register("projection", _PROJECTED)
-def projection(spark, d):
-    p = _projected(_calls(spark, d))
-    return p.select("safe_tokens", F.round(F.col("monthly_spend") * 1e6).cast("long").alias("projected_tokens"))
+_TOTALS = f"""{_REQ}, s AS (SELECT sum(w)::BIGINT AS calls, count(*) AS records, sum(w * ({_FRAMED}))::BIGINT AS input_tokens, sum(w * {Q.tokens("coalesce(completion, '')")})::BIGINT AS output_tokens FROM req),
+    msg AS (SELECT w, unnest(texts) AS t FROM req), m AS (SELECT sum(w * {Q.tokens('t')})::BIGINT AS b, sum(w * {Q.tokens(_FIXED)})::BIGINT AS a FROM msg),
+    c AS (SELECT (SELECT b - a FROM m) AS measured, coalesce(sum(tokens_saved) FILTER (confidence = 'high'), 0)::BIGINT AS high, coalesce(sum(tokens_saved) FILTER (confidence = 'judgement'), 0)::BIGINT AS judgement,
+        count_if(confidence = 'certain') AS n_certain, count_if(confidence <> 'judgement') AS n_high, count(*) AS n_all FROM found)"""
 
 
-@_register("projected_saving")
-def projected_saving(spark, d):
-    """The whole projection of the resent log, with the thresholds of the findings report."""
-    return _projected(_calls(spark, d), SETTINGS)
+@_register("projection", f"""WITH {_TOTALS} SELECT measured + high AS safe_tokens, round((measured + high) / input_tokens * 100, 6) AS safe_pct, round(1000000 / calls, 6) AS scale,
+    trunc(input_tokens * (1000000 / calls))::BIGINT AS projected_tokens, trunc((measured + high) * (1000000 / calls))::BIGINT AS monthly_tokens, trunc((measured + high) * (1000000 / calls) * 12)::BIGINT AS annual_tokens FROM s, c""")
+def projection(spark, d):
+    """Measured and HIGH savings of the padded log at a million calls a month, a dollar a million tokens."""
+    calls = _padded_calls(spark, d)
+    high = C.findings(calls, SETTINGS).where("confidence = 'high'").agg(F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("high_tokens"))
+    p = S.projection(S.summary(calls), R.measure(calls), high, 1_000_000, 1.0)
+    tokens = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return p.select("safe_tokens", F.round("safe_pct", 6).alias("safe_pct"), F.round("scale", 6).alias("scale"), tokens("monthly_spend").alias("projected_tokens"), tokens("monthly_saving").alias("monthly_tokens"), tokens("annual_saving").alias("annual_tokens"))
+
+
+def _result(spark, d) -> Result:
+    return Audit(_padded_calls(spark, d), settings=SETTINGS).run()
+
+
+_GATES = (0, 1, 10, 50, 99)
+
+
+@_register("audit_totals", f"""WITH {_TOTALS} SELECT records, calls, input_tokens, output_tokens, measured, high, judgement, measured + high AS safe, round((measured + high) / input_tokens * 100, 2) AS pct, n_certain, n_high, n_all,
+    false AS placeholder_rate, round((measured + high) / 1e6 * 2.5, 4) AS saving_usd, list_transform([{', '.join(map(str, _GATES))}], lambda p: (measured + high) / input_tokens * 100 > p)::VARCHAR AS over_pct, list_transform([0, measured + high - 1, measured + high], lambda t: measured + high > t)::VARCHAR AS over_tokens FROM s, c""")
+def audit_totals(spark, d):
+    """Class totals, visibility, gates and the figures of the JSON report, collected as a run does."""
+    r = _result(spark, d)
+    j = json.loads(report.as_json(r, price_in=2.5))
+    seen = lambda level: len(r.visible(level).findings)
+    listed = lambda xs: "[" + ", ".join("true" if x else "false" for x in xs) + "]"
+    over_pct = listed(cli.gate(r, None, p) is not None for p in _GATES)
+    over_tokens = listed(cli.gate(r, t, None) is not None for t in (0, r.safe - 1, r.safe))
+    c, t = j["corpus"], j["recoverable_tokens"]
+    row = (c["records"], c["calls"], c["input_tokens"], c["output_tokens"], t["measured_safe_rewrite"], t["high_prompt_caching"], t["judgement"], j["recoverable_tokens_confident"], j["recoverable_pct_confident"], seen("certain"), seen("high"), len(j["findings"]), j["pricing"]["is_placeholder_rate"], j["estimated_saving_usd_confident"], over_pct, over_tokens)
+    return spark.createDataFrame([row], "records long, calls long, input_tokens long, output_tokens long, measured long, high long, judgement long, safe long, pct double, n_certain long, n_high long, n_all long, placeholder_rate boolean, saving_usd double, over_pct string, over_tokens string")
+
+
+@_register("report_lines", f"""WITH {_TOTALS} SELECT unnest([
+    '| records | ' || format('{{:,}}', records) || ' |', '| input tokens | ' || format('{{:,}}', input_tokens) || ' |', '| output tokens | ' || format('{{:,}}', output_tokens) || ' |',
+    '| measured | ' || format('{{:,}}', measured) || ' |', '| high | ' || format('{{:,}}', high) || ' |', '| judgement | ' || format('{{:,}}', judgement) || ' |',
+    '**' || format('{{:.1f}}', (measured + high) / input_tokens * 100) || '% of input tokens** (measured + high).', '## Findings (' || n_all || ')', '> ' || {Q.quoted(report.CAVEAT)},
+    '  measured  ' || lpad(format('{{:,}}', measured), 12, ' ') || '  safe rewrites, applied and counted again', '  input     ' || format('{{:,}}', input_tokens) || ' tokens, ' || format('{{:,}}', input_tokens // calls) || ' a call',
+    '  placeholder rate: give your own with --price-in', 'Findings (' || n_all || ')']) AS line FROM s, c""")
+def report_lines(spark, d):
+    """Figures as the Markdown and the terminal report print them."""
+    r = _result(spark, d)
+    wanted = ("| records", "| input tokens", "| output tokens", "| measured", "| high", "| judgement |", "**", "## Findings", "> ", "  measured", "  input", "  placeholder", "Findings")
+    lines = report.markdown(r, price_in=1.0).split("\n") + report.terminal(r).split("\n")
+    return spark.createDataFrame([(x,) for x in lines if x.startswith(wanted)], "line string")
+
+
+@_register("weighted_summary", f"WITH {Q.RESENT} SELECT count(*) AS records, count(*) * 7 AS calls, 7 * sum({_FRAMED})::BIGINT AS message_tokens, 0::BIGINT AS tool_tokens, 7 * sum({Q.tokens('completion')})::BIGINT AS output_tokens, 7 * sum({_FRAMED})::BIGINT AS input_tokens, (sum({_FRAMED}) // count(*))::BIGINT AS avg_input, 1::BIGINT AS n_sources FROM calls")
+def weighted_summary(spark, d):
+    return Audit(_calls(spark, d), weight=7).summary()
+
+
+@_register("tool_summary", f"WITH {_PART_TOOLS} SELECT w AS records, w AS calls, w * (3 + 4 + {Q.tokens(Q.quoted('go'))}) AS message_tokens, total AS tool_tokens, 0::BIGINT AS output_tokens, w * (7 + {Q.tokens(Q.quoted('go'))}) + total AS input_tokens, (w * (7 + {Q.tokens(Q.quoted('go'))}) + total) // w AS avg_input, (SELECT count(DISTINCT l_orderkey % 7) FROM lineitem) AS n_sources FROM n")
+def tool_summary(spark, d):
+    """Totals with tool schemas, over several sources."""
+    source = F.concat(F.lit("log"), F.col("ingest_seq") % 7, F.lit(":"), F.col("ingest_seq"))
+    return S.summary(_part_tool_requests(spark, d).withColumn("source", source))
+
+
+# raw chat messages with names and content in parts
+@_register("framed_names", f"SELECT conv_id, turn, (3 + 4 + {Q.tokens('text')} + {Q.tokens('role')} + 4 + {Q.tokens('text')} + {Q.tokens(Q.quoted('part two'))})::BIGINT AS tok FROM conversations")
+def framed_names(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    body = F.substr(F.to_json(F.struct(text.alias("t"))), F.lit(6), F.length(F.to_json(F.struct(text.alias("t")))) - 6)
+    name = F.to_json(F.struct(F.col("role").alias("name"), text.alias("content")))
+    parts = F.concat(F.lit('{"role":"x","content":[{"type":"text","text":'), body, F.lit('},{"type":"image"},"loose",{"text":"part two"},{"text":5}],"name":5}'))
+    return _spread(_table(spark, d, "conversations")).select("conv_id", "turn", framed_json(F.concat(F.lit("["), name, F.lit(","), parts, F.lit(',"no object",3]'))).alias("tok"))
+
+
+# raw records of every shape
+def _shaped(spark, d) -> DataFrame:
+    """A record for each turn, its shape by the turn and its conversation."""
+    text = F.coalesce("text", F.lit(""))
+    whole = F.to_json(F.struct(text.alias("t")))
+    q = F.substr(whole, F.lit(6), F.length(whole) - 6)  # the text as a JSON string
+    form = lambda a, b="": F.concat(F.lit(a), q, F.lit(b))
+    k = (F.col("conv_id") * 7 + F.col("turn")) % 9
+    shapes = [
+        form('{"prompt":', ',"model":"m0"}'), form('{"input":', ',"output_text":"late"}'),
+        form('{"system":[{"type":"text","text":"rules"},"more"],"messages":[{"content":', "}]}"),
+        form('{"request":{"messages":[{"from":"AI","value":[{"type":"text","text":', '},"b"]}],"model":"inner"},"model":"outer","response":{"text":"o"},"system":"left out"}'),
+        form('{"messages":[', ',{"role":"User","content":null,"text":"unseen"}],"choices":[{"text":"t"}],"completion":""}'),
+        form('{"nothing":', "}"), form('{"prompt":', ""),
+        form('{"model":5,"messages":[{"role":"user","content":', ',"tool_calls":[{"function":{"name":"old"}}]}],"tools":[{"type":"function","function":{"name":"look","b":1,"a":"é"}},{"type":"x"}],"functions":[{"name":"flat"}],"choices":[{"message":{"content":[{"text":"c"}],"tool_calls":[{"function":{"name":"look"}},{"function":{"name":"look"}}],"function_call":{"name":"flat"}}}],"content":[{"type":"tool_use","name":"used"}]}'),
+        form("", ""),
+    ]
+    record = shapes[-1]
+    for i in range(len(shapes) - 1):
+        record = F.when(k == i, shapes[i]).otherwise(record)
+    return _spread(_table(spark, d, "conversations")).select((F.col("conv_id") * 100000 + F.col("turn")).alias("ingest_seq"), F.lit("log").alias("source"), record.alias("record"))
+
+
+_SHAPED = """k AS (SELECT conv_id * 100000 + turn AS ingest_seq, coalesce(text, '') AS text, (conv_id * 7 + turn) % 9 AS k FROM conversations)
+    SELECT ingest_seq, CASE k WHEN 0 THEN 'm0' WHEN 3 THEN 'inner' END AS model,
+        CASE k WHEN 1 THEN 'late' WHEN 3 THEN 'o' WHEN 4 THEN 't' WHEN 7 THEN 'c' END AS completion,
+        CASE k WHEN 2 THEN CASE WHEN text = '' THEN 'system' ELSE 'system,user' END WHEN 3 THEN 'ai' ELSE 'user' END AS roles,
+        CASE k WHEN 2 THEN 'rules' || chr(10) || 'more' || CASE WHEN text = '' THEN '' ELSE '|' || text END WHEN 3 THEN text || chr(10) || 'b' ELSE text END AS contents,
+        CASE k WHEN 7 THEN 'look={"name":"look","b":1,"a":"é"},flat={"name":"flat"}' ELSE '' END AS tools, CASE k WHEN 7 THEN 'look,look,flat,used,old' ELSE '' END AS called
+    FROM k WHERE k NOT IN (5, 6, 8) AND (k <> 7 OR text <> '')"""
+
+
+@_register("record_shapes", f"WITH {_SHAPED}")
+def record_shapes(spark, d):
+    """Flattened content, tools and calls, completions, wrappers, system prompts and rejected records."""
+    m = records.from_records(_shaped(spark, d))
+    each = lambda c, f, sep: F.array_join(F.transform(c, f), sep)
+    return m.select(
+        "ingest_seq", "model", "completion", each("messages", lambda x: x["role"], ",").alias("roles"), each("messages", lambda x: x["content"], "|").alias("contents"),
+        each("tools", lambda x: F.concat(x["name"], F.lit("="), x["schema_json"]), ",").alias("tools"), F.array_join("tools_called", ",").alias("called"),
+    )
+
+
+# files of every kind
+def _folder(spark: SparkSession) -> str:
+    """A folder of files for a query: below the session's shared folder, or of this machine if local."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    out = os.path.join(where.removeprefix("file://"), f"files-{uuid.uuid4().hex}")
+    os.makedirs(out)
+    atexit.register(shutil.rmtree, out, ignore_errors=True)
+    return out
+
+
+def _write_files(where: str):
+    """For each item a template, a log, a list, a file in a pruned folder and one of unknown kind."""
+
+    def run(batches):
+        for b in batches:
+            for i, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                here = os.path.join(where, f"d{i % 3}")
+                line = json.dumps({"prompt": text})
+                held = {
+                    f"{here}/_{i:09d}.md": f"{text}\r\nsecond line\rthird".encode() + b"\xff", f"{here}/{i:09d}.jsonl": f"// note\n\n{line}\nNOT JSON\n  {line}\n".encode(),
+                    f"{here}/{i:09d}.json": f'[{line}, {{"no": 1}}, {line}]'.encode(), f"{here}/node_modules/{i:09d}.txt": b"pruned", f"{here}/.git/{i:09d}.txt": b"pruned", f"{here}/{i:09d}.bin": b"unknown", f"{here}/{i:09d}.txt": b" \n ",
+                }
+                for path, raw in held.items():
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(path, "wb") as f:
+                        f.write(raw)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64())], names=["item_id"])
+
+    return run
+
+
+@_register("files_loaded", """WITH i AS (SELECT printf('%09d', item_id) AS n, 'd' || (item_id % 3) AS dir, text FROM benchmark),
+    f AS (SELECT dir || '/_' || n || '.md' AS path, 1 AS line, '' AS part, 'system' AS role, text || chr(10) || 'second line' || chr(10) || 'third' || chr(65533) AS content FROM i
+        UNION ALL SELECT dir || '/' || n || '.jsonl', x, ':' || x, 'user', text FROM i, (VALUES (3), (5)) v(x)
+        UNION ALL SELECT dir || '/' || n || '.json', x, '[' || x || ']', 'user', text FROM i, (VALUES (0), (2)) v(x)
+        UNION ALL SELECT 'exact.bin', 0, '', 'system', repeat('y', 1000) UNION ALL SELECT 'gone~', 0, ':1', 'user', 'piped' UNION ALL SELECT 'gone~', 1, ':3', 'user', 'again')
+    SELECT CASE WHEN path = 'gone~' THEN '<stdin>' ELSE path END || part AS source, role, content, row_number() OVER (ORDER BY CASE path WHEN 'exact.bin' THEN 1 WHEN 'gone~' THEN 2 ELSE 0 END, path, line) AS nr FROM f""")
+def files_loaded(spark, d):
+    """Directories, a file of unknown kind given by name, one that is too large, a missing one and
+    standard input, in the order of the arguments."""
+    where = _folder(spark)
+    _table(spark, d, "benchmark").select("item_id", "text").mapInArrow(_write_files(where), "item_id long").count()
+    os.makedirs(f"{where}/d0", exist_ok=True)
+    for name, size in (("exact.bin", 1000), ("large.txt", 50_000)):
+        with open(f"{where}/{name}", "w") as f:
+            f.write("y" * size)
+    folders = [f"{where}/d{k}" for k in range(3)]
+    piped = io.StringIO('{"prompt": "piped"}\n\n{"prompt": "again"}\n')
+    got = files.load_inputs(spark, [*folders, f"{where}/exact.bin", f"{where}/large.txt", f"{where}/missing", "-"], piped, most_bytes=49_999)
+    return got.select(F.replace("source", F.lit(where + "/"), F.lit("")).alias("source"), F.col("messages")[0]["role"].alias("role"), F.col("messages")[0]["content"].alias("content"), F.row_number().over(Window.orderBy("ingest_seq")).cast("long").alias("nr"))
+
+
+@_register("stdin_sniffed", """SELECT item_id, 'lines' AS kind, '<stdin>:1' AS source, 'user' AS role, text AS content FROM benchmark UNION ALL SELECT item_id, 'list', '<stdin>[1]', 'user', text FROM benchmark UNION ALL SELECT item_id, 'text', '<stdin>', 'system', text FROM benchmark WHERE trim(text) <> ''""")
+def stdin_sniffed(spark, d):
+    """Piped texts of unknown kind: log lines, a list over several lines, a template, blanks."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                line = json.dumps({"prompt": text})
+                for kind, piped in (("lines", f"{line}\nrest\n"), ("list", f'[\n"x",\n{{"prompt":\n{json.dumps(text)}}}\n]'), ("text", text), ("blank", " \n")):
+                    out += [{"item_id": i, "kind": kind, "source": r["source"], "role": r["messages"][0]["role"], "content": r["messages"][0]["content"]} for r in files.sniffed(piped)]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item_id", pa.int64()), ("kind", pa.string()), ("source", pa.string()), ("role", pa.string()), ("content", pa.string())]))
+
+    return _table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, kind string, source string, role string, content string")
+
+
+@_register("fixed_files", f"""WITH {_PADDED_CALLS}, m AS (SELECT conv_id, seq, unnest(roles) AS role, unnest(texts) AS t, unnest(range(len(texts))) AS i, len(texts) AS n FROM calls),
+    f AS (SELECT conv_id, seq, any_value(n) AS n, string_agg(CASE WHEN n = 1 THEN '' ELSE '<<<' || role || '>>>' || chr(10) END || {_FIXED}, chr(10) || chr(10) ORDER BY i) AS body FROM m GROUP BY conv_id, seq),
+    r AS (SELECT *, row_number() OVER (ORDER BY seq) AS nr FROM f)
+    SELECT CASE WHEN nr = 1 THEN 'conversations.txt' ELSE 'conversations.' || nr || '.txt' END AS file, body || chr(10) AS text FROM r""")
+def fixed_files(spark, d):
+    """What --fix writes."""
+    return cli.fixed_files(_padded_calls(spark, d)).select("file", "text")

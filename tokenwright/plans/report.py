@@ -40,7 +40,10 @@ def projected(r: Result, calls: int, price_in: float) -> dict[str, float]:
 
 
 def note(r: Result) -> str:
-    return "exact" if r.exact else "approximate, mostly within 10%"
+    return f"exact ({r.backend})" if r.exact else "approximate, mostly within 10%"
+
+
+CAVEAT = "The measured figure is counted after rewriting and is not a sum of findings; findings may overlap, so they don't add up."
 
 
 def terminal(r: Result, price_in: float = PRICE_IN, price_out: float = PRICE_OUT, calls: int | None = None, colour: bool = False) -> str:
@@ -53,7 +56,7 @@ def terminal(r: Result, price_in: float = PRICE_IN, price_out: float = PRICE_OUT
     out += [f"  counting  {note(r)}", ""]
     if not r.findings and not r.measured["saved"]:
         return "\n".join([*out, s("Nothing found above the thresholds.", "32"), "The prompts are tight already, or too few calls are given; try --calls or a request log.", ""])
-    out += [s("Recoverable", "1"), s(f"  measured  {r.measured['saved']:>12,}", "32") + "  safe rewrites, applied and counted again", s(f"  high      {r.total('high'):>12,}", "36") + "  caching of what repeats", s(f"  judgement {r.total('judgement'):>12,}", "33") + "  needs an evaluation", f"  {r.pct:.1f}% of input tokens without a change of behaviour (measured + high)", ""]
+    out += [s("Recoverable", "1"), s(f"  measured  {r.measured['saved']:>12,}", "32") + "  safe rewrites, applied and counted again", s(f"  high      {r.total('high'):>12,}", "36") + "  caching of what repeats", s(f"  judgement {r.total('judgement'):>12,}", "33") + "  needs an evaluation", f"  {r.pct:.1f}% of input tokens without a change of behaviour (measured + high)", *textwrap.wrap(CAVEAT, 70, initial_indent="  ", subsequent_indent="  "), ""]
     out += [s("Cost", "1"), f"  rates ${price_in:.2f} in, ${price_out:.2f} out per million tokens"]
     if price_in == PRICE_IN:
         out += [s("  placeholder rate: give your own with --price-in", "33")]
@@ -73,7 +76,7 @@ def terminal(r: Result, price_in: float = PRICE_IN, price_out: float = PRICE_OUT
 def markdown(r: Result, price_in: float = PRICE_IN, price_out: float = PRICE_OUT, calls: int | None = None) -> str:
     t = r.summary
     out = [f"# {NAME} report", "", "## Corpus", "", "| | |", "|---|---:|", f"| records | {t['records']:,} |", f"| calls | {t['calls']:,} |", f"| input tokens | {t['input_tokens']:,} |", f"| a call | {t['avg_input']:,} |", f"| messages | {t['message_tokens']:,} |", f"| tool schemas | {t['tool_tokens']:,} |", f"| output tokens | {t['output_tokens']:,} |", f"| counting | {note(r)} |", ""]
-    out += ["## Recoverable", "", "| class | tokens |", "|---|---:|", f"| measured | {r.measured['saved']:,} |", f"| high | {r.total('high'):,} |", f"| judgement | {r.total('judgement'):,} |", "", f"**{r.pct:.1f}% of input tokens** (measured + high).", ""]
+    out += ["## Recoverable", "", "| class | tokens |", "|---|---:|", f"| measured | {r.measured['saved']:,} |", f"| high | {r.total('high'):,} |", f"| judgement | {r.total('judgement'):,} |", "", f"**{r.pct:.1f}% of input tokens** (measured + high).", "", f"> {CAVEAT}", ""]
     out += ["## Cost", "", f"Rates: ${price_in:.2f} in, ${price_out:.2f} out per million tokens." + (" **Placeholder rate.**" if price_in == PRICE_IN else ""), "", f"- spend ${money(t['input_tokens'], price_in):,.2f}", f"- saving ${money(r.safe, price_in):,.2f}"]
     if calls:
         p = projected(r, calls, price_in)

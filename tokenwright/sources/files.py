@@ -8,6 +8,7 @@ import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import records
 from .tables import REQUESTS
@@ -35,13 +36,22 @@ def walk(path: str) -> list[str]:
     return out
 
 
-def read_text(path: str) -> str | None:
-    """Text of a file of at most 8 MiB, line ends as newlines; None where it can't be read."""
+def too_large(paths: list[str], most_bytes: int = MOST_BYTES) -> list[str]:
+    """The files that `load_inputs` leaves out for their size."""
+    return [f for path in paths if path != "-" and "://" not in path for f in walk(path) if os.path.getsize(f) > most_bytes]
+
+
+def read_text(path: str, most_bytes: int = MOST_BYTES) -> str | None:
+    """Text of a file of at most `most_bytes`, line ends as newlines; None where it can't be read.
+
+    A file that was listed and isn't there is an error: this machine lacks the folder that the driver has."""
     try:
-        if os.path.getsize(path) > MOST_BYTES:
+        if os.path.getsize(path) > most_bytes:
             return None
         with open(path, encoding="utf-8", errors="replace") as f:
             return f.read()
+    except FileNotFoundError:
+        raise
     except OSError:
         return None
 
@@ -86,31 +96,60 @@ def _numbered(rows, order: int) -> list[dict]:
     return [{"request_id": order * FILE_SEQ + i, "ingest_seq": order * FILE_SEQ + i, "weight": 1, **r} for i, r in enumerate(rows)]
 
 
-def _read(batches):
+def _read(most_bytes: int):
+    def run(batches):
+        for b in batches:
+            for order, path in zip(b.column("ord").to_pylist(), b.column("path").to_pylist()):
+                text = read_text(path, most_bytes)
+                if text is not None:
+                    yield records.batch(_numbered(requests_in(text, path, _suffix(path)), order))
+
+    return run
+
+
+def _decoded(batches):
     for b in batches:
-        for order, path in zip(b.column("ord").to_pylist(), b.column("path").to_pylist()):
-            text = read_text(path)
-            if text is not None:
-                yield records.batch(_numbered(requests_in(text, path, _suffix(path)), order))
+        for order, path, raw in zip(*(b.column(c).to_pylist() for c in ("ord", "path", "content"))):
+            text = raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+            yield records.batch(_numbered(requests_in(text, path, _suffix(path)), order))
+
 
+def from_uri(spark: SparkSession, uri: str, order: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Requests of a file or folder of any file system that the session knows (s3a, hdfs, file).
 
-def load_inputs(spark: SparkSession, paths: list[str], stdin=None) -> DataFrame:
-    """Requests of files, directories and `-` for standard input, in the order of the arguments."""
+    Spark lists it, so names that start with `_` or `.` are left out, and files are in no fixed order."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri).where(F.col("length") <= most_bytes)
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    pruned = F.col("path").rlike(f"/(?:{'|'.join(sorted(PRUNED))})/")
+    scheme = r"^[A-Za-z0-9+.-]+:/+"
+    itself = F.regexp_replace("path", scheme, "") == F.lit(re.sub(scheme, "", uri))
+    kept = found.where((suffix.isin(*sorted(KNOWN)) & ~pruned) | itself)
+    numbered = kept.select((F.lit(order) + F.pmod(F.xxhash64("path"), F.lit(1 << 30))).cast("long").alias("ord"), "path", "content")
+    return numbered.mapInArrow(_decoded, REQUESTS)
+
+
+def load_inputs(spark: SparkSession, paths: list[str], stdin=None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Requests of files, directories, URIs and `-` for standard input, in the order of the arguments.
+
+    Files of more than `most_bytes` are left out; `too_large` names them."""
     listed: list[tuple[int, str]] = []
     piped: list[dict] = []
+    frames = []
     order = 0
     for path in paths or ["-"]:
         if path == "-":
             piped += _numbered(sniffed((stdin or sys.stdin).read()), order)
             order += 1
-            continue
-        for found in walk(path):
-            listed.append((order, found))
-            order += 1
-    frames = []
+        elif "://" in path:
+            frames.append(from_uri(spark, path, order, most_bytes))
+            order += 1 << 30
+        else:
+            for found in walk(path):
+                listed.append((order, found))
+                order += 1
     if listed:
         table = spark.createDataFrame(listed, "ord long, path string")
-        frames.append(table.repartition(min(len(listed), 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(_read, REQUESTS))
+        frames.append(table.repartition(min(len(listed), 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(_read(most_bytes), REQUESTS))
     if piped or not frames:
         frames.append(spark.createDataFrame(records.batch(piped).to_pylist(), REQUESTS))
     out = frames[0]
