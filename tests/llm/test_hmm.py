@@ -130,3 +130,16 @@ def test_long_texts_join_the_counts_of_all_rare_words(spark):
     for i, t in rows:  # one class: the model is the unigram model
         want = sum(math.log(count[w] / count.total()) for w in t.split())
         assert math.isclose(got[i].log_likelihood, want, rel_tol=1e-9) and math.isclose(got[i].perplexity, math.exp(-want / len(t.split())), rel_tol=1e-9)
+
+
+def test_states_of_languages_part_in_few_rounds():
+    # texts of one of four vocabularies: a word must tell much about the next
+    rng = np.random.default_rng(7)
+    off = np.arange(0, 40 * 101, 40)
+    sym = np.concatenate([rng.integers(0, 50, 40) + 50 * (i % 4) for i in range(100)])
+    counts = np.bincount(sym, minlength=200).astype(float)
+    model = H.start(counts, 8)
+    for _ in range(6):
+        _, model = step(model, sym, off, prior=0.01)
+    gain = H.log_likelihoods(model, sym, off).sum() / len(sym) - (counts / len(sym) * np.log(counts / len(sym))).sum()
+    assert gain > 0.7 * math.log(4)

@@ -31,9 +31,10 @@ from . import kernel as K
 from .common import slim, stored
 
 U64 = K.U64
-CELLS = 1 << 18  # words whose forward variables are held at once; a longer text is passed twice
+CELLS = 1 << 17  # words whose forward variables are held at once; a longer text is passed twice
 GATHER_WORDS = 1 << 20  # texts of about so many words are ordered by length
 SCORE_WORDS = 1 << 22
+LASTING, FREE = 200.0, 3  # weight of staying in a state, against about three of each change; states without it
 RESCALE = 16  # steps between scale factors
 SHARE_STEPS = 1 << 36
 
@@ -83,13 +84,16 @@ def _symbolise(keys: np.ndarray, shared: int):
 
 
 def start(counts: np.ndarray, states: int):
-    """(initial, transitions, emissions as symbols x states): unigrams, tilted by hashed noise that
-    is strong enough for states to part within a few rounds."""
+    """(initial, transitions, emissions as symbols x states): unigrams, tilted by hashed noise.
+
+    All but FREE states start as ones that last: the words of a whole text then add up to tell them
+    apart, and they part in the first rounds, where states that mix evenly stay unigrams for a dozen.
+    FREE states change from word to word."""
     def noise(n, m, salt):
         return (K.mix(np.arange(n * m, dtype=U64) + U64(salt)) >> U64(11)).astype(float).reshape(n, m) / 2**53
 
     emit = (counts[:, None] + 0.5) * np.exp(3 * noise(len(counts), states, 1 << 32))
-    move = 1 + 4 * noise(states, states, 1 << 40)
+    move = 1 + 4 * noise(states, states, 1 << 40) + LASTING * np.diag((np.arange(states) < states - FREE).astype(float))
     return np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
 
 
@@ -112,10 +116,9 @@ class _Lattice:
         self.t0, self.t1, self.n = t0, t1, len(at)
         self.live = np.searchsorted(-size, -np.arange(t0, t1 + 1), "left").tolist()  # sequences longer than t
         t = np.arange(t0, t1)[:, None]
-        self.valid = t < size[None, :]
         self.seen = sym[np.minimum(at[None, :] + t, (at + size - 1)[None, :])]
-        self.w = emit[self.seen]
-        self.w[~self.valid] = 0
+        self.w = emit.take(self.seen, axis=0)
+        self.w[t >= size[None, :]] = 0
         self.a = np.zeros(self.w.shape)
         self.scale: dict[int, np.ndarray] = {}
         self.norm = np.ones(self.n)
@@ -172,9 +175,9 @@ class _Lattice:
             m = self.live[0]
             pairs += before[:m].T @ self.w[0, :m]
         totals[1] += self.move * pairs
-        flat, g = self.seen[self.valid], gamma[self.valid]
+        flat, by_state = self.seen.ravel(), np.ascontiguousarray(gamma.reshape(-1, k).T)  # 0 behind the ends
         for i in range(k):
-            totals[2][:, i] += np.bincount(flat, g[:, i], minlength=len(totals[2]))
+            totals[2][:, i] += np.bincount(flat, by_state[i], minlength=len(totals[2]))
 
 
 def expect(model, sym: np.ndarray, at: np.ndarray, size: np.ndarray, totals, cells: int = CELLS) -> None:
@@ -318,7 +321,7 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, prio
     return model, logs
 
 
-def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 8, tolerance: float = 0.002, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 6, tolerance: float = 0.005, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, log_likelihood, perplexity), one row for each input row."""
     d = slim(docs, id_col, text_col)
     words = stored(d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
