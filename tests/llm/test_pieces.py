@@ -78,6 +78,50 @@ def test_max_plus_is_associative():
     assert (P.maxplus(P.maxplus(a, b), c) == P.maxplus(a, P.maxplus(b, c))).all()
 
 
+def test_products_by_a_tree(spark):
+    rng = np.random.default_rng(1)
+    docs = {of: [np.where(rng.random((4, 4)) < 0.2, P.NEVER, rng.integers(-100, 0, (4, 4))) for _ in range(n)] for of, n in ((1, 1), (2, 7), (3, 30))}
+    for ms in docs.values():
+        for m in (ms[0], ms[-1]):
+            m[0, 0] = 0
+    rows = [(of, k, m.astype(np.int64).tobytes()) for of, ms in docs.items() for k, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "of long, part int, matrix binary")
+    got = {}
+    for r in P.chunk_states(df, 30, fan=3).collect():
+        got.setdefault(r.of, {})[r.part] = (r.enter, r.leave)
+    for of, ms in docs.items():
+        flat = P.boundary_states(ms)
+        best = sum(int(m[a, b]) for m, a, b in zip(ms, flat, flat[1:]))
+        path = [got[of][k] for k in range(len(ms))]
+        assert path[0][0] == 0 and path[-1][1] == 0 and all(a[1] == b[0] for a, b in zip(path, path[1:]))
+        assert sum(int(m[a, b]) for m, (a, b) in zip(ms, path)) == best == int(P.product(ms)[0, 0])
+
+
+def test_units_solved_before_are_the_same(voc):
+    rows = texts(7, 40)
+    voc.cache.clear()
+    first, _, _ = encoded(voc, rows)
+    again, _, _ = encoded(voc, rows)
+    assert first == again and len(voc.cache.keys)
+    voc.cache, old = P.Cache(4), voc.cache
+    small, _, _ = encoded(voc, rows)
+    voc.cache = old
+    assert small == first
+
+
+def test_models_that_normalise_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    with open(P.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    m.normalizer_spec.remove_extra_whitespaces = True
+    path = tmp_path / "other.model"
+    path.write_bytes(m.SerializeToString())
+    with pytest.raises(ValueError, match="normalises"):
+        P.Vocabulary(str(path))
+
+
 def test_tables(spark, voc):
     rows = ODD + [(7, " leading and  double "), (8, "odd ▁ mark"), (9, LONG[:20000])]
     got = P.encode(with_clashes(frame(spark, rows)), chunk_chars=4096).collect()

@@ -62,12 +62,12 @@ def _delete_all() -> None:
             _delete(spark, path)
 
 
-def stored(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+def stored(df: DataFrame, instead_of: DataFrame | None = None, row_group: int | None = None) -> DataFrame:
     """Writes a table to the shared folder and rereads it: lineage ends there, and losing an
     executor costs nothing that was stored.  The table that it takes the place of is deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

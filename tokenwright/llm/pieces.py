@@ -7,15 +7,17 @@ falls into independent units, and equal units of a batch are solved once, many s
 A text over `chunk_chars` characters becomes chunks, which are rows of their own and spread over
 tasks.  The state at a chunk's boundary is how many characters a piece reaches beyond it.  A chunk
 yields its transfer matrix, the best score from each entry state to each exit state; products of
-matrices in the (max, +) algebra are associative and combine over the document (a prefix scan, then
-a walk back), which fixes each chunk's entry and exit; the chunks are then traced back independently.
+matrices in the (max, +) algebra are associative and combine up a tree, FAN neighbours to a product.
+Walking down again, each product's entry and exit fix those of what it was made of, down to the
+chunks, which are then traced back independently.
 Scores are 64-bit integers (2**-20 units), so sums are exact however they are grouped.
 
 Scores: a unigram model's own; for a byte-pair model, whose scores are merge ranks, -log(1 + rank),
 that is Zipf's law over its pieces.  Characters that are no piece are their UTF-8 bytes (byte
-fallback), at the lowest score less 10 for each character.
+fallback), at the lowest score less 10 for each character.  Models that normalise text beyond marks
+for spaces (a character map, extra white space taken out) are refused, since their ids would differ.
 
-Defined cases: a null text has null ids; an empty text has none; of equally good ways the one whose
+Defined cases: a null text has null ids; an empty text has none; a text of any length is encoded whole; of equally good ways the one whose
 last pieces are longer is taken within a chunk, and the smaller state at a boundary; repeated rows
 are encoded each; an empty table gives no rows; extra columns are ignored.  As in SentencePiece a
 space is put first and spaces become marks, so decoding drops one leading space; texts that hold
@@ -53,6 +55,9 @@ class Vocabulary:
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
+        spec = model.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path}: the model normalises text, which this encoder doesn't")
         kind = pb.ModelProto.SentencePiece.Type
         self.pieces = [p.piece for p in model.pieces]
         normal = [i for i, p in enumerate(model.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED)]
@@ -74,8 +79,17 @@ class Vocabulary:
         self.keys, self.ids, self.scores = h[order], np.array(normal)[order], score[order]
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("piece hashes collide")
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys >> U64(44)).astype(np.int64)] = True
+        # two tables by 20 bits of the hash each; the second has the keys whose place in the first is taken
+        self.slots = np.full((2, 1 << 20), -1, np.int32)
+        left = np.arange(len(self.keys))
+        for table, shift in zip(self.slots, (44, 24)):
+            place = (self.keys[left] >> U64(shift) & U64(0xFFFFF)).astype(np.int64)
+            _, one = np.unique(place, return_index=True)
+            table[place[one]] = left[one]
+            left = np.delete(left, one)
+        if len(left):
+            raise ValueError("too many pieces")
+        self.cache = Cache()
         # a unit may start at a mark after another character: no piece has a mark further inside
         inner = [i for i in normal if chr(MARK) in self.pieces[i].lstrip(chr(MARK))]
         self.safe = not inner
@@ -88,14 +102,50 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index into keys, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        at = np.flatnonzero(self.bits[(h >> U64(44)).astype(np.int64)])
-        idx = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        ok = self.keys[idx] == h[at]
-        out[at[ok]] = idx[ok]
+        out = self.slots[0].take((h >> U64(44)).astype(np.int64))
+        at = np.flatnonzero(out >= 0)
+        wrong = at[self.keys.take(out[at]) != h[at]]
+        again = self.slots[1].take((h[wrong] >> U64(24) & U64(0xFFFFF)).astype(np.int64))
+        out[wrong] = np.where((again >= 0) & (self.keys.take(again, mode="wrap") == h[wrong]), again, -1)
         return out
 
 
+class Cache:
+    """Token ids of units that a worker has solved before, by hash; begun anew when it is full."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.off, self.ids = np.zeros(0, U64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def add(self, h: np.ndarray, ids: np.ndarray, off: np.ndarray) -> None:
+        """Takes units that it doesn't have, with their hashes in order."""
+        if len(self.keys) + len(h) > self.most or len(self.ids) + len(ids) > 8 * self.most:
+            self.clear()
+        if len(h) > self.most or len(ids) > 8 * self.most:
+            return
+        keys, lens = np.concatenate([self.keys, h]), np.concatenate([np.diff(self.off), np.diff(off)])
+        start, flat = np.concatenate([self.off[:-1], off[:-1] + len(self.ids)]), np.concatenate([self.ids, ids])
+        order = np.argsort(keys, kind="stable")
+        self.keys, lens = keys[order], lens[order]
+        self.off, self.ids = np.concatenate([[0], np.cumsum(lens)]), gathered(flat, start[order], lens)
+
+
+def gathered(values: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The stretches of `values` one after another."""
+    ends = np.cumsum(lens)
+    return values[np.repeat(start - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def _piece_hash(codes: np.ndarray) -> np.uint64:
     acc = np.zeros(1, U64)
     for c in codes:
@@ -268,12 +318,20 @@ def encode_rows(voc: Vocabulary, codes: np.ndarray, pos: np.ndarray) -> tuple[np
     np.multiply.accumulate(np.full(len(pw) - 1, _M, U64), out=pw[1:])
     within = np.arange(len(codes)) - np.repeat(u, size)
     h = K.mix(np.add.reduceat(K.mix(codes.astype(U64) + U64(1)) * pw[within], u) + size.astype(U64))
-    _, one, inv = np.unique(h, return_index=True, return_inverse=True)
-    take = np.repeat(u[one] - (np.cumsum(size[one]) - size[one]), size[one]) + np.arange(int(size[one].sum()))
-    ids, off = solve(voc, codes[take], np.concatenate([[0], np.cumsum(size[one])]))
-    cnt = np.diff(off)[inv]
-    out = np.concatenate([[0], np.cumsum(cnt)])
-    flat = ids[np.repeat(off[:-1][inv] - out[:-1], cnt) + np.arange(int(out[-1]))]
+    keys, one, inv = np.unique(h, return_index=True, return_inverse=True)
+    known = voc.cache.find(keys)
+    new = np.flatnonzero(known < 0)
+    at = one[new]
+    ids, off = solve(voc, gathered(codes, u[at], size[at]), np.concatenate([[0], np.cumsum(size[at])]).astype(np.int64))
+    cached = voc.cache
+    start, cnt = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    start[new], cnt[new] = off[:-1], np.diff(off)
+    old = np.flatnonzero(known >= 0)
+    start[old], cnt[old] = len(ids) + cached.off[known[old]], np.diff(cached.off)[known[old]]
+    both = np.concatenate([ids, cached.ids])
+    flat = gathered(both, start[inv], cnt[inv])
+    out = np.concatenate([[0], np.cumsum(cnt[inv])])
+    cached.add(keys[new], ids, off)
     return flat, out[np.searchsorted(u, pos)]
 
 
@@ -396,14 +454,22 @@ def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[int]:
-    """States at the chunks' boundaries (one more than chunks) of the best path from 0 to 0."""
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Product of neighbours, as a balanced tree."""
+    while len(matrices) > 1:
+        pairs = [maxplus(a, b) for a, b in zip(matrices[::2], matrices[1::2])]
+        matrices = pairs + matrices[len(matrices) // 2 * 2 :]
+    return matrices[0]
+
+
+def boundary_states(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[int]:
+    """States at the boundaries (one more than matrices) of the best path from `enter` to `leave`."""
     row, prefix = np.full((1, len(matrices[0])), NEVER, np.int64), []
-    row[0, 0] = 0
+    row[0, enter] = 0
     for m in matrices:
         prefix.append(row[0])
         row = maxplus(row, m)
-    states = [0]
+    states = [leave]
     for p, m in zip(reversed(prefix), reversed(matrices)):
         states.append(int((p + m[:, states[-1]]).argmax()))
     return states[::-1]
@@ -422,41 +488,70 @@ def chunk_sizes(n: int, chunk: int) -> list[tuple[int, int]]:
     return [(k, min(chunk, n - k)) for k in range(0, n, chunk)]
 
 
-def _transfer(path: str, chunk: int):
+_CHUNK = "of long, doc_id long, part int, size int, plain boolean, piece string"
+_MATRIX = "of long, part int, matrix binary"
+_STATE = "of long, part int, enter int, leave int"
+FAN = 64
+
+
+def _cut(path: str, chunk: int):
+    def run(batches):
+        over = vocabulary(path).longest - 1
+        schema = pa.schema([("of", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("plain", pa.bool_()), ("piece", pa.string())])
+        for b in batches:
+            for of, doc, text in zip(*(b.column(c).to_pylist() for c in ("of", "doc_id", "text"))):
+                plain, t = chr(MARK) not in text, _marked_text(text)
+                cuts = chunk_sizes(len(t), chunk)
+                for lo in range(0, len(cuts), FAN):
+                    yield pa.RecordBatch.from_pylist([{"of": of, "doc_id": doc, "part": k, "size": n, "plain": plain, "piece": t[at : at + n + over]} for k, (at, n) in enumerate(cuts[lo : lo + FAN], lo)], schema=schema)
+
+    return run
+
+
+def _transfer(path: str):
     def run(batches):
         voc = vocabulary(path)
         for b in batches:
-            of, part, blobs = [], [], []
-            for key, text in zip(b.column("of").to_pylist(), b.column("text").to_pylist()):
-                codes = _codes(_marked_text(text))
-                for k, (lo, size) in enumerate(chunk_sizes(len(codes), chunk)):
-                    of.append(key)
-                    part.append(k)
-                    blobs.append(Chunk(voc, codes[lo : lo + size + voc.longest - 1], size).matrix().tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], names=["of", "part", "matrix"])
+            blobs = [Chunk(voc, _codes(t), n).matrix().tobytes() for t, n in zip(b.column("piece").to_pylist(), b.column("size").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("of"), b.column("part"), pa.array(blobs, pa.binary())], names=["of", "part", "matrix"])
 
     return run
 
 
-def _combine(t: pa.Table) -> pa.Table:
+def _square(blobs) -> list[np.ndarray]:
+    side = int(round((len(blobs[0]) // 8) ** 0.5))
+    return [np.frombuffer(m, np.int64).reshape(side, side) for m in blobs]
+
+
+def _join(t: pa.Table) -> pa.Table:
+    """The product of up to FAN neighbours."""
     t = t.sort_by("part")
-    side = int(round((len(t.column("matrix")[0].as_py()) // 8) ** 0.5))
-    s = boundary_states([np.frombuffer(m, np.int64).reshape(side, side) for m in t.column("matrix").to_pylist()])
-    return pa.table([t.column("of"), t.column("part"), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], names=["of", "part", "enter", "leave"])
+    m = product(_square(t.column("matrix").to_pylist()))
+    return pa.table([t.column("of").slice(0, 1), t.column("g").slice(0, 1), pa.array([m.tobytes()], pa.binary())], names=["of", "part", "matrix"])
 
 
-def _cut(path: str, chunk: int):
-    def run(batches):
-        over = vocabulary(path).longest - 1
-        schema = pa.schema([("of", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("piece", pa.string())])
-        for b in batches:
-            for of, doc, text in zip(*(b.column(c).to_pylist() for c in ("of", "doc_id", "text"))):
-                t = _marked_text(text)
-                yield pa.RecordBatch.from_pylist([{"of": of, "doc_id": doc, "part": k, "size": n, "piece": t[lo : lo + n + over]} for k, (lo, n) in enumerate(chunk_sizes(len(t), chunk))], schema=schema)
+def _walk(t: pa.Table) -> pa.Table:
+    """Entry and exit of up to FAN neighbours, of which the first entry and the last exit are given."""
+    t = t.sort_by("part")
+    s = boundary_states(_square(t.column("matrix").to_pylist()), t.column("enter")[0].as_py(), t.column("leave")[0].as_py())
+    return pa.table([t.column("of"), t.column("part"), pa.array(s[:-1], pa.int32()), pa.array(s[1:], pa.int32())], names=["of", "part", "enter", "leave"])
 
-    return run
+
+def chunk_states(matrices: DataFrame, most: int, fan: int = FAN) -> DataFrame:
+    """(of, part, enter, leave) of every chunk; no document has more than `most` chunks."""
+    group = F.floor(F.col("part") / fan).cast("int")
+    levels = [matrices]
+    while most > fan:
+        levels.append(stored(levels[-1].withColumn("g", group).groupBy("of", "g").applyInArrow(_join, _MATRIX)))
+        most = -(-most // fan)
+    states = levels[-1].withColumns({"enter": F.lit(0), "leave": F.lit(0)}).groupBy("of").applyInArrow(_walk, _STATE)
+    for lower in reversed(levels[:-1]):
+        above = states.withColumnRenamed("part", "g")
+        states = lower.withColumn("g", group).join(above, ["of", "g"]).groupBy("of", "g").applyInArrow(_walk, _STATE)
+    return states
 
 
+CHUNK_GROUP = 8 << 20  # bytes of a row group of chunks
 TRACE_CHUNKS = 64  # traced together, which bounds memory, never what is processed
 
 
@@ -466,13 +561,13 @@ def _trace(path: str):
         for whole in batches:
             for lo in range(0, whole.num_rows, TRACE_CHUNKS):
                 b = whole.slice(lo, TRACE_CHUNKS)
-                pieces, sizes, enter, leave = (b.column(c).to_pylist() for c in ("piece", "size", "enter", "leave"))
+                pieces, sizes, plain, enter, leave = (b.column(c).to_pylist() for c in ("piece", "size", "plain", "enter", "leave"))
                 ids = trace_chunks(voc, [Chunk(voc, _codes(t), n) for t, n in zip(pieces, sizes)], enter, leave)
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
                 flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
                 raw, roff = decode_rows(voc, flat, off, lead=False)
                 # the characters between the states, with the marks as the spaces that they were
-                same = [raw[a:z].tobytes() == t[e : n + x].replace(chr(MARK), " ").encode() for a, z, t, n, e, x in zip(roff, roff[1:], pieces, sizes, enter, leave)]
+                same = [f and raw[a:z].tobytes() == t[e : n + x].replace(chr(MARK), " ").encode() for f, a, z, t, n, e, x in zip(plain, roff, roff[1:], pieces, sizes, enter, leave)]
                 yield pa.RecordBatch.from_arrays([b.column("of"), b.column("doc_id"), b.column("part"), K.ragged(flat.astype(np.int32), off, pa.int32()), pa.array(same, pa.bool_())], names=["of", "doc_id", "part", "ids", "ok"])
 
     return run
@@ -483,16 +578,18 @@ def encode(docs: DataFrame, path: str = MODEL, chunk_chars: int = CHUNK_CHARS, i
     d = slim(docs, id_col, text_col)
     giant = F.char_length("text") >= chunk_chars  # with the mark in front: more than a chunk
     short = d.where(F.coalesce(~giant, F.lit(True))).mapInArrow(_encode(path), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
-    # a stored number tells rows apart, repeated ones too
-    long = stored(d.where(giant).withColumn("of", F.monotonically_increasing_id()))
-    states = long.select("of", "text").mapInArrow(_transfer(path, chunk_chars), "of long, part int, matrix binary").groupBy("of").applyInArrow(_combine, "of long, part int, enter int, leave int")
-    chunks = long.mapInArrow(_cut(path, chunk_chars), "of long, doc_id long, part int, size int, piece string")
-    # the join spreads a document's chunks over tasks
-    traced = chunks.join(states.hint("shuffle_hash"), ["of", "part"]).mapInArrow(_trace(path), "of long, doc_id long, part int, ids array<int>, ok boolean")
-    plain = long.select("of", (F.instr("text", chr(MARK)) == 0).alias("plain"))
-    whole = traced.groupBy("of", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"), F.bool_and("ok").alias("ok")).join(plain, "of")
+    # a stored number tells rows apart, repeated ones too; small row groups let a giant's chunks spread over tasks
+    long = d.where(giant).withColumn("of", F.monotonically_increasing_id())
+    chunks = stored(long.mapInArrow(_cut(path, chunk_chars), _CHUNK), row_group=CHUNK_GROUP)
+    most = chunks.agg(F.max("part")).first()[0]
+    if most is None:
+        return short
+    matrices = chunks.select("of", "part", "size", "piece").mapInArrow(_transfer(path), _MATRIX)
+    states = chunk_states(stored(matrices) if most >= FAN else matrices, most + 1)
+    traced = chunks.join(states, ["of", "part"]).mapInArrow(_trace(path), "of long, doc_id long, part int, ids array<int>, ok boolean")
+    whole = traced.groupBy("of", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"), F.bool_and("ok").alias("ok"))
     ids = F.flatten(F.transform("parts", lambda x: x["ids"]))
-    return short.unionByName(whole.select("doc_id", ids.alias("ids"), "ok", "plain").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("ok") & F.col("plain")).alias("round_trip")))
+    return short.unionByName(whole.select("doc_id", ids.alias("ids"), "ok").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("ok").alias("round_trip")))
 
 
 def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
