@@ -3,6 +3,7 @@ import random
 import numpy as np
 from cases import ODD, frame, with_clashes
 
+from tokenwright.llm import kernel as K
 from tokenwright.llm import quality as Q
 from tokenwright.llm import toxicity as T
 
@@ -115,3 +116,47 @@ def test_quality_odd_rows(spark):
     assert len(got) == len(rows)
     assert not any(r.keep for r in got if r.doc_id in (1001, 1002, 1003))
     assert Q.quality(frame(spark, [])).count() == 0
+
+
+def test_distinct_words_of_rows():
+    rng = np.random.default_rng(0)
+    off = np.array([0, 0, 40, 41, 300])
+    h = K.mix(rng.integers(0, 30, 300).astype(np.uint64))
+    assert K.row_distinct(h, off).tolist() == [len(set(h[a:b].tolist())) for a, b in zip(off, off[1:])]
+    assert K.row_distinct(h[:0], np.array([0, 0])).tolist() == [0]
+
+
+def brute_labellers(v, rounds):
+    """EM by loops over documents, labellers and votes."""
+    n, m = v.shape
+    prior, tab = 0.5, [[[0.4, 0.48, 0.12], [0.4, 0.12, 0.48]] for _ in range(m)]
+    post = [0.5] * n
+    for _ in range(rounds):
+        for i in range(n):
+            p = [1 - prior, prior]
+            for k in range(m):
+                for c in (0, 1):
+                    p[c] *= tab[k][c][v[i, k]]
+            post[i] = p[1] / (p[0] + p[1])
+        prior = sum(post) / n
+        for k in range(m):
+            for c in (0, 1):
+                mass = [0.5 + sum(post[i] if c else 1 - post[i] for i in range(n) if v[i, k] == x) for x in range(3)]
+                tab[k][c] = [x / sum(mass) for x in mass]
+    return prior, np.array(tab), np.array(post)
+
+
+def test_em_matches_brute_force():
+    rng = np.random.default_rng(3)
+    truth = rng.random(60) < 0.6
+    v = np.stack([np.where(rng.random(60) < 0.2, 0, np.where((rng.random(60) < 0.8) == truth, 2, 1)) for _ in range(7)], axis=1)
+    codes, counts = np.unique(Q.pattern(v), return_counts=True)
+    prior, tab, post = Q.fit_labellers(codes, counts.astype(float), rounds=12)
+    want = brute_labellers(v, 12)
+    assert np.isclose(prior, want[0]) and np.allclose(tab, want[1]) and np.allclose(post[np.searchsorted(codes, Q.pattern(v))], want[2])
+
+
+def test_quality_of_rows_without_ids_and_of_one_id(spark):
+    rows = [(None, t) for _, t in texts(40)] + [(7, t) for _, t in texts(60)]
+    got = Q.quality(frame(spark, rows), sample_rows=50).collect()
+    assert len(got) == 100 and np.mean([r.keep for r in got]) > 0.5

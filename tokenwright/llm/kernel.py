@@ -174,5 +174,14 @@ def row_counts(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return r[at], v[at], np.diff(np.append(at, len(v)))
 
 
+def row_distinct(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of distinct values of each row, told apart by as many leading bits as the row number leaves."""
+    n = len(off) - 1
+    bits = U64(max(1, n.bit_length()))
+    code = np.sort(np.repeat(np.arange(n, dtype=U64) << (U64(64) - bits), np.diff(off)) | h >> bits)
+    new = np.append(True, code[1:] != code[:-1])[: len(code)]
+    return np.bincount((code[new] >> (U64(64) - bits)).astype(np.int64), minlength=n)
+
+
 def ragged(values: np.ndarray, off: np.ndarray, typ=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values, typ))

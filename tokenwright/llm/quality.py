@@ -7,8 +7,9 @@ with no labels at all.  The posterior of a document's pattern then is the target
 on hashed byte trigrams and statistics buckets, fitted on a bounded sample (`sample_rows`, the
 smallest hashes of doc_id) and applied to every document.
 
-Defined cases: a null or wordless text is not kept (score 0, posterior by its pattern); ties at 0.5
-are kept; repeated rows are scored each; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null or wordless text is not kept (score 0, posterior by its pattern); a text of any
+length is scored whole; ties at 0.5 are kept; repeated rows are scored each, and fill the sample like
+others; rows without an id are scored, not sampled (without any id all scores are 0); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,17 +52,15 @@ def statistics(data, off) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(np.diff(off), 1)
     nw = np.diff(woff)
     w1 = np.maximum(nw, 1)
-    r, _, _ = K.row_counts(h, woff)
-    distinct = np.bincount(r, minlength=len(nw))
+    distinct = K.row_distinct(h, woff)
     pairs, poff = K.shingles(h, woff, 2)
-    rp, _, _ = K.row_counts(pairs, poff)
     npair = np.maximum(np.diff(poff), 1)
     return np.stack([
         _per_row(_SYMBOL[data], off) / n,
         _per_row(data == 33, off) / n,
         _per_row(_UPPER[data], off) / np.maximum(_per_row(_LETTER[data], off), 1),
         1 - distinct / w1,
-        1 - np.bincount(rp, minlength=len(nw)) / npair,
+        1 - K.row_distinct(pairs, poff) / npair,
         K.segment_reduce(np.add, (e - s).astype(np.int64), woff, 0) / w1,
         _per_row(_STOP[data], off) / n,
     ], axis=1), nw
@@ -199,10 +198,10 @@ def quality(docs: DataFrame, sample_rows: int = 4096, id_col: str = "doc_id", te
         return d.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("quality"), F.lit(False).alias("keep"))
     _, _, post = fit_labellers(codes, counts)
     posterior = dict(zip(codes.tolist(), post.tolist()))
-    chosen = d.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    ids = [r.doc_id for r in chosen.collect()]
+    chosen = d.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a bounded heap in each task
+    ids = sorted({r.doc_id for r in chosen.collect() if r.doc_id is not None})
     pick = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")  # at most sample_rows rows
-    rows = stored(d.join(F.broadcast(pick), "doc_id"))
+    rows = stored(d.join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     got = rows.mapInArrow(_sample, "doc_id long, code long, grams array<int>, shares array<float>, buckets array<int>").orderBy("doc_id", "code").toArrow().combine_chunks()
     if not got.num_rows:
         return d.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("quality"), F.lit(False).alias("keep"))
