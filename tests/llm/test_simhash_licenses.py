@@ -7,6 +7,7 @@ import pytest
 from cases import ODD, frame, with_clashes
 
 from tokenwright.llm import kernel as K
+from tokenwright.llm import licenses as L
 from tokenwright.llm import simhash as H
 from tokenwright.llm.licenses import ExpressionError, automaton, evaluate, license_scan, scan, to_postfix
 
@@ -140,8 +141,8 @@ GPL3 = """
     (GPL3, "GPL-3.0-or-later", "copyleft"), (GPL3.replace("General", "Lesser General"), "LGPL-3.0-or-later", "weak-copyleft"), (GPL3.replace("General", "Affero General"), "AGPL-3.0-or-later", "network-copyleft"),
     ("under the GNU Lesser General  Public License as published by the\n# Free Software Foundation; either\n# version 2.1 of", "LGPL-2.1-or-later", "weak-copyleft"),
     ("// subject to the terms of the Mozilla Public\n// License, v. 2.0. If", "MPL-2.0", "weak-copyleft"), ("under  the MIT\n\n  License", "MIT", "permissive"),
-    ("SPDX-License-Identifier: OFL-1.1 OR MIT", "OFL-1.1 OR MIT", None), ("SPDX-License-Identifier: CC-BY-NC-4.0 AND LicenseRef-x", "CC-BY-NC-4.0 AND LicenseRef-x", "non-commercial"),
-    ("SPDX-License-Identifier: GFDL-1.3-only", "GFDL-1.3-only", None), ("SPDX-License-Identifier: CC0-1.0 OR Own-Terms", "CC0-1.0 OR Own-Terms", "public-domain"),
+    ("SPDX-License-Identifier: OFL-1.1 OR MIT", "OFL-1.1 OR MIT", "permissive"), ("SPDX-License-Identifier: OFL-9.1 OR MIT", "OFL-9.1 OR MIT", None), ("SPDX-License-Identifier: CC-BY-NC-4.0 AND LicenseRef-x", "CC-BY-NC-4.0 AND LicenseRef-x", "non-commercial"),
+    ("SPDX-License-Identifier: GFDL-1.3-only", "GFDL-1.3-only", "copyleft"), ("SPDX-License-Identifier: GFDL-9.3-only", "GFDL-9.3-only", None), ("SPDX-License-Identifier: CC0-1.0 OR Own-Terms", "CC0-1.0 OR Own-Terms", "public-domain"),
     ("SPDX-License-Identifier: GPL-3.0-only WITH Some-exception-1.0", "GPL-3.0-only WITH Some-exception-1.0", None),
 ])
 def test_wrapped_notices_and_unknown_identifiers(text, expression, obligation):
@@ -151,3 +152,37 @@ def test_wrapped_notices_and_unknown_identifiers(text, expression, obligation):
 
 def test_words_that_are_no_identifiers():
     assert scan("SPDX-License-Identifier: MIT and so on", automaton())[0] == "invalid"
+
+
+@pytest.mark.parametrize("text, expression, obligation", [
+    ("SPDX-License-Identifier: AFL-3.0", "AFL-3.0", "permissive"), ("SPDX-License-Identifier: LicenseRef-Foo", "LicenseRef-Foo", None), ("SPDX-License-Identifier: CC-BY-ND-4.0", "CC-BY-ND-4.0", "no-derivatives"),
+    ("The BSD 2-Clause License. Redistribution and use in source and binary forms", "BSD-2-Clause", "permissive"), ("Redistribution and use in source and binary forms ... Neither the name", "BSD-3-Clause", "permissive"),
+    ("Redistribution and use in source and binary forms. All advertising materials mentioning features or use of this software", "BSD-4-Clause", "permissive"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later WITH Texinfo-exception", "GPL-2.0-or-later WITH Texinfo-exception", "weak-copyleft"), ("SPDX-License-Identifier: DocumentRef-x:LicenseRef-y OR CC-BY-NC-SA-3.0", "DocumentRef-x:LicenseRef-y OR CC-BY-NC-SA-3.0", None),
+])
+def test_identifiers_of_the_list(text, expression, obligation):
+    assert scan(text, automaton())[:2] == ("found", expression) and scan(text, automaton())[3] == obligation
+
+
+def brute_phrases(text):
+    """Identifiers of the notices, phrase by phrase with str.find."""
+    flat = " ".join(L._LEADER.sub("\n", text.lower()).split())
+    hits = []
+    for phrase, ident in L.PHRASES.items():
+        at = flat.find(phrase)
+        while at >= 0:
+            end = at + len(phrase)
+            if not (at and flat[at - 1].isalnum()) and not (end < len(flat) and flat[end].isalnum()):
+                hits.append((at, end, ident))
+            at = flat.find(phrase, at + 1)
+    longest = [x for x in hits if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in hits)]
+    return sorted({i for _, _, i in longest})
+
+
+def test_notices_match_a_scan_phrase_by_phrase():
+    rnd = random.Random(2)
+    own = [p for p, i in L.PHRASES.items() if not i.startswith("BSD")]
+    for _ in range(300):
+        parts = [rnd.choice([rnd.choice(own).replace(" ", rnd.choice([" ", "  ", "\n", "\n * ", "\n# "])), rnd.choice(own).upper(), "summit licensee", "x" + rnd.choice(own), rnd.choice(own) + "s", "plain words,"]) for _ in range(rnd.randint(0, 5))]
+        text = rnd.choice([" ; ", "\n\n", " and "]).join(parts)
+        assert scan(text, automaton())[2] == brute_phrases(text), text
