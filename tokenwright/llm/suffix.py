@@ -156,6 +156,17 @@ def _fetch(min_words: int):
     return run
 
 
+def _touched(bits, yes: bool):
+    """Rows whose `k` the filter may hold, or those that it can't hold: these need no join."""
+
+    def run(batches):
+        for b in batches:
+            keep = may_hold(bits.value, b.column("k").to_numpy())
+            yield b.drop_columns(["k"]).filter(pa.array(keep if yes else ~keep))
+
+    return run
+
+
 def _windows(batches):
     """A row for each window of hot stretches: its hash and place."""
     for b in batches:
@@ -301,6 +312,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     whole = rows.join(again, ["anchor", "seg"]).where(place != F.col("first")).select("doc_id", "dk", "lo", (F.col("lo") + F.col("n") + F.lit(min_words - 1)).alias("hi"))
     mixed = several.where("kinds > 1").select("anchor", "first.place.*", "first.n", (F.col("kinds") > hot_kinds).alias("hot"))
     want = mixed.groupBy("no_id", "doc_id", "dk").agg(F.collect_list(F.struct("anchor", "lo", "n", "hot")).alias("want"))
+    asked = member_filter(mixed.select(F.xxhash64("doc_id", "dk").alias("k")))
+    d = d.withColumn("k", F.xxhash64("doc_id", "dk")).mapInArrow(_touched(asked, True), "no_id boolean, doc_id long, dk long, text string")
     once = d.join(want.select(F.col("doc_id").alias("of"), "dk", "want"), F.col("doc_id").eqNullSafe(F.col("of")) & (d["dk"] == want["dk"])).select(d["no_id"], d["doc_id"], d["dk"], "text", "want")
     sent = once.mapInArrow(_fetch(min_words), "anchor long, no_id boolean, doc_id long, dk long, lo int, n int, hot boolean, words binary")
     parts = sent.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_arrays(min_words), "doc_id long, dk long, lo int, hi int")
@@ -357,14 +370,20 @@ def _cut(batches):
 def _dedup(docs: DataFrame, min_words: int, id_col: str, text_col: str, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """(id, text, spans, removed, rest): rest holds the other columns as one struct, by their places."""
     found = repeated_spans(docs, min_words, id_col, text_col, hot_kinds)
-    lists = found.groupBy(F.col("doc_id").alias("of"), F.col("dk").alias("of_dk")).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    lists = stored(found.groupBy(F.col("doc_id").alias("of"), F.col("dk").alias("of_dk")).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")))
+    bits = member_filter(lists.select(F.xxhash64("of", "of_dk").alias("k")))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(others)], F.lit(0).alias("none"))
     text = F.col(quoted(text_col)).cast("string")
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"), F.xxhash64(text, F.octet_length(text)).alias("dk"), rest.alias("rest"))
-    both = rows.join(lists, F.col("id").eqNullSafe(F.col("of")) & (F.col("dk") == F.col("of_dk")), "left").select("id", "text", "cuts", "rest")
-    kind = both.schema["rest"].dataType.simpleString()
-    return both.mapInArrow(_cut, f"id long, text string, spans array<struct<lo:int,hi:int>>, removed int, rest {kind}")
+    rows = rows.withColumn("k", F.xxhash64("id", "dk"))
+    kind = rows.schema["rest"].dataType.simpleString()
+    # only documents with cuts, and what the filter takes for one, are shuffled
+    hit = rows.mapInArrow(_touched(bits, True), f"id long, text string, dk long, rest {kind}")
+    both = hit.join(lists, F.col("id").eqNullSafe(F.col("of")) & (F.col("dk") == F.col("of_dk")), "left").select("id", "text", "cuts", "rest")
+    cut = both.mapInArrow(_cut, f"id long, text string, spans array<struct<lo:int,hi:int>>, removed int, rest {kind}")
+    rest = rows.mapInArrow(_touched(bits, False), f"id long, text string, dk long, rest {kind}")
+    return cut.unionByName(rest.select("id", "text", F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(0).alias("removed"), "rest"))
 
 
 def suffix_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_kinds: int = HOT_KINDS) -> DataFrame:
