@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +100,8 @@ def without(docs: DataFrame, marks: DataFrame, digest: Callable[[Column], Column
     marks = stored(marks)
     i, d, mi, md = fresh(docs, "row_id", "row_digest", "mark_id", "mark_digest")
     keyed = docs.withColumns({i: F.col(quoted(id_col)).cast("long"), d: digest(F.col(quoted(text_col)).cast("string"))})
-    pair = lambda m: m.select(F.col("id").alias(mi), F.col("digest").alias(md))
+    # merged, since neither side has a bound: the same plan at every size
+    pair = lambda m: m.select(F.col("id").alias(mi), F.col("digest").alias(md)).hint("merge")
     on = F.col(i).eqNullSafe(F.col(mi)) & (F.col(d) == F.col(md))
     out = keyed.join(pair(marks), on, "left_anti")
     several = marks.where("not gone")
@@ -126,9 +129,33 @@ def may_hold(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
     return bits[k >> 3] >> (k & 7).astype(np.uint8) & 1 == 1
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018 - other C libraries lack it
+except (OSError, AttributeError):
+    _LIBC = None
 CELL = 512
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and stand idle beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches whose worker keeps no memory that it has freed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def bucket_pairs(rows: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
     """(*keys, a, b): all pairs of different `node`s that share the keys and differ in `root`.
 

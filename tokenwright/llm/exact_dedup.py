@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, stored, without
+from .common import slim, stored, trimmed, without
 
 LAST = np.iinfo(np.int64).max  # stands for an unknown id within a minimum; `known` tells it from a real one
 BLOCK = 1 << 16
@@ -151,10 +151,10 @@ def _marked(entries: DataFrame, fan_in: int) -> DataFrame:
     """Entries with (keep_id, copies) of their text, by the tree.  Only texts of several rows are in
     the join, which AQE splits where one of them is hot."""
     m, rounds = address_digits(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_in)
-    runs = entries.mapInArrow(_local_runs(m, rounds), _RUN)
+    runs = entries.mapInArrow(trimmed(_local_runs(m, rounds)), _RUN)
     for k in range(1, rounds):
-        runs = runs.repartitionById(m**rounds, F.col("node")).mapInArrow(_round(k, m), _RUN)
-    classes = runs.repartitionById(m**rounds, F.col("node")).mapInArrow(_finish, _CLASS)
+        runs = runs.repartitionById(m**rounds, F.col("node")).mapInArrow(trimmed(_round(k, m)), _RUN)
+    classes = runs.repartitionById(m**rounds, F.col("node")).mapInArrow(trimmed(_finish), _CLASS)
     both = entries.join(classes, ["digest", "len"], "left")
     return both.select("doc_id", "digest", "n", F.when(F.col("copies").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("copies", "n").alias("copies"))
 

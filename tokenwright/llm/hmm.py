@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import slim, stored
+from .common import slim, stored, trimmed
 
 U64 = K.U64
 CELLS = 1 << 17  # words whose forward variables are held at once; a longer text is passed twice
@@ -308,7 +308,7 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, prio
     unigram = (counts + 0.5) * some / ((counts + 0.5) * some).sum()
     v, cols = len(counts), [f"c{i}" for i in range(states)]
     for _ in range(rounds):
-        got = symbols.where("words > 0").mapInArrow(_expectations(model), "key long, " + ", ".join(f"{c} double" for c in cols))
+        got = symbols.where("words > 0").mapInArrow(trimmed(_expectations(model)), "key long, " + ", ".join(f"{c} double" for c in cols))
         got = got.groupBy("key").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most v + states + 2 rows
         if not len(got):
             break
@@ -324,10 +324,10 @@ def train(symbols: DataFrame, counts: np.ndarray, states: int, rounds: int, prio
 def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, states: int = 8, rounds: int = 6, tolerance: float = 0.005, prior: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words, log_likelihood, perplexity), one row for each input row."""
     d = slim(docs, id_col, text_col)
-    words = stored(d.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = stored(d.mapInArrow(trimmed(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     top = words.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toPandas()  # at most `vocabulary` rows
     keys = np.sort(top["word"].to_numpy(np.int64).view(U64))
-    symbols = stored(d.mapInArrow(_symbolise(keys, shared), "nr long, doc_id long, words long, symbols binary, rare array<long>"))
+    symbols = stored(d.mapInArrow(trimmed(_symbolise(keys, shared)), "nr long, doc_id long, words long, symbols binary, rare array<long>"))
 
     def tally(batches):
         n = np.zeros(len(keys) + shared, np.int64)
@@ -338,14 +338,14 @@ def score(docs: DataFrame, vocabulary: int = 1 << 15, shared: int = 1 << 10, sta
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["symbol", "n"])
 
-    seen = symbols.select("symbols").mapInArrow(tally, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()  # one row for each symbol
+    seen = symbols.select("symbols").mapInArrow(trimmed(tally), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas()  # one row for each symbol
     counts = np.zeros(len(keys) + shared)
     counts[seen["symbol"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
     model, _ = train(symbols, counts, states, rounds, prior, tolerance)
     # exact counts of rare words, by word to their occurrences; no word among them is frequent, so no key is heavy
     steps = F.round(F.log("n") * SHARE_STEPS).cast("long")
     shares = symbols.select("nr", F.explode("rare").alias("word")).join(words.select("word", steps.alias("steps")), "word").groupBy("nr").agg(F.sum("steps").alias("steps"))
-    scored = symbols.select("nr", "doc_id", "words", "symbols").mapInArrow(_score(model, counts, len(keys)), "nr long, doc_id long, words long, ll double")
+    scored = symbols.select("nr", "doc_id", "words", "symbols").mapInArrow(trimmed(_score(model, counts, len(keys))), "nr long, doc_id long, words long, ll double")
     ll = F.when(F.col("words").isNotNull(), F.col("ll") + F.coalesce(F.col("steps"), F.lit(0)) / SHARE_STEPS)
     out = scored.join(shares, "nr", "left").select("doc_id", "words", ll.alias("log_likelihood"))
     return out.withColumn("perplexity", F.when(F.col("words") > 0, F.exp(-F.col("log_likelihood") / F.col("words"))))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bucket_pairs, components, may_hold, member_filter, slim, stored, without
+from .common import bucket_pairs, components, may_hold, member_filter, slim, stored, trimmed, without
 
 SHINGLE = 3
 U64 = K.U64
@@ -133,13 +133,13 @@ def _groups(docs: DataFrame, threshold: float, bands: int, rows: int, id_col: st
     """(doc_id, digest, n, root, links) of every document: n repeated rows, its group, and the
     verified near texts of its own."""
     d = slim(docs, id_col, text_col).where("text is not null").withColumn("digest", md5(F.col("text")))
-    sketches = stored(d.mapInArrow(_sketch(bands, rows), "doc_id long, digest binary, same long, words long, halves array<long>, nr long"))
+    sketches = stored(d.mapInArrow(trimmed(_sketch(bands, rows)), "doc_id long, digest binary, same long, words long, halves array<long>, nr long"))
     nodes = stored(sketches.groupBy("same", "words").agg(F.min("nr").alias("node"), F.first("halves").alias("halves")))
     buckets = _buckets(nodes, bands)
     hashed = F.xxhash64("doc_id", "digest")
     # of every node, the text of its first row
     members = stored(buckets.select(F.col("node").alias("nr")).distinct().join(sketches.select("nr", "doc_id", "digest", hashed.alias("k")), "nr"))
-    found = d.withColumn("k", hashed).mapInArrow(_sets(member_filter(members)), "k long, doc_id long, digest binary, runs array<int>")
+    found = d.withColumn("k", hashed).mapInArrow(trimmed(_sets(member_filter(members))), "k long, doc_id long, digest binary, runs array<int>")
     at = found.alias("x").join(members.alias("m"), (F.col("x.k") == F.col("m.k")) & (F.col("x.digest") == F.col("m.digest")) & F.col("x.doc_id").eqNullSafe(F.col("m.doc_id")))
     sets = stored(at.groupBy(F.col("m.nr").alias("node")).agg(F.first("x.runs").alias("runs")))
     star = buckets.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()

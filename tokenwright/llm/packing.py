@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import slim, stored
+from .common import slim, stored, trimmed
 
 _ROW = "doc_id long, piece int, tokens long"
 _OUT = "doc_id long, piece int, tokens long, bin_id long, bin_fill long"
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, capacity: int = 4096, full: float = 0.98, bytes_per_to
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.explode(cut).alias("piece"))
         rows = rows.select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("tokens"))
     else:
-        rows = slim(docs, id_col, text_col).mapInArrow(_pieces(capacity, bytes_per_token), _ROW)
+        rows = slim(docs, id_col, text_col).mapInArrow(trimmed(_pieces(capacity, bytes_per_token)), _ROW)
     # rows have numbers, so that neither a hot id nor null ids share a shard
     rows = stored(rows.withColumn("nr", F.monotonically_increasing_id()))
     shards = max(1, rows.count() // shard_items)

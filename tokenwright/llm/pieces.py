@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import slim, stored
+from .common import slim, stored, trimmed
 
 U64 = K.U64
 MODEL = os.environ.get("TOKENWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -577,16 +577,16 @@ def encode(docs: DataFrame, path: str = MODEL, chunk_chars: int = CHUNK_CHARS, i
     """(doc_id, ids, n_tokens, round_trip), one row for each input row."""
     d = slim(docs, id_col, text_col)
     giant = F.char_length("text") >= chunk_chars  # with the mark in front: more than a chunk
-    short = d.where(F.coalesce(~giant, F.lit(True))).mapInArrow(_encode(path), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    short = d.where(F.coalesce(~giant, F.lit(True))).mapInArrow(trimmed(_encode(path)), "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
     # a stored number tells rows apart, repeated ones too; small row groups let a giant's chunks spread over tasks
     long = d.where(giant).withColumn("of", F.monotonically_increasing_id())
-    chunks = stored(long.mapInArrow(_cut(path, chunk_chars), _CHUNK), row_group=CHUNK_GROUP)
+    chunks = stored(long.mapInArrow(trimmed(_cut(path, chunk_chars)), _CHUNK), row_group=CHUNK_GROUP)
     most = chunks.agg(F.max("part")).first()[0]
     if most is None:
         return short
-    matrices = chunks.select("of", "part", "size", "piece").mapInArrow(_transfer(path), _MATRIX)
+    matrices = chunks.select("of", "part", "size", "piece").mapInArrow(trimmed(_transfer(path)), _MATRIX)
     states = chunk_states(stored(matrices) if most >= FAN else matrices, most + 1)
-    traced = chunks.join(states, ["of", "part"]).mapInArrow(_trace(path), "of long, doc_id long, part int, ids array<int>, ok boolean")
+    traced = chunks.join(states, ["of", "part"]).mapInArrow(trimmed(_trace(path)), "of long, doc_id long, part int, ids array<int>, ok boolean")
     whole = traced.groupBy("of", "doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"), F.bool_and("ok").alias("ok"))
     ids = F.flatten(F.transform("parts", lambda x: x["ids"]))
     return short.unionByName(whole.select("doc_id", ids.alias("ids"), "ok").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("ok").alias("round_trip")))
@@ -606,4 +606,4 @@ def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_co
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, text string")

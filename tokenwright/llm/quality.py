@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import slim, stored
+from .common import slim, stored, trimmed
 
 DIMS = 1 << 14
 U64 = K.U64
@@ -192,7 +192,7 @@ def quality(docs: DataFrame, sample_rows: int = 4096, id_col: str = "doc_id", te
 
     weak_label is the labellers' posterior of good, quality the linear scorer's probability."""
     d = slim(docs, id_col, text_col)
-    seen = d.mapInArrow(_patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
+    seen = d.mapInArrow(trimmed(_patterns), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     codes, counts = seen["code"].to_numpy(np.int64), seen["n"].to_numpy(float)
     if not len(codes):
         return d.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("quality"), F.lit(False).alias("keep"))
@@ -202,11 +202,11 @@ def quality(docs: DataFrame, sample_rows: int = 4096, id_col: str = "doc_id", te
     ids = sorted({r.doc_id for r in chosen.collect() if r.doc_id is not None})
     pick = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")  # at most sample_rows rows
     rows = stored(d.join(F.broadcast(pick), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    got = rows.mapInArrow(_sample, "doc_id long, code long, grams array<int>, shares array<float>, buckets array<int>").orderBy("doc_id", "code").toArrow().combine_chunks()
+    got = rows.mapInArrow(trimmed(_sample), "doc_id long, code long, grams array<int>, shares array<float>, buckets array<int>").orderBy("doc_id", "code").toArrow().combine_chunks()
     if not got.num_rows:
         return d.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("quality"), F.lit(False).alias("keep"))
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     lens = np.asarray(got.column("grams").combine_chunks().value_lengths())
     target = np.array([posterior.get(c, 0.5) for c in got.column("code").to_pylist()])
     model = fit_linear(np.repeat(np.arange(len(lens)), lens), flat("grams"), flat("shares").astype(float), flat("buckets").reshape(-1, len(STATS)), target)
-    return d.mapInArrow(_score(model, posterior), "doc_id long, weak_label double, quality double, keep boolean")
+    return d.mapInArrow(trimmed(_score(model, posterior)), "doc_id long, weak_label double, quality double, keep boolean")

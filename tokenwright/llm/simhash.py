@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import bucket_pairs, slim, stored
+from .common import bucket_pairs, slim, stored, trimmed
 
 TERM_WORDS = 3
 _ROWS = 1 << 16
@@ -63,7 +63,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint), one row for each input row."""
-    return slim(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fingerprint long")
+    return slim(docs, id_col, text_col).mapInArrow(trimmed(_fingerprints), "doc_id long, fingerprint long")
 
 
 def block_masks(radius: int, blocks: int | None = None) -> list[int]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import may_hold, member_filter, quoted, slim, stored
+from .common import may_hold, member_filter, quoted, slim, stored, trimmed
 
 U64 = K.U64
 GRAM = 8
@@ -301,8 +301,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     slim(docs, id_col, text_col)  # the size of batches
     d = _documents(docs, id_col, text_col).where("text is not null")
     # a filter of the anchors that several rows have keeps all others from being shuffled
-    shared = d.select("text").mapInArrow(_anchors(min_words), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k")
-    rows = stored(d.mapInArrow(_stretches(min_words, member_filter(shared)), "anchor long, seg long, no_id boolean, doc_id long, dk long, lo int, n int"))
+    shared = d.select("text").mapInArrow(trimmed(_anchors(min_words)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k")
+    rows = stored(d.mapInArrow(trimmed(_stretches(min_words, member_filter(shared))), "anchor long, seg long, no_id boolean, doc_id long, dk long, lo int, n int"))
     place = F.struct("no_id", "doc_id", "dk", "lo")
     # grouped minima combine before the shuffle, so a passage in a third of all texts is a row of each task
     kinds = stored(rows.groupBy("anchor", "seg").agg(F.min(F.struct(place.alias("place"), F.col("n"))).alias("first"), F.count(F.lit(1)).alias("rows")))
@@ -313,13 +313,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     mixed = several.where("kinds > 1").select("anchor", "first.place.*", "first.n", (F.col("kinds") > hot_kinds).alias("hot"))
     want = mixed.groupBy("no_id", "doc_id", "dk").agg(F.collect_list(F.struct("anchor", "lo", "n", "hot")).alias("want"))
     asked = member_filter(mixed.select(F.xxhash64("doc_id", "dk").alias("k")))
-    d = d.withColumn("k", F.xxhash64("doc_id", "dk")).mapInArrow(_touched(asked, True), "no_id boolean, doc_id long, dk long, text string")
+    d = d.withColumn("k", F.xxhash64("doc_id", "dk")).mapInArrow(trimmed(_touched(asked, True)), "no_id boolean, doc_id long, dk long, text string")
     once = d.join(want.select(F.col("doc_id").alias("of"), "dk", "want"), F.col("doc_id").eqNullSafe(F.col("of")) & (d["dk"] == want["dk"])).select(d["no_id"], d["doc_id"], d["dk"], "text", "want")
-    sent = once.mapInArrow(_fetch(min_words), "anchor long, no_id boolean, doc_id long, dk long, lo int, n int, hot boolean, words binary")
-    parts = sent.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_arrays(min_words), "doc_id long, dk long, lo int, hi int")
+    sent = once.mapInArrow(trimmed(_fetch(min_words)), "anchor long, no_id boolean, doc_id long, dk long, lo int, n int, hot boolean, words binary")
+    parts = sent.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_arrays(min_words)), "doc_id long, dk long, lo int, hi int")
     out = whole.unionByName(parts)
     if not mixed.where("hot").isEmpty():
-        wins = sent.where("hot").mapInArrow(_windows, "win long, no_id boolean, doc_id long, dk long, lo int")
+        wins = sent.where("hot").mapInArrow(trimmed(_windows), "win long, no_id boolean, doc_id long, dk long, lo int")
         earliest = wins.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
         out = out.unionByName(wins.join(earliest, "win").where(place != F.col("first")).select("doc_id", "dk", "lo", (F.col("lo") + F.lit(min_words)).alias("hi")))
     return out
@@ -379,10 +379,10 @@ def _dedup(docs: DataFrame, min_words: int, id_col: str, text_col: str, hot_kind
     rows = rows.withColumn("k", F.xxhash64("id", "dk"))
     kind = rows.schema["rest"].dataType.simpleString()
     # only documents with cuts, and what the filter takes for one, are shuffled
-    hit = rows.mapInArrow(_touched(bits, True), f"id long, text string, dk long, rest {kind}")
+    hit = rows.mapInArrow(trimmed(_touched(bits, True)), f"id long, text string, dk long, rest {kind}")
     both = hit.join(lists, F.col("id").eqNullSafe(F.col("of")) & (F.col("dk") == F.col("of_dk")), "left").select("id", "text", "cuts", "rest")
-    cut = both.mapInArrow(_cut, f"id long, text string, spans array<struct<lo:int,hi:int>>, removed int, rest {kind}")
-    rest = rows.mapInArrow(_touched(bits, False), f"id long, text string, dk long, rest {kind}")
+    cut = both.mapInArrow(trimmed(_cut), f"id long, text string, spans array<struct<lo:int,hi:int>>, removed int, rest {kind}")
+    rest = rows.mapInArrow(trimmed(_touched(bits, False)), f"id long, text string, dk long, rest {kind}")
     return cut.unionByName(rest.select("id", "text", F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"), F.lit(0).alias("removed"), "rest"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import kernel as K
-from .common import quoted, slim, stored
+from .common import quoted, slim, stored, trimmed
 
 GRADES = 4
 PREFIXES = (4, 5, 6)
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_rows:
     if not n1 or not n0:
         return None
     binary = sample.withColumn("toxic", (F.col("toxic") > clean).cast("int"))
-    counts = binary.mapInArrow(_document_frequencies, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= min_rows)
+    counts = binary.mapInArrow(trimmed(_document_frequencies), "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= min_rows)
     xlogx = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     tot = F.col("n1") + F.col("n0")
     e1, e0 = tot * (n1 / (n1 + n0)), tot * (n0 / (n1 + n0))
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, min_rows:
     lex = Lexicon(picked["feature"].to_numpy(np.int64).view(U64))
     if not len(lex.keys):
         return None
-    got = sample.mapInArrow(_sample_counts(lex), "doc_id long, toxic int, keys array<int>, counts array<int>").orderBy("doc_id", "toxic").toArrow()
+    got = sample.mapInArrow(trimmed(_sample_counts(lex)), "doc_id long, toxic int, keys array<int>, counts array<int>").orderBy("doc_id", "toxic").toArrow()
     lens = np.array([len(x) for x in got.column("keys").to_pylist()])
     key = np.concatenate([np.asarray(x, np.int64) for x in got.column("keys").to_pylist()] or [np.zeros(0, np.int64)])
     cnt = np.concatenate([np.asarray(x, np.int64) for x in got.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
@@ -209,7 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, id_col
     model = train(d, labels, sample_rows)
     if model is None:
         return d.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("is_toxic"))
-    return d.mapInArrow(_score(model), "doc_id long, severity double, grade int, is_toxic boolean")
+    return d.mapInArrow(trimmed(_score(model)), "doc_id long, severity double, grade int, is_toxic boolean")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192) -> DataFrame:
@@ -232,4 +232,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192) ->
     # columns go by their places, whatever their names
     kinds = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(docs.schema)])
     placed = docs.select([F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)] + [F.col("text").cast("string").alias("text")])
-    return placed.mapInArrow(run, kinds).toDF(*docs.columns)
+    return placed.mapInArrow(trimmed(run), kinds).toDF(*docs.columns)
