@@ -115,3 +115,25 @@ def test_null_ids_are_documents_of_their_own(spark):
     got = sorted((str(r.doc_id), r.text) for r in S.suffix_dedup(frame(spark, rows)).collect())
     assert ("9223372036854775807", p) in got and ("None", "") in got
     assert ("None", f"{q} tail") in got and ("None", "head ") in got or ("None", f"head {q}") in got and ("None", "tail") in got
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 12))
+def test_longest_previous_factor_from_a_length_on(x, least):
+    got, want = S.longest_previous(np.array(x, np.int64), 64, least), np.array(brute_lpf(x), np.int64)
+    assert (got[want >= least] == want[want >= least]).all() and (got <= want).all()
+
+
+def test_texts_are_searched_once_also_where_anchors_are_hot(spark):
+    p = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*p[: 20 + i % 20], *(f"own{i}w{k}" for k in range(20))])) for i in range(30)]
+    plan = S.repeated_spans(frame(spark, rows), 10, hot_kinds=2)._jdf.queryExecution().toString()
+    assert "win#" in plan and not re.search(r"\btext\b|\bwant\b", plan)
+
+
+def test_repeated_rows_are_one_document(spark):
+    p = [f"w{i}" for i in range(90)]
+    rows = [(1, " ".join(p)), (1, " ".join(p)), (2, " ".join([*p[:55], *(f"x{i}" for i in range(40))]))]
+    for hot in (1, 10**6):
+        got = sorted((r.doc_id, r.removed) for r in S.suffix_dedup(frame(spark, rows), 50, hot_kinds=hot).collect())
+        assert got == [(1, 0), (1, 0), (2, 55)]

@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import may_hold, member_filter, quoted, slim, stored, trimmed
+from .common import FILTER_BITS, may_hold, member_filter, quoted, slim, stored, trimmed
 
 U64 = K.U64
 GRAM = 8
 GROUP_WORDS = 1 << 18  # anchors of about so many words share one array
+PART = 15  # bits of a filter's part, as a power of 2
+HELD = 1 << 20  # anchors that a task sorts at once
 HOT_KINDS = 4096  # an anchor of more kinds of rows has no array
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -93,38 +95,106 @@ def _pieces(data, off):
         yield i, j, s + off[i], h, woff
 
 
-def _signed(x):
-    return pa.array(x.view(np.int64))
+def _blobs(x: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A binary value for each row, of the row's part of `x`."""
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _anchors(min_words: int):
-    """Anchors of all stretches, each once a batch, with the number of its rows."""
+def _marks(min_words: int):
+    """Each text's stretches, one after another, as arrays: anchors, hashes and numbers of windows."""
 
     def run(batches):
         for b in batches:
             data, off = K.buffers(b.column("text"))
-            for _, _, _, h, woff in _pieces(data, off):
-                anchor, rows = np.unique(stretches(h, woff, min_words)[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(rows)], names=["k", "n"])
+            for i, j, _, h, woff in _pieces(data, off):
+                row, _, cnt, anchor, seg, _ = stretches(h, woff, min_words)
+                at = np.searchsorted(row, np.arange(j - i + 1))
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("no_id"), part.column("doc_id"), part.column("dk"), _blobs(anchor, at), _blobs(seg, at), _blobs(cnt.astype(np.int32), at)],
+                    names=["no_id", "doc_id", "dk", "anchor", "seg", "n"],
+                ).filter(pa.array(np.diff(at) > 0))
 
     return run
 
 
-def _stretches(min_words: int, shared):
+def _numbers(col, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs and the offsets of each."""
+    raw, off = K.buffers(col)
+    return raw.view(kind) if len(raw) else np.zeros(0, kind), off // np.dtype(kind).itemsize
+
+
+def _anchors(batches):
+    """Anchors by their part of the filter, one that is there more than twice as two."""
+
+    def closed(held):
+        k = np.sort(np.concatenate(held))
+        k = k[np.append([True, True], k[2:] != k[:-2])[: len(k)]]
+        part = (k >> PART & FILTER_BITS // (1 << PART) - 1).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        own, first = np.unique(part[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _blobs(k[order], np.append(first, len(k)))], names=["part", "k"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(_numbers(b.column("anchor"))[0])
+        size += len(held[-1])
+        if size >= HELD:
+            yield closed(held)
+            held, size = [], 0
+    if size:
+        yield closed(held)
+
+
+def _repeated(batches):
+    """The filter's parts: bits of the values that are there twice; partitions are sorted by part."""
+
+    def closed(part, held):
+        k = np.sort(np.concatenate(held))
+        bits = np.zeros(1 << PART, np.uint8)
+        bits[k[1:][k[1:] == k[:-1]] & (1 << PART) - 1] = 1
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    now, held = None, []
+    for b in batches:
+        k, off = _numbers(b.column("k"))
+        parts = b.column("part").to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(parts))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if held and parts[x] != now:
+                yield closed(now, held)
+                held = []
+            now = int(parts[x])
+            held.append(k[off[x] : off[y]])
+    if held:
+        yield closed(now, held)
+
+
+def _shared(marks: DataFrame):
+    """A filter, as `member_filter` has it, of the anchors that several stretches have."""
+    by_part = marks.select("anchor").mapInArrow(trimmed(_anchors), "part int, k binary").repartition("part").sortWithinPartitions("part")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in by_part.mapInArrow(trimmed(_repeated), "part int, bits binary").collect():  # 4 KB each, 8 MB at most
+        out[r.part << PART - 3 : r.part + 1 << PART - 3] = np.frombuffer(r.bits, np.uint8)
+    return marks.sparkSession.sparkContext.broadcast(out)
+
+
+def _stretches(shared):
     """The stretches whose anchors may be shared."""
 
     def run(batches):
         for b in batches:
-            data, off = K.buffers(b.column("text"))
-            for i, _, _, h, woff in _pieces(data, off):
-                row, lo, cnt, anchor, seg, _ = stretches(h, woff, min_words)
-                ok = np.flatnonzero(may_hold(shared.value, anchor.view(np.int64)))
-                row, lo, cnt, anchor, seg = (x[ok] for x in (row, lo, cnt, anchor, seg))
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(anchor), _signed(seg), b.column("no_id").take(at), b.column("doc_id").take(at), b.column("dk").take(at), pa.array((lo - woff[row]).astype(np.int32)), pa.array(cnt.astype(np.int32))],
-                    names=["anchor", "seg", "no_id", "doc_id", "dk", "lo", "n"],
-                )
+            anchor, off = _numbers(b.column("anchor"))
+            n = _numbers(b.column("n"), np.int32)[0]
+            ok = np.flatnonzero(may_hold(shared.value, anchor))
+            row = np.repeat(np.arange(b.num_rows), np.diff(off))[ok]
+            before = np.append(0, np.cumsum(n, dtype=np.int64))  # a text's stretches have all its windows
+            lo = before[ok] - before[off[row]]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[ok]), pa.array(_numbers(b.column("seg"))[0][ok]), b.column("no_id").take(at), b.column("doc_id").take(at), b.column("dk").take(at), pa.array(lo.astype(np.int32)), pa.array(n[ok])],
+                names=["anchor", "seg", "no_id", "doc_id", "dk", "lo", "n"],
+            )
 
     return run
 
@@ -177,18 +247,42 @@ def _windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64) if len(raw) else np.zeros(0, np.int64)), b.column("no_id").take(take), b.column("doc_id").take(take), b.column("dk").take(take), pa.array(lo.astype(np.int32))], names=["win", "no_id", "doc_id", "dk", "lo"])
 
 
-def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(ids: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes of `ids` sorted by at least their first `depth` symbols, by prefix doubling, and
-    the ranks by 1, 2, 4, ... symbols.  Suffixes equal that far are in text order."""
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    ranks, span = [rank], 1
+    the ranks by 1, 2, 4, ... symbols.  Suffixes equal that far are in text order.
+
+    A rank is the number of smaller suffixes, so those that differ from all others keep theirs and
+    are sorted no more.  Those that do so by the largest power of 2 up to `least` are left out."""
+    n = len(ids)
+
+    def refined(at, key, old):
+        """Places sorted by key, their ranks, and whether others have the same."""
+        order = np.argsort(key)
+        at, key, old = at[order], key[order], old[order]
+        idx, new, was = np.arange(len(at)), np.ones(len(at) + 1, bool), np.ones(len(at), bool)
+        new[1:-1], was[1:] = key[1:] != key[:-1], old[1:] != old[:-1]
+        rank = old + np.maximum.accumulate(np.where(new[:-1], idx, 0)) - np.maximum.accumulate(np.where(was, idx, 0))
+        return at, rank, ~(new[:-1] & new[1:])
+
+    at, rank, same = refined(np.arange(n), ids, np.zeros(n, np.int64))
+    ranks, span, kept = [np.empty(n, np.int64)], 1, at[same]
+    ranks[0][at] = rank
+    at = kept
     while span < depth:
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[: max(0, len(rank) - span)] = rank[span:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + nxt, return_inverse=True)[1]
-        ranks.append(rank)
+        now = ranks[-1].copy()
+        if len(at):
+            nxt = np.zeros(len(at), np.int64)
+            inside = at + span < n
+            nxt[inside] = now[at[inside] + span] + 1
+            old = now[at]
+            at, rank, same = refined(at, old * (n + 1) + nxt, old)
+            now[at] = rank
+            at = at[same]
+        ranks.append(now)
         span *= 2
-    return np.argsort(rank, kind="stable"), ranks
+        if span <= least:
+            kept = at
+    return kept[np.argsort(ranks[-1][kept] * n + kept)], ranks
 
 
 def lcp_of(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -222,17 +316,18 @@ def _smaller_before(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.where(prev >= 0, low, 0)
 
 
-def longest_previous(ids: np.ndarray, depth: int) -> np.ndarray:
-    """LPF of every position, exact up to `depth` symbols (longer ones are at least that)."""
+def longest_previous(ids: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """LPF of every position, exact up to `depth` symbols (longer ones are at least that); of one
+    under `least`, it may be 0."""
+    out = np.zeros(len(ids), np.int64)
     if not len(ids):
-        return np.zeros(0, np.int64)
-    sa, ranks = suffix_array(ids, depth)
+        return out
+    sa, ranks = suffix_array(ids, depth, least)
     lcp = np.zeros(len(sa), np.int64)
     lcp[1:] = lcp_of(ranks, sa[:-1], sa[1:])
     before = _smaller_before(sa, lcp)
-    back = np.concatenate([[0], lcp[:0:-1]])
+    back = np.concatenate([[0], lcp[:0:-1]])[: len(sa)]
     after = _smaller_before(sa[::-1], back)[::-1]
-    out = np.zeros(len(ids), np.int64)
     out[sa] = np.maximum(before, after)
     return out
 
@@ -240,18 +335,23 @@ def longest_previous(ids: np.ndarray, depth: int) -> np.ndarray:
 def _factors(t: pa.Table, min_words: int):
     """Spans (doc_id, dk, lo, hi) that earlier stretches in `t` have; t holds whole anchors."""
     t = t.sort_by([(c, "ascending") for c in ("anchor", "no_id", "doc_id", "dk", "lo")]).combine_chunks()
+    new = np.zeros(t.num_rows, bool)  # a repeated row is no earlier text
+    new[:1] = True
+    for c in ("anchor", "no_id", "doc_id", "dk", "lo"):
+        x = t.column(c).to_numpy() if c != "doc_id" else t.column(c).fill_null(0).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    t = t if new.all() else t.filter(pa.array(new)).combine_chunks()
     words, off = K.buffers(t.column("words"))
     h, off = words.view(U64) if len(words) else np.zeros(0, U64), off // 8
     lens = np.diff(off)
     # words are told apart by anchor too; a unique symbol ends each stretch
     anchor = np.repeat(t.column("anchor").to_numpy().view(U64), lens)
-    ids = np.unique(K.mix(h ^ K.mix(anchor)), return_inverse=True)[1]
     pos = np.arange(len(h)) + np.repeat(np.arange(len(lens)), lens)
-    full = np.empty(len(h) + len(lens), np.int64)
-    full[pos] = ids
+    full = np.empty(len(h) + len(lens), U64)
+    full[pos] = K.mix(h ^ K.mix(anchor))
     ends = off[1:] + np.arange(len(lens))
-    full[ends] = len(h) + np.arange(len(lens))
-    hit = pos[longest_previous(full, min_words)[pos] >= min_words]
+    full[ends] = K.mix(np.arange(1, len(lens) + 1, dtype=U64))  # no two are equal
+    hit = pos[longest_previous(full, min_words, min_words)[pos] >= min_words]
     row = np.searchsorted(ends, hit)
     at = hit - (off[:-1] + np.arange(len(lens)))[row]
     new = np.ones(len(hit), bool)
@@ -300,9 +400,9 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     document may overlap."""
     slim(docs, id_col, text_col)  # the size of batches
     d = _documents(docs, id_col, text_col).where("text is not null")
-    # a filter of the anchors that several rows have keeps all others from being shuffled
-    shared = d.select("text").mapInArrow(trimmed(_anchors(min_words)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k")
-    rows = stored(d.mapInArrow(trimmed(_stretches(min_words, member_filter(shared))), "anchor long, seg long, no_id boolean, doc_id long, dk long, lo int, n int"))
+    # texts are searched for stretches once; a filter of the anchors that several have keeps all others from being shuffled
+    marks = stored(d.mapInArrow(trimmed(_marks(min_words)), "no_id boolean, doc_id long, dk long, anchor binary, seg binary, n binary"))
+    rows = stored(marks.mapInArrow(trimmed(_stretches(_shared(marks))), "anchor long, seg long, no_id boolean, doc_id long, dk long, lo int, n int"), instead_of=marks)
     place = F.struct("no_id", "doc_id", "dk", "lo")
     # grouped minima combine before the shuffle, so a passage in a third of all texts is a row of each task
     kinds = stored(rows.groupBy("anchor", "seg").agg(F.min(F.struct(place.alias("place"), F.col("n"))).alias("first"), F.count(F.lit(1)).alias("rows")))
@@ -315,7 +415,8 @@ def repeated_spans(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     asked = member_filter(mixed.select(F.xxhash64("doc_id", "dk").alias("k")))
     d = d.withColumn("k", F.xxhash64("doc_id", "dk")).mapInArrow(trimmed(_touched(asked, True)), "no_id boolean, doc_id long, dk long, text string")
     once = d.join(want.select(F.col("doc_id").alias("of"), "dk", "want"), F.col("doc_id").eqNullSafe(F.col("of")) & (d["dk"] == want["dk"])).select(d["no_id"], d["doc_id"], d["dk"], "text", "want")
-    sent = once.mapInArrow(trimmed(_fetch(min_words)), "anchor long, no_id boolean, doc_id long, dk long, lo int, n int, hot boolean, words binary")
+    # stored, since up to three plans read it: the texts are shuffled and searched once
+    sent = stored(once.mapInArrow(trimmed(_fetch(min_words)), "anchor long, no_id boolean, doc_id long, dk long, lo int, n int, hot boolean, words binary"))
     parts = sent.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_arrays(min_words)), "doc_id long, dk long, lo int, hi int")
     out = whole.unionByName(parts)
     if not mixed.where("hot").isEmpty():
