@@ -21,3 +21,7 @@ def counts_once(spark, name, times=1):
 def test_pretty_json_reads_texts_once(spark):
     assert counts_once(spark, "pretty_json")
     assert "ArrowEvalPython" not in audit.QUERIES["pretty_json"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whitespace_bloat_reads_texts_once(spark):
+    assert counts_once(spark, "whitespace_bloat")
