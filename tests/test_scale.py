@@ -25,3 +25,7 @@ def test_pretty_json_reads_texts_once(spark):
 
 def test_whitespace_bloat_reads_texts_once(spark):
     assert counts_once(spark, "whitespace_bloat")
+
+
+def test_events_are_spread_in_waves(spark):
+    assert audit._pretty(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
