@@ -29,3 +29,13 @@ def test_whitespace_bloat_reads_texts_once(spark):
 
 def test_events_are_spread_in_waves(spark):
     assert audit._pretty(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_filler_phrases_reads_texts_once(spark):
+    assert counts_once(spark, "filler_phrases")
+
+
+@pytest.mark.parametrize("text", ["please note that", "PLEASE NOTE THAT. As an AI, as a language model", "éplease note that", "́in order to", "²in order to x", "ın order to", "think about it carefully beforeanswering", "i 'll tip you 5.2\nx", "It is important to note that it 's important that"])
+def test_filler_matches_by_their_beginnings(text):
+    whole = [(k, i, m.group()) for k, rx in enumerate(C._filler_patterns()) for i, m in enumerate(rx.finditer(text))]
+    assert C._hits_of(text) == whole
