@@ -39,3 +39,8 @@ def test_filler_phrases_reads_texts_once(spark):
 def test_filler_matches_by_their_beginnings(text):
     whole = [(k, i, m.group()) for k, rx in enumerate(C._filler_patterns()) for i, m in enumerate(rx.finditer(text))]
     assert C._hits_of(text) == whole
+
+
+def test_duplicate_blocks_looks_again_only_at_first_holders(spark):
+    text = plan(audit.QUERIES["duplicate_blocks"](spark, SF))
+    assert "LeftSemi" in text and not any(w in text for w in ("split(", "md5("))
