@@ -1,7 +1,11 @@
 """Texts are read once by a check, in tasks that stay small."""
 
+from unittest import mock
+
+import pyarrow as pa
 import pytest
 
+from tokenwright.functions import counting
 from tokenwright.operators import checks as C
 from tokenwright.plans import queries as audit
 
@@ -44,3 +48,17 @@ def test_filler_matches_by_their_beginnings(text):
 def test_duplicate_blocks_looks_again_only_at_first_holders(spark):
     text = plan(audit.QUERIES["duplicate_blocks"](spark, SF))
     assert "LeftSemi" in text and not any(w in text for w in ("split(", "md5("))
+
+
+def test_tool_schemas_are_written_out_behind_the_shuffle(spark):
+    text = plan(audit._part_tool_requests(spark, SF))
+    grouped = text.index("collect_list(")
+    assert '"description"' not in text[grouped:] and '"description"' in text[:grouped]
+    assert "RepartitionByExpression" in text[grouped:]
+
+
+def test_texts_of_a_batch_are_counted_once():
+    lists = pa.array([["one two", None, ""], None, [], ["one two", "one two three"]])
+    with mock.patch.object(counting, "counts", wraps=counting.counts) as counts:
+        assert counting.counts_of_lists(lists).to_pylist() == [[2, 0, 0], None, [], [2, 3]]
+    assert len(counts.call_args[0][0]) == 3
