@@ -62,3 +62,8 @@ def test_texts_of_a_batch_are_counted_once():
     with mock.patch.object(counting, "counts", wraps=counting.counts) as counts:
         assert counting.counts_of_lists(lists).to_pylist() == [[2, 0, 0], None, [], [2, 3]]
     assert len(counts.call_args[0][0]) == 3
+
+
+@pytest.mark.parametrize("name", ["restated_sentences", "fewshot_weight"])
+def test_checks_of_the_report_read_texts_once(spark, name):
+    assert counts_once(spark, name)
