@@ -29,3 +29,10 @@ def test_odd_documents_match_sql(spark, odd, name):
     names = [c[0] for c in cursor.description]
     got = entry.queries()[name](spark, odd).select(names)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def test_blocks_of_a_document_without_an_id(spark, tmp_path):
+    block = "A paragraph that two documents hold word for word, and that is long enough to be looked at by the check of paragraphs. " * 3
+    spark.createDataFrame([(None, "a", block), (7, "a", block), (8, "a", block)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = entry.queries()["duplicate_blocks"](spark, str(tmp_path)).collect()
+    assert row.calls_affected == 3 and row.tokens_saved > 100
